@@ -40,7 +40,7 @@ ALLOWED = """news | daily news | world news | tech | science journal | universit
 code docs | developer guide | travel guide | food recipes | cooking | health clinic | hospital | school | research institute
 weather | sports news | football club | music | film review | book review | history | garden | shop | store | online shop | book store
 photo | art gallery | maps | bank | law | government | city council | community forum | wiki | encyclopedia | language course
-radio | local radio | farm museum | animal farm | free library | track record | win academy | docs archive | article archive"""
+radio | local radio | farm museum | track record | docs archive | article archive"""
 #: Words of the structure of urls, which say nothing about a site; they count for segmentation only.
 NEUTRAL = """en | de | fr | es | it | page | about | www | m | mail | blog | api | static | cdn | img | help | support | home | index | html
 htm | php | feed | tag | category | contact | example | com | org | net | ref | id"""
