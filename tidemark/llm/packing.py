@@ -30,8 +30,8 @@ from tidemark.llm.common import parts_for, prepare, table
 WINDOW = 2048
 END = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers; when full it forgets those not in use.
+REMEMBERED = 800_000
 
 
 def public_vocabulary() -> str:
@@ -42,14 +42,20 @@ def public_vocabulary() -> str:
 
 class WordIds:
     """Ids of texts as little-endian bytes.  This vocabulary never joins across ASCII white
-    space, so each distinct word is encoded once and remembered."""
+    space, nor letters with other signs, so each distinct word is encoded once and remembered.
+    Runs of letters are encoded together in one text and told apart by their end-of-word ids."""
 
     _of: dict[str, "WordIds"] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     @classmethod
     def at(cls, path: str) -> "WordIds":
@@ -57,16 +63,51 @@ class WordIds:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def _singly(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters."""
+        ids = np.array(self.encoder.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(runs):  # a run that lower case takes apart
+            return self._singly(runs)
+        blob, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [blob[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        cores, split, odd = self.cores, [], []
+        fresh: set[str] = set()
+        for w in words:
+            text = w.decode()
+            core = text.rstrip(".,;:!?")
+            if core.isalpha():
+                # ASCII letters differ from their lower case in nothing that ids see
+                core, tail = core.lower() if core.isascii() else core, text[len(core) :]
+                split.append((w, core, tail))
+                if core not in cores:
+                    fresh.add(core)
+                if tail and tail not in cores:
+                    cores[tail] = self._singly([tail])[0]
+            else:
+                odd.append((w, text))
+        new = list(fresh)
+        for i in range(0, len(new), 5000):
+            cores.update(zip(new[i : i + 5000], self._letters(new[i : i + 5000]), strict=True))
+        for w, core, tail in split:
+            self.known[w] = cores[core] + cores[tail] if tail else cores[core]
+        for i in range(0, len(odd), 5000):
+            some = odd[i : i + 5000]
+            self.known.update(zip([w for w, _ in some], self._singly([t for _, t in some]), strict=True))
+
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        words = {w for ws in split for w in ws}
+        if len(self.known) > REMEMBERED:  # what the present texts use is likely to come again
+            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.cores = {}
         known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for w, e in zip(some, self.encoder.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn({w for w in words if w not in known})
         return [b"".join([known[w] for w in ws]) for ws in split]
 
 
