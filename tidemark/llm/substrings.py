@@ -267,14 +267,15 @@ def _group(lots: int):
     return run
 
 
-def _strip(width: int):
+def _strip(width: int, text_at: int):
     """Rows sorted by lot, answers first: removes the covered words of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, ats, open_ = None, np.zeros(0, np.int64), np.zeros(0, np.uint32), []
         for b in batches:
             lots, keep, out = b.column(0).to_pylist(), [], ([], [], [])
-            data, texts, ids = b.column(1), b.column(4), b.column(3)
+            data, ids = b.column(1), b.column(3)
+            texts = pc.struct_field(b.column(2), text_at)
             for i, lot in enumerate(lots):
                 if lot != now:
                     now, open_, keys = lot, [], np.zeros(0, np.int64)
@@ -335,11 +336,11 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_BITS, lot_
     )
     # unsigned remainder, as in _by_lot
     lot = F.expr(f"cast(pmod((shiftrightunsigned(key, 1) % {lots}) * 2 + (key & 1), {lots}) as int)")
-    rows = keyed.select(lot.alias("lot"), F.lit(None).cast("binary").alias("data"), "doc", "key", F.col("doc.text").alias("text"))
-    none = answers.select("lot", "data", F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"))
+    rows = keyed.select(lot.alias("lot"), F.lit(None).cast("binary").alias("data"), "doc", "key")
+    none = answers.select("lot", "data", F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"), F.lit(None).cast("long").alias("key"))
     both = none.union(rows).repartition(parts_for(spark, lots, 1), "lot").sortWithinPartitions("lot", F.col("data").isNull())
     out = T.StructType().add("doc", rows.schema["doc"].dataType).add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return both.mapInArrow(_strip(width), out)
+    return both.mapInArrow(_strip(width, docs.columns.index("text")), out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
