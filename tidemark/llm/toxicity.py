@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import U64, chunked, prepare, span_hashes, spans, table, text_buffer
 
 SAMPLE_ROWS, MAX_WORDS, MIN_ROWS = 12_000, 3_000, 4
-CHUNK = 4 << 20
+CHUNK, FIT_CHUNK, SLOT_BITS = 4 << 20, 1 << 20, 22
 #: Bytes of the beginnings of longer words that count as features beside the words: stems.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bytes of words: letters, digits and whatever is not ASCII.
@@ -91,35 +91,55 @@ def fit(texts: list[str], labels: list[int], *, max_words: int = MAX_WORDS, step
     nothing = Model(np.zeros(0, U64), np.zeros(0), -60.0)
     if not len(y) or y.min() == y.max():
         return nothing
-    h_all, row_all, sen_all, base = [], [], [], 0
     raw, offs = text_buffer(pa.array(texts, pa.string()))
-    for i, j in chunked(offs, CHUNK):
-        h, row, sen, _, _ = words_and_sentences(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        h_all.append(h), row_all.append(row + i), sen_all.append(sen + base)
-        base += int(sen[-1]) + 1 if len(sen) else 0
-    h, row, sen = np.concatenate(h_all, axis=1), np.concatenate(row_all), np.concatenate(sen_all)
-    if not h.size:
+    n_pos, n_all = y.sum(), len(y)
+
+    def chunks():
+        for i, j in chunked(offs, FIT_CHUNK):
+            h, row, sen, _, _ = words_and_sentences(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            yield h, row + i, sen
+
+    def g_statistic(pos: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """How telling a feature is; 0 where it is too rare."""
+        g = 2 * (pos * np.log(np.maximum(pos, 1e-9) * n_all / (df * n_pos)) + (df - pos) * np.log(np.maximum(df - pos, 1e-9) * n_all / (df * (n_all - n_pos))))
+        return np.where(df >= min(MIN_ROWS, n_all), g, 0)
+
+    # documents with a feature, counted by the low bits of its hash, so in fixed memory
+    df, pos = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+    low = U64((1 << SLOT_BITS) - 1)
+    for h, row, _ in chunks():
+        pair = np.unique(np.concatenate([(k[k != 0] & low).astype(np.int64) * n_all + row[k != 0] for k in h]))
+        df += np.bincount(pair // n_all, minlength=len(df)).astype(np.int32)
+        pos += np.bincount(pair[y[pair % n_all] == 1] // n_all, minlength=len(df)).astype(np.int32)
+    some = np.flatnonzero(df)
+    score = g_statistic(pos[some].astype(float), df[some].astype(float))
+    wanted = np.zeros(len(df), bool)
+    wanted[some[np.argsort(-score, kind="stable")[: 2 * max_words]]] = True
+    # the exact features behind the most telling slots
+    key, doc, sentence, n_sen, bag = [], [], [], 0, []
+    for h, row, sen in chunks():
+        if not len(row):
+            continue
+        for k in h:
+            at = np.flatnonzero((k != 0) & wanted[(k & low).astype(np.int64)])
+            key.append(k[at]), doc.append(row[at]), sentence.append(sen[at] + n_sen)
+        bag.append(row[np.flatnonzero(np.diff(sen, prepend=-1))])
+        n_sen += int(sen[-1]) + 1
+    if not n_sen:
+        return nothing
+    keys, word = np.unique(np.concatenate(key), return_inverse=True)
+    pair = np.unique(word.astype(np.int64) * n_all + np.concatenate(doc))
+    exact_df = np.bincount(pair // n_all, minlength=len(keys)).astype(float)
+    exact_pos = np.bincount(pair // n_all, y[pair % n_all], len(keys))
+    score = g_statistic(exact_pos, np.maximum(exact_df, 1))
+    kept = np.argsort(-score, kind="stable")[:max_words]
+    kept = np.sort(kept[score[kept] > 0])
+    if not len(kept):
         return nothing
-    n_sen = int(sen[-1]) + 1
-    kinds = len(h)
-    h, row_of, sen_of = h.ravel(), np.tile(row, kinds), np.tile(sen, kinds)
-    # features in enough documents, the most telling (by the G statistic) first
-    keys, word = np.unique(h, return_inverse=True)
-    pairs = np.unique(word.astype(np.int64) * len(y) + row_of)
-    pos = np.bincount(pairs // len(y), y[pairs % len(y)], len(keys))
-    df = np.bincount(pairs // len(y), minlength=len(keys)).astype(float)
-    share, rest = y.mean(), 1 - y.mean()
-    g_stat = 2 * (pos * np.log(np.maximum(pos, 1e-9) / (df * share)) + (df - pos) * np.log(np.maximum(df - pos, 1e-9) / (df * rest)))
-    kept = np.flatnonzero((df >= min(MIN_ROWS, len(y))) & (keys != 0) & ((pos > df * share) | (df > 0.001 * len(y))))
-    kept = np.sort(kept[np.argsort(-g_stat[kept], kind="stable")][:max_words])
     slot = np.full(len(keys), -1)
     slot[kept] = np.arange(len(kept))
     on = slot[word] >= 0
-    w_of, s_of = slot[word][on], sen_of[on]
-    if not len(kept):
-        return nothing
-    bag = np.zeros(n_sen, np.int64)
-    bag[sen] = row
+    w_of, s_of, bag = slot[word][on], np.concatenate(sentence)[on], np.concatenate(bag)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, b = np.zeros(len(kept)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
