@@ -30,8 +30,9 @@ from tidemark.llm.common import parts_for, prepare, table
 WINDOW = 2048
 END = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words whose ids a worker remembers; when full it forgets those not in use.
-REMEMBERED = 800_000
+#: Words, and runs of letters, whose ids a worker remembers; when full it forgets words not in
+#: use (to be put together anew from their letters), or all runs.
+REMEMBERED, REMEMBERED_RUNS = 500_000, 1_200_000
 
 
 def public_vocabulary() -> str:
@@ -105,6 +106,7 @@ class WordIds:
         words = {w for ws in split for w in ws}
         if len(self.known) > REMEMBERED:  # what the present texts use is likely to come again
             self.known = {w: self.known[w] for w in words if w in self.known}
+        if len(self.cores) > REMEMBERED_RUNS:
             self.cores = {}
         known = self.known
         self._learn({w for w in words if w not in known})
