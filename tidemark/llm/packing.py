@@ -15,6 +15,8 @@ columns are ignored."""
 
 from __future__ import annotations
 
+import gc
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,6 +43,17 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte, as a rule: printable
+    Latin-1 characters stand for themselves, the others take the code points from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(256 + i) for i, b in enumerate(others) if b != 0x20}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 class WordIds:
     """Ids of texts as little-endian bytes.  This vocabulary never joins across ASCII white
     space, nor letters with other signs, so each distinct word is encoded once and remembered.
@@ -52,6 +65,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        # the same merges without normaliser and splitting, for runs that need neither
+        bare = json.loads(self.encoder.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
         vocabulary = self.encoder.get_vocab()
@@ -68,49 +84,53 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of letters."""
-        ids = np.array(self.encoder.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        """Ids of lower-case runs of Latin letters."""
+        joined = " ".join(runs).encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(runs):  # a run that lower case takes apart
-            return self._singly(runs)
+        if len(stops) != len(runs):
+            raise ValueError("the vocabulary does not end every run of letters")
         blob, at = ids.tobytes(), [0, *(4 * stops).tolist()]
         return [blob[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        cores, split, odd = self.cores, [], []
-        fresh: set[str] = set()
+        cores, known = self.cores, self.known
+        plain: dict[bytes, tuple[str, str]] = {}
+        odd: list[bytes] = []
         for w in words:
             text = w.decode()
             core = text.rstrip(".,;:!?")
-            if core.isalpha():
-                # ASCII letters differ from their lower case in nothing that ids see
-                core, tail = core.lower() if core.isascii() else core, text[len(core) :]
-                split.append((w, core, tail))
-                if core not in cores:
-                    fresh.add(core)
-                if tail and tail not in cores:
-                    cores[tail] = self._singly([tail])[0]
+            # Latin letters are composed already and have lower cases of one letter each (but U+0130)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
+                plain[w] = (core.lower(), text[len(core) :])
             else:
-                odd.append((w, text))
-        new = list(fresh)
+                odd.append(w)
+        runs, tails = (set(x) for x in zip(*plain.values(), strict=True)) if plain else (set(), set())
+        for tail in tails.difference(cores):
+            cores[tail] = self._singly([tail])[0] if tail else b""
+        new = list(runs.difference(cores))
         for i in range(0, len(new), 5000):
             cores.update(zip(new[i : i + 5000], self._letters(new[i : i + 5000]), strict=True))
-        for w, core, tail in split:
-            self.known[w] = cores[core] + cores[tail] if tail else cores[core]
+        known.update({w: cores[core] + cores[tail] for w, (core, tail) in plain.items()})
         for i in range(0, len(odd), 5000):
-            some = odd[i : i + 5000]
-            self.known.update(zip([w for w, _ in some], self._singly([t for _, t in some]), strict=True))
+            known.update(zip(odd[i : i + 5000], self._singly([w.decode() for w in odd[i : i + 5000]]), strict=True))
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        words = {w for ws in split for w in ws}
+        words = set().union(*split)
         if len(self.known) > REMEMBERED:  # what the present texts use is likely to come again
             self.known = {w: self.known[w] for w in words if w in self.known}
         if len(self.cores) > REMEMBERED_RUNS:
             self.cores = {}
-        known = self.known
-        self._learn({w for w in words if w not in known})
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        collecting = gc.isenabled()
+        gc.disable()  # a great many small objects, none of them in cycles
+        try:
+            self._learn(words.difference(self.known))
+        finally:
+            if collecting:
+                gc.enable()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, ws)) for ws in split]
 
 
 def cut(path: str, window: int = WINDOW, end: int = END):
