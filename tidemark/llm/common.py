@@ -56,6 +56,17 @@ def parts_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(n_shuffle(spark), -(-rows // per_task))
 
 
+#: What empties the caches that an operator keeps in a worker between tasks.
+CACHES: dict[str, object] = {}
+
+
+def own(operator: str) -> None:
+    """Called at the start of a task: workers are used again, so other operators' caches go."""
+    for name, clear in CACHES.items():
+        if name != operator:
+            clear()
+
+
 # ---------------------------------------------------------------- Arrow text buffers
 
 
@@ -109,6 +120,9 @@ def spans(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nda
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+CACHES["hashing"] = _POW.clear
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i in 0..n-1; base is odd."""
     have = _POW.get(base)

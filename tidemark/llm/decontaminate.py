@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, mix, prepare, table
+from tidemark.llm.common import U64, mix, own, prepare, table
 
 Q, CORE, RATE, BLOCK_CHARS = 11, 100, 0.06, 4_000_000
 
@@ -170,6 +170,7 @@ class Items:
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("items")
         items: Items = shared.value
         for b in batches:
             rows = []
@@ -208,6 +209,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _keep(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("items")
         items: Items = shared.value
         for b in batches:
             yield b.filter(pa.array([not items.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))

@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parts_for, prepare, table
+from tidemark.llm.common import CACHES, own, parts_for, prepare, table
 
 WINDOW = 2048
 END = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words, and runs of letters, whose ids a worker remembers; when full it forgets words not in
 #: use (to be put together anew from their letters), or all runs.
-REMEMBERED, REMEMBERED_RUNS = 500_000, 1_200_000
+REMEMBERED, REMEMBERED_RUNS = 300_000, 600_000
 
 
 def public_vocabulary() -> str:
@@ -133,10 +133,14 @@ class WordIds:
         return [b"".join(map(ids, ws)) for ws in split]
 
 
+CACHES["packing"] = WordIds._of.clear
+
+
 def cut(path: str, window: int = WINDOW, end: int = END):
     """The task that turns (doc_id, text) into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("packing")
         ids, tail = WordIds.at(path), end.to_bytes(4, "little")
         for b in batches:
             for at in range(0, b.num_rows, 500):

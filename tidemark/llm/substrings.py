@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BLANK, U64, chunked, mix, parts_for, prepare, rolling, span_hashes, spans, table, text_buffer
+from tidemark.llm.common import BLANK, U64, chunked, mix, own, parts_for, prepare, rolling, span_hashes, spans, table, text_buffer
 
 WIDTH = 35
 DEPTH = 2
 MAX_BITS = 1 << 30
 BLOCK = 1 << 22
 #: Bytes of text hashed at once, and windows gathered before a task sends them.
-CHUNK, FLUSH = 4 << 20, 3_000_000
+CHUNK, FLUSH = 2 << 20, 2_000_000
 _SEED = [U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)]
 
 
@@ -60,6 +60,7 @@ def windows_of(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarra
 
 def _all_windows(batches: Iterator[pa.RecordBatch], column: int, width: int):
     """(batch, h1, h2, row in batch, word) by chunks of text."""
+    own("hashing")
     for b in batches:
         raw, offs = text_buffer(b.column(column))
         for i, j in chunked(offs, CHUNK):
@@ -250,6 +251,7 @@ def _group(lots: int):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["lot", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("grouping")
         now, blobs = None, []
         for b in batches:
             known = b.column(1)
@@ -271,6 +273,7 @@ def _strip(width: int, text_at: int):
     """Rows sorted by lot, answers first: removes the covered words of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("stripping")
         now, keys, ats, open_ = None, np.zeros(0, np.int64), np.zeros(0, np.uint32), []
         for b in batches:
             lots, keep, out = b.column(0).to_pylist(), [], ([], [], [])

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, chunked, prepare, span_hashes, spans, table, text_buffer
+from tidemark.llm.common import U64, chunked, own, prepare, span_hashes, spans, table, text_buffer
 
 SAMPLE_ROWS, MAX_WORDS, MIN_ROWS = 12_000, 3_000, 4
-CHUNK, FIT_CHUNK, SLOT_BITS = 4 << 20, 1 << 20, 22
+CHUNK, FIT_CHUNK, SLOT_BITS = 2 << 20, 1 << 20, 22
 #: Bytes of the beginnings of longer words that count as features beside the words: stems.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bytes of words: letters, digits and whatever is not ASCII.
@@ -161,6 +161,7 @@ def fit(texts: list[str], labels: list[int], *, max_words: int = MAX_WORDS, step
 
 def _score(shared, offending: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("hashing")
         model: Model = shared.value
         for batch in batches:
             raw, offs = text_buffer(batch.column(1))
