@@ -4,6 +4,8 @@ connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -61,10 +63,14 @@ CACHES: dict[str, object] = {}
 
 
 def own(operator: str) -> None:
-    """Called at the start of a task: workers are used again, so other operators' caches go."""
+    """Called at the start of a task: workers are used again, so other operators' caches go, and
+    memory that allocators keep goes back to the system."""
     for name, clear in CACHES.items():
         if name != operator:
             clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # ---------------------------------------------------------------- Arrow text buffers
@@ -189,7 +195,7 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the links of one task by a star per component, a million links at a time."""
     forest, seen = Forest(), 0
 
@@ -210,17 +216,17 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, most_rounds: int = 60, *, contracted: bool = False) -> DataFrame:
     """(node, root) for every node of `links` (two long columns) but the roots themselves;
     a root is the smallest node reachable.
 
-    Each task first contracts its own links to stars; then large-star and small-star
+    Each task first contracts its own links to stars, unless they are `contracted`; then large-star and small-star
     rounds run until nothing changes.  Minima are combined map-side and the joins are
     plain equi-joins that adaptive execution may split, so a hub costs no single task.
     Every round is checkpointed to the shared folder."""
     a, b = links.columns
     e = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
-    e = e.mapInArrow(_contract, "a long, b long").distinct().checkpoint()
+    e = (e if contracted else e.mapInArrow(contract, "a long, b long")).distinct().checkpoint()
     prints = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     before = e.select(prints.alias("p")).first()["p"]
     for _ in range(most_rounds):

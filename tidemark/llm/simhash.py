@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Forest, connected_components, own, parts_for, prepare, table
+from tidemark.llm.common import U64, Forest, connected_components, contract, own, parts_for, prepare, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 
@@ -71,10 +71,11 @@ def _signed(x: int) -> int:
 
 
 def _stars(radius: int):
-    """Rows (bucket columns.., fp, node): links of each bucket, as stars.  A task holds the
+    """Rows (bucket columns.., fp, node): links of the task's buckets, as stars.  A task holds the
     rows of its own buckets, which the number of tasks bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("links")
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
@@ -113,7 +114,7 @@ def _stars(radius: int):
                 x, r = np.array(pairs).T
                 links.append((node[s + x], node[s + r]))
         a, b = (np.concatenate(p) for p in zip(*links, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield from contract(iter([pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])]))
 
     return run
 
@@ -147,7 +148,7 @@ def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS
     """(doc_id, fp: signed 64-bit, component_id) for every row of `docs`."""
     fps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long").checkpoint()
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).checkpoint()
-    roots = connected_components(link_fingerprints(classes.where("node is not null"), radius=radius))
+    roots = connected_components(link_fingerprints(classes.where("node is not null"), radius=radius), contracted=True)
     named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import U64, chunked, own, prepare, span_hashes, spans, table, text_buffer
 
 SAMPLE_ROWS, MAX_WORDS, MIN_ROWS = 12_000, 3_000, 4
-CHUNK, FIT_CHUNK, SLOT_BITS = 2 << 20, 1 << 20, 22
+CHUNK, FIT_CHUNK, SLOT_BITS = (1 << 20) - 1, (1 << 20) - 1, 22
 #: Bytes of the beginnings of longer words that count as features beside the words: stems.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bytes of words: letters, digits and whatever is not ASCII.
