@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -24,6 +25,8 @@ U64 = np.uint64
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship this package to the executors once per application, bound Arrow batches and
     make sure that a checkpoint folder exists (the cluster's own where it names one)."""
+    gc.collect()
+    trim()
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -68,6 +71,11 @@ def own(operator: str) -> None:
     for name, clear in CACHES.items():
         if name != operator:
             clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives unused memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc has it
         ctypes.CDLL(None).malloc_trim(0)

@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, chunked, own, prepare, span_hashes, spans, table, text_buffer
+from tidemark.llm.common import U64, chunked, own, prepare, span_hashes, spans, table, text_buffer, trim
 
 SAMPLE_ROWS, MAX_WORDS, MIN_ROWS = 12_000, 3_000, 4
-CHUNK, FIT_CHUNK, SLOT_BITS = (1 << 20) - 1, (1 << 20) - 1, 22
+CHUNK, FIT_CHUNK, SLOT_BITS = (1 << 20) - 1, (1 << 20) - 1, 21
 #: Bytes of the beginnings of longer words that count as features beside the words: stems.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bytes of words: letters, digits and whatever is not ASCII.
@@ -85,13 +86,13 @@ class Model:
         return out
 
 
-def fit(texts: list[str], labels: list[int], *, max_words: int = MAX_WORDS, steps: int = 250, l2: float = 2e-4, rate: float = 0.2, soft: float = 1e-4) -> Model:
+def fit(texts: list[str] | pa.Array, labels: list[int], *, max_words: int = MAX_WORDS, steps: int = 250, l2: float = 2e-4, rate: float = 0.2, soft: float = 1e-4) -> Model:
     """Adam on the mean log loss of noisy-or document scores; classes weigh alike."""
     y = np.array(labels, float)
     nothing = Model(np.zeros(0, U64), np.zeros(0), -60.0)
     if not len(y) or y.min() == y.max():
         return nothing
-    raw, offs = text_buffer(pa.array(texts, pa.string()))
+    raw, offs = text_buffer(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     n_pos, n_all = y.sum(), len(y)
 
     def chunks():
@@ -202,7 +203,13 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).toArrow()
-    return fit([t or "" for t in got["text"].to_pylist()], got["toxic"].to_pylist(), max_words=max_words)
+    texts, labels_of = pc.fill_null(got["text"], "").combine_chunks(), got["toxic"].to_pylist()
+    del got
+    try:
+        return fit(texts, labels_of, max_words=max_words)
+    finally:
+        del texts
+        trim()
 
 
 def score(docs: DataFrame, model: Model, *, offending: float = 0.5) -> DataFrame:
