@@ -331,7 +331,7 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_BITS, lot_
         level, k = divmod(r["block"], per_level)
         bits[level, k * size // 8 : (k + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits)
-    del shared._value, bits  # workers read the broadcast file; the driver needs no copy
+    del bits  # workers read the broadcast file; the driver needs no copy
 
     keyed = docs.select(F.struct("*").alias("doc")).select("doc", F.xxhash64("doc.text", "doc.doc_id").alias("key"))
     asked = keyed.select("key", "doc.text").mapInArrow(_ask(width, log_width, shared, lots), "lot int, known boolean, data binary")
