@@ -82,7 +82,7 @@ def snapshot_range_scan(spark, d):
     return versions.snapshot_range_scan(log_of(spark, d), 10, 60, middle(spark, d)).select("k", "ts", "v", "x")
 
 
-@query(f"WITH {V_SQL} SELECT p.k, p.ts AS "at", b.ts, b.op, b.v FROM (SELECT * FROM v WHERE ts % 7 = 0) p ASOF LEFT JOIN (SELECT * FROM v WHERE ts % 7 <> 0) b ON p.k = b.k AND p.ts >= b.ts")
+@query(f"WITH {V_SQL} SELECT p.k, p.ts AS \"at\", b.ts, b.op, b.v FROM (SELECT * FROM v WHERE ts % 7 = 0) p ASOF LEFT JOIN (SELECT * FROM v WHERE ts % 7 <> 0) b ON p.k = b.k AND p.ts >= b.ts")
 def asof_read(spark, d):
     log = log_of(spark, d)
     probes = log.where("ts % 7 = 0").select("k", F.col("ts").alias("at"))
