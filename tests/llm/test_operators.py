@@ -315,7 +315,7 @@ def test_decontamination(sp):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 == decontaminate.find_leaks(df, bench.limit(0)).count()
 
 
-def test_edits_within_is_exact():
+def test_alignment_is_exact():
     def brute(a, b):
         row = [0] * (len(b) + 1)
         for i, x in enumerate(a):
@@ -326,11 +326,26 @@ def test_edits_within_is_exact():
         return min(row)
 
     r = random.Random(1)
-    for _ in range(200):
-        a, b = ([r.randrange(3) for _ in range(r.randrange(1, 12))] for _ in range(2))
-        d = brute(a, b)
-        assert decontaminate.edits_within(np.array(a), np.array(b), 20) == d
-        assert decontaminate.edits_within(np.array(a), np.array(b), 1) == min(d, 2)
+    for _ in range(300):
+        c, a = ([r.randrange(3) for _ in range(n)] for n in (r.randrange(5, 14), r.randrange(1, 20)))
+        width, most = r.randrange(3, len(c) + 1), r.randrange(4)
+        d = min(brute(c[i : i + width], a) for i in range(len(c) - width + 1))
+        got = decontaminate.align(np.array(c), np.array(a), -len(c), len(a), width, most)
+        assert (got[2] if got else None) == (d if d <= most else None)
+
+
+def test_every_match_within_the_budget_is_found():
+    r = random.Random(11)
+    item = words(r, 40)
+    items = decontaminate.Items([(1, item)], decontaminate.Q, decontaminate.CORE, decontaminate.RATE)
+    for _ in range(60):
+        at = r.randrange(len(item) - 100)
+        part = list(item[at : at + 100])
+        for _ in range(6):  # the whole budget, anywhere
+            i = r.randrange(len(part))
+            part[i : i + 1] = r.choice([[], ["#"], [part[i], "#"]])
+        text = words(r, 30) + "".join(part) + words(r, 30)
+        assert items.matches(text)
 
 
 # ---------------------------------------------------------------- 8 simhash

@@ -9,7 +9,8 @@ diagonals within e of one another.
    than the lemma demands are dropped at once.
 2. The hits left are spread over (item, diagonal) and counted in bands 2e wide that overlap by
    half, within windows of document positions; bands below the bound cannot hold a match.
-3. What is left is verified by banded alignment (edit distance within the band).
+3. What is left is verified by banded alignment: exactly whether some `core` characters of the
+   item lie on the band's diagonals within the budget.
 
 Documents are read once, without a shuffle.  The items' q-grams are broadcast in blocks of at
 most `block_chars` characters (the bound of what is broadcast); more items mean more blocks.
@@ -58,19 +59,33 @@ def grams(a: np.ndarray, q: int) -> np.ndarray:
     return mix(h)
 
 
-def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edits that turn `a` into some part of `b` (its ends in `b` are free), or most + 1."""
-    n, m = len(a), len(b)
-    row = np.zeros(m + 1, np.int64)
-    steps = np.arange(m + 1)
-    for i in range(n):
-        new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (b != a[i]), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps  # insertions along the row
-        if row.min() > most:
-            return most + 1
-    return int(row.min())
+def align(c: np.ndarray, a: np.ndarray, low: int, high: int, width: int, most: int) -> tuple[int, int, int] | None:
+    """Banded alignment of every `width` consecutive characters of the item `c` with the document `a`
+    on the diagonals low..high: (start in the item, diagonal at its end, edits) of the one with the
+    fewest edits, or None if all need more than `most`.
+
+    For each start and diagonal it keeps how far into the item the edits so far reach; runs of
+    equal characters are looked up, so the work is edits x starts x diagonals."""
+    n, starts, diagonals = len(c), np.arange(len(c) - width + 1), np.arange(low, high + 1)
+    at = np.arange(n)[None, :] + diagonals[:, None]
+    inside = (at >= 0) & (at < len(a))
+    differs = np.ones((len(diagonals), n + 1), bool)
+    differs[:, :n] = ~inside | (c[None, :] != a[np.clip(at, 0, len(a) - 1)])
+    # the next difference at or after each position
+    stop = np.minimum.accumulate(np.where(differs, np.arange(n + 1), n)[:, ::-1], axis=1)[:, ::-1]
+    row = np.arange(len(diagonals))[:, None]
+    reach = stop[row, starts[None, :]]  # a start is free on every diagonal
+    for edits in range(most + 1):
+        if edits:
+            new = reach + 1  # another character
+            new[1:] = np.maximum(new[1:], reach[:-1])  # one more in the document
+            new[:-1] = np.maximum(new[:-1], reach[1:] + 1)  # one less
+            reach = stop[row, np.minimum(new, n)]
+        done = reach >= starts[None, :] + width
+        if done.any():
+            d, i = np.unravel_index(np.argmax(done), done.shape)
+            return int(starts[i]), int(diagonals[d]), edits
+    return None
 
 
 class Items:
@@ -139,32 +154,21 @@ class Items:
     def _verify(self, a: np.ndarray, i: int, dpos: np.ndarray, ipos: np.ndarray) -> tuple[int, int, int] | None:
         e, w, need, c = int(self.budget[i]), int(self.width[i]), int(self.need[i]), self.chars[i]
         band = 2 * max(e, 1)
-        diagonal = dpos - ipos + len(c)
-        tried: set[tuple[int, int]] = set()
+        diagonal = dpos - ipos + len(c)  # never negative
         best = None
-        for shift in (0, band // 2):  # overlapping bands: within e of one another is within one band
+        for shift in (0, band // 2):  # bands overlap by half: within e of one another is within one band
             which = (diagonal + shift) // band
             for d in np.unique(which).tolist():
-                mine = np.flatnonzero(which == d)
-                if len(mine) < need:
+                p = np.unique(dpos[which == d])  # items repeat q-grams: a document position counts once
+                if len(p) < need or (np.searchsorted(p, p + w + e) - np.arange(len(p))).max() < need:
                     continue
-                p = dpos[mine]
-                # items repeat q-grams: count document positions once
-                p, first = np.unique(p, return_index=True)
-                q = ipos[mine][first]
-                some = np.searchsorted(p, p + w + e) - np.arange(len(p))
-                for s in np.flatnonzero(some >= need).tolist():
-                    lo_item = max(0, min(int(q[s]), len(c) - w))
-                    if (d, lo_item // max(1, w // 8)) in tried:
-                        continue
-                    tried.add((d, lo_item // max(1, w // 8)))
-                    at = int(p[s]) - (int(q[s]) - lo_item)
-                    lo, hi = max(0, at - band), min(len(a), at + w + band)
-                    cost = edits_within(c[lo_item : lo_item + w], a[lo:hi], e)
-                    if cost <= e and (best is None or cost < best[2]):
-                        best = (max(0, at), min(len(a), at + w), cost)
-                        if cost == 0:
-                            return best
+                low = d * band - shift - len(c)
+                found = align(c, a, low - e, low + band - 1 + e, w, e)
+                if found is not None and (best is None or found[2] < best[2]):
+                    at = found[0] + found[1]  # to within the edits
+                    best = (max(0, at), min(len(a), at + w), found[2])
+                    if not found[2]:
+                        return best
         return best
 
 
@@ -184,7 +188,7 @@ def _scan(shared):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, core: int = CORE, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, edits): a row for each document and item it contains;
-    start and end are character positions of a matching stretch."""
+    start and end are character positions of a matching stretch, to within its edits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, start long, end long, edits long"
     shared = [docs.sparkSession.sparkContext.broadcast(Items(b, q, core, rate)) for b in _blocks(benchmark, block_chars)]
