@@ -1,7 +1,8 @@
 """Operator 4, toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence's score is the logistic of its summed word weights;
-the document's is their noisy-or, 1 - prod(1 - p).  Weights are trained from document labels
+the document's is their noisy-or, 1 - prod(1 - p).  In scoring, a sentence counts for what it adds to
+one without evidence, so that the small remainder of each does not add up over very long texts.  Weights are trained from document labels
 alone, by gradient descent through the noisy-or, on at most `sample_rows` labelled rows (a bound
 of the fit, chosen by hashed doc_id); afterwards the sentence scores locate what offends.
 
@@ -59,9 +60,15 @@ def words_and_sentences(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
     return np.stack(found), row, sentence, start, end
 
 
-def noisy_or(logit: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
-    """1 - prod over a bag of (1 - logistic(logit)), in logs; an empty bag has 0."""
-    return -np.expm1(-np.bincount(bag, np.logaddexp(0, logit), bags)) if len(logit) else np.zeros(bags)
+def _lost(logit: np.ndarray, rest: float) -> np.ndarray:
+    """-log(1 - p) of a sentence beyond that of one without evidence, whose logit is `rest`: so any
+    number of sentences that say nothing, as in very long texts, adds nothing."""
+    return np.maximum(0, np.logaddexp(0, logit) - np.logaddexp(0, rest))
+
+
+def noisy_or(logit: np.ndarray, bag: np.ndarray, bags: int, rest: float = -np.inf) -> np.ndarray:
+    """1 - prod over a bag of (1 - p), in logs; an empty bag has 0."""
+    return -np.expm1(-np.bincount(bag, _lost(logit, rest), bags)) if len(logit) else np.zeros(bags)
 
 
 class Model:
@@ -175,7 +182,7 @@ def _score(shared, offending: float):
                 first = np.flatnonzero(np.diff(sen, prepend=-1))
                 logit = np.add.reduceat(model.of(h), first) + model.bias
                 bag = row[first]
-                score[i:j] = noisy_or(logit, bag, j - i)
+                score[i:j] = noisy_or(logit, bag, j - i, model.bias)
                 p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
                 np.maximum.at(worst, bag + i, p)
                 last = np.append(first[1:], len(row)) - 1
