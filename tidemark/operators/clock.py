@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import SLAB, ordered_fold, running
 
-def hlc_now(events: DataFrame) -> DataFrame:
+
+def hlc_now(events: DataFrame, slab: int = SLAB) -> DataFrame:
     """(node, id, ms) in id order -> `hlc` (S3): the wall part never falls, events with equal wall
     parts count up.  The count stays below 65,536 a millisecond or carries into the wall part."""
-    so_far = Window.partitionBy("node").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    wall = events.withColumn("wall", F.max("ms").over(so_far))
+    wall = running(events, ["node"], ["id"], F.col("ms"), F.max, F.floor(F.col("id") / slab), "wall")
     logical = F.row_number().over(Window.partitionBy("node", "wall").orderBy("id")) - 1
     return wall.withColumn("hlc", F.shiftleft("wall", 16) + logical)
 
@@ -26,22 +27,19 @@ def logical_of(hlc: Column) -> Column:
 def hlc_merge(received: DataFrame) -> DataFrame:
     """(node, id, ms, remote_wall, remote_logical) -> the clock after all receipts (S4): the wall part
     is the largest of own, remote and physical; the counter follows whichever it came from."""
-    items = F.array_sort(F.collect_list(F.struct("id", "ms", "remote_wall", "remote_logical")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("w"), zero.alias("l"))
-
-    def step(a, x):
-        w = F.greatest(a.w, x.remote_wall, x.ms)
-        own, other = w == a.w, w == x.remote_wall
-        logical = (
-            F.when(own & other, F.greatest(a.l, x.remote_logical) + 1)
-            .when(own, a.l + 1)
-            .when(other, x.remote_logical + 1)
-            .otherwise(zero)
-        )
-        return F.struct(w.alias("w"), logical.alias("l"))
-
-    done = received.groupBy("node").agg(F.aggregate(items, start, step).alias("c"))
+
+    def step(s, _, ms, remote_wall, remote_logical):
+        w = max(s[0], remote_wall, ms)
+        if w == s[0]:
+            n = max(s[1], remote_logical) + 1 if w == remote_wall else s[1] + 1
+        else:
+            n = remote_logical + 1 if w == remote_wall else 0
+        s[:] = w, n
+        return {"w": w, "l": n}
+
+    rows = received.select("node", "id", "ms", "remote_wall", "remote_logical")
+    # the clock only rises, so its largest value is the last
+    done = ordered_fold(rows, "node", ["id", "ms", "remote_wall", "remote_logical"], lambda: [0, 0], step, "c", "struct<w:bigint,l:bigint>").groupBy("node").agg(F.max("c").alias("c"))
     return done.select("node", F.col("c.w").alias("wall"), F.col("c.l").alias("logical"))
 
 

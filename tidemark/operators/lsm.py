@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import SLAB, ordered_fold, running
+
 # Fixed values of the level layout.
 L0_TRIGGER, LEVEL_RATIO, BASE_BYTES, MAX_LEVELS, STALL_AT = 4, 10, 10 * 1024 * 1024, 7, 12
 
@@ -65,17 +67,18 @@ def manifest_state(added: DataFrame, deleted: DataFrame) -> DataFrame:
     return added.join(deleted, ["level", "file_num"], "left_anti").orderBy("level", "lo", "file_num")
 
 
-def segments(log: DataFrame, size: Column, limit: int, by: str = "k") -> DataFrame:
-    """Flush segment of each row: cut when the bytes before reach another multiple of `limit`."""
-    order = Window.partitionBy(by).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("bytes", size)
-    return rows.withColumn("segment", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / limit).cast("long"))
+def segments(log: DataFrame, size: Column, limit: int, by: str = "k", slab: Column | None = None) -> DataFrame:
+    """Flush segment of each row: cut when the bytes before reach another multiple of `limit`.
+    `slab` splits long logs (see `running`); else it is a range of `ts`."""
+    slab = F.floor(F.col("ts") / SLAB) if slab is None else slab
+    done = running(log.withColumn("bytes", size), [by], ["ts", "seq"], F.col("bytes"), F.sum, slab, "__tm_end")
+    return done.withColumn("segment", F.floor((F.col("__tm_end") - F.col("bytes")) / limit).cast("long")).drop("__tm_end")
 
 
-def stall_flags(changes: DataFrame, trigger: int = STALL_AT) -> DataFrame:
+def stall_flags(changes: DataFrame, trigger: int = STALL_AT, slab: int = SLAB) -> DataFrame:
     """(k, ts, delta) -> files in level 0 and whether writes stall."""
-    order = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return changes.withColumn("l0", F.sum("delta").over(order)).withColumn("stalled", F.col("l0") >= trigger)
+    done = running(changes, ["k"], ["ts"], F.col("delta"), F.sum, F.floor(F.col("ts") / slab), "l0")
+    return done.withColumn("stalled", F.col("l0") >= trigger)
 
 
 def cache_shard(file: Column, offset: Column) -> Column:
@@ -84,21 +87,15 @@ def cache_shard(file: Column, offset: Column) -> Column:
 
 
 def lru_hits(accesses: DataFrame, capacity: int) -> DataFrame:
-    """(shard, k, ts) -> hit of an LRU cache of `capacity` blocks a shard (N6, C13).  LRU is order
-    dependent, so a shard is simulated by applyInPandas; shards bound a group."""
-
-    def simulate(pdf):
-        from collections import OrderedDict
-
-        cache: OrderedDict = OrderedDict()
-        hits = []
-        pdf = pdf.sort_values("ts")
-        for k in pdf["k"].tolist():
-            hits.append(k in cache)
-            cache[k] = True
-            cache.move_to_end(k)
-            if len(cache) > capacity:
-                cache.popitem(last=False)
-        return pdf.assign(hit=hits)
-
-    return accesses.select("shard", "k", "ts").groupBy("shard").applyInPandas(simulate, "shard long, k long, ts long, hit boolean")
+    """(shard, k, ts) -> hit of an LRU cache of `capacity` blocks a shard (N6, C13); memory is one
+    cache."""
+
+    def step(cache, _, k):  # a dict keeps its order of insertion
+        hit = k in cache[0]
+        cache[0].pop(k, None)
+        cache[0][k] = True
+        if len(cache[0]) > capacity:
+            del cache[0][next(iter(cache[0]))]
+        return hit
+
+    return ordered_fold(accesses.select("shard", "ts", "k"), "shard", ["ts", "k"], lambda: [{}], step, "hit", "boolean").select("shard", "k", "ts", "hit")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import SLAB, running
+
 
 def commit_index(matched: DataFrame, entries: DataFrame, peers: int) -> DataFrame:
     """(term, peer, idx) -> the largest index on a majority whose entry has the term."""
@@ -25,7 +27,7 @@ def election_result(votes: DataFrame, peers: int) -> DataFrame:
     return votes.groupBy("term", "candidate").agg(F.count(F.lit(1)).alias("votes")).withColumn("elected", F.col("votes") >= peers // 2 + 1)
 
 
-def truncate_append(appends: DataFrame) -> DataFrame:
+def truncate_append(appends: DataFrame, slab: int = SLAB) -> DataFrame:
     """(node, at, idx) -> the entries left: a later append at or before an index cuts it."""
-    later = Window.partitionBy("node").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    return appends.withColumn("cut", F.min("idx").over(later)).where("cut is null or idx < cut").drop("cut")
+    done = running(appends, ["node"], [F.desc("at")], F.col("idx"), F.min, F.floor(F.col("at") / slab), "cut", newest_first=True, own=False)
+    return done.where("cut is null or idx < cut").drop("cut")

@@ -5,44 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import ordered_fold
+
 
 def commit_outcomes(txns: DataFrame) -> DataFrame:
     """(txn, k, snap, req) of single-key transactions -> `committed` (T4, W6, W7): in the order of
-    requests a transaction commits unless its key has a commit later than its snapshot.  The order
-    matters, so a key's transactions are folded as one sorted array."""
-    items = F.array_sort(F.collect_list(F.struct("req", "txn", "snap")))
-    start = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<txn:bigint,committed:boolean>>").alias("out"))
+    requests a transaction commits unless its key has a commit later than its snapshot."""
+    return _outcomes(txns).select("txn", "k", "committed")
+
 
-    def step(acc, x):
-        ok = acc.last <= x.snap
-        return F.struct(F.when(ok, x.req).otherwise(acc.last).alias("last"), F.concat(acc.out, F.array(F.struct(x.txn.alias("txn"), ok.alias("committed")))).alias("out"))
+def _outcomes(txns: DataFrame) -> DataFrame:
+    def step(last, req, _, snap):
+        ok = last[0] <= snap
+        if ok:
+            last[0] = req
+        return ok
 
-    folded = txns.groupBy("k").agg(items.alias("l")).select("k", F.explode(F.aggregate("l", start, step, lambda a: a.out)).alias("r"))
-    return folded.select("r.txn", "k", "r.committed")
+    return ordered_fold(txns.select("k", "req", "txn", "snap"), "k", ["req", "txn"], lambda: [-1], step, "committed", "boolean")
 
 
 def multi_key_outcomes(txns: DataFrame) -> DataFrame:
     """(txn, keys, snap, req) -> `committed` for transactions over several keys.  An abort changes
     later outcomes, which couples keys, so each connected component of keys and transactions is
-    replayed by itself in applyInPandas."""
+    replayed in order by itself; memory is one timestamp for each key of a component."""
     from tidemark.operators.graph import components
 
     edges = txns.select("txn", F.explode("keys").alias("key"))
     named = edges.select(F.concat(F.lit("t"), F.col("txn").cast("string")).alias("a"), F.concat(F.lit("k"), F.col("key").cast("string")).alias("b"))
     comp = components(named).where(F.col("node").startswith("t")).select(F.substring("node", 2, 30).cast("long").alias("txn"), "component")
 
-    def replay(pdf):
-        last: dict = {}
-        out = []
-        pdf = pdf.sort_values(["req", "txn"])
-        for keys, snap, req in zip(pdf["keys"], pdf["snap"], pdf["req"], strict=True):
-            ok = all(last.get(k, -1) <= snap for k in keys)
-            if ok:
-                last.update(dict.fromkeys(keys, req))
-            out.append(ok)
-        return pdf[["txn"]].assign(committed=out)
+    def step(last, req, _, keys, snap):
+        ok = all(last[0].get(k, -1) <= snap for k in keys)
+        if ok:
+            last[0].update(dict.fromkeys(keys, req))
+        return ok
 
-    return txns.join(comp, "txn").groupBy("component").applyInPandas(replay, "txn long, committed boolean")
+    rows = txns.join(comp, "txn").select("component", "req", "txn", "keys", "snap")
+    return ordered_fold(rows, "component", ["req", "txn"], lambda: [{}], step, "committed", "boolean").select("txn", "committed")
 
 
 def conflicts(txns: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def conflicts(txns: DataFrame) -> DataFrame:
 
 def latest_commits(txns: DataFrame) -> DataFrame:
     """Newest commit per key."""
-    return commit_outcomes(txns).where("committed").join(txns.select("txn", "req"), "txn").groupBy("k").agg(F.max("req").alias("commit_ts"))
+    return _outcomes(txns).where("committed").groupBy("k").agg(F.max("req").alias("commit_ts"))
 
 
 def min_active_snapshot(active: DataFrame, now: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import SLAB, ordered_fold, running
+
 # Fixed values of the record format.
 BLOCK_BYTES, HEADER_BYTES = 32768, 7
 
@@ -17,37 +19,32 @@ def replay(log: DataFrame, bad: Column, by: str = "k", order: str = "ts") -> Dat
 
 def group_commit(records: DataFrame, most: int, delay: int) -> DataFrame:
     """(k, ts, at) -> `batch`: a batch ends at `most` records or `delay` after its first."""
-    items = F.array_sort(F.collect_list(F.struct("ts", "at")))
-    kind = "array<struct<ts:bigint,batch:bigint>>"
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(-1).cast("long").alias("b"), zero.alias("n"), zero.alias("first"), F.array().cast(kind).alias("out"))
 
-    def step(a, x):
-        new = (a.b < 0) | (a.n >= most) | (x.at - a.first >= delay)
-        b = F.when(new, a.b + 1).otherwise(a.b)
-        return F.struct(b.alias("b"), F.when(new, F.lit(1).cast("long")).otherwise(a.n + 1).alias("n"), F.when(new, x.at).otherwise(a.first).alias("first"), F.concat(a.out, F.array(F.struct(x.ts.alias("ts"), b.alias("batch")))).alias("out"))
+    def step(s, _, at):  # batch, records in it, its first time
+        if s[0] < 0 or s[1] >= most or at - s[2] >= delay:
+            s[:] = s[0] + 1, 0, at
+        s[1] += 1
+        return s[0]
 
-    return records.groupBy("k").agg(items.alias("l")).select("k", F.explode(F.aggregate("l", start, step, lambda a: a.out)).alias("r")).select("k", "r.ts", "r.batch")
+    return ordered_fold(records.select("k", "ts", "at"), "k", ["ts", "at"], lambda: [-1, 0, 0], step, "batch", "bigint").select("k", "ts", "batch")
 
 
 def token_bucket(requests: DataFrame, burst: int, rate: int) -> DataFrame:
     """(k, ts, cost) -> `granted`: `rate` tokens a unit of ts, `burst` at most."""
-    items = F.array_sort(F.collect_list(F.struct("ts", "cost")))
-    kind = "array<struct<ts:bigint,granted:boolean>>"
-    start = F.struct(F.lit(burst).cast("long").alias("tokens"), F.lit(None).cast("long").alias("last"), F.array().cast(kind).alias("out"))
 
-    def step(a, x):
-        have = F.least(F.lit(burst).cast("long"), a.tokens + (x.ts - F.coalesce(a["last"], x.ts)) * rate)
-        ok = have >= x.cost
-        return F.struct(F.when(ok, have - x.cost).otherwise(have).alias("tokens"), x.ts.alias("last"), F.concat(a.out, F.array(F.struct(x.ts.alias("ts"), ok.alias("granted")))).alias("out"))
+    def step(s, ts, cost):  # tokens, when they were counted
+        s[:] = min(burst, s[0] + (ts - (ts if s[1] is None else s[1])) * rate), ts
+        ok = s[0] >= cost
+        if ok:
+            s[0] -= cost
+        return ok
 
-    return requests.groupBy("k").agg(items.alias("l")).select("k", F.explode(F.aggregate("l", start, step, lambda a: a.out)).alias("r")).select("k", "r.ts", "r.granted")
+    return ordered_fold(requests.select("k", "ts", "cost"), "k", ["ts", "cost"], lambda: [burst, None], step, "granted", "boolean").select("k", "ts", "granted")
 
 
-def fragments(records: DataFrame) -> DataFrame:
+def fragments(records: DataFrame, slab: int = SLAB) -> DataFrame:
     """(k, ts, bytes) -> pieces of each record over blocks of payload offsets."""
-    order = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("bytes") + HEADER_BYTES).over(order)
-    at = records.withColumn("end", end).withColumn("start", F.col("end") - F.col("bytes") - HEADER_BYTES)
+    at = running(records, ["k"], ["ts"], F.col("bytes") + HEADER_BYTES, F.sum, F.floor(F.col("ts") / slab), "end")
+    at = at.withColumn("start", F.col("end") - F.col("bytes") - HEADER_BYTES)
     n = F.floor((F.col("end") - 1) / BLOCK_BYTES) - F.floor(F.col("start") / BLOCK_BYTES) + 1
     return at.withColumn("pieces", n.cast("long")).withColumn("kind", F.when(F.col("pieces") == 1, "FULL").when(F.col("pieces") == 2, "FIRST+LAST").otherwise("FIRST+MIDDLE+LAST"))

@@ -193,7 +193,7 @@ _BLOCKS = "b AS (SELECT l_suppkey AS s, l_orderkey AS k, (row_number() OVER (PAR
 
 def _blocks(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("k"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("ts"), F.lit(0).alias("seq"))
-    return lsm.segments(rows, F.lit(40).cast("long"), 4096, by="s").groupBy("s", F.col("segment").alias("block")).agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.count(F.lit(1)).alias("n"))
+    return lsm.segments(rows, F.lit(40).cast("long"), 4096, by="s", slab=F.floor(F.col("k") / 65536)).groupBy("s", F.col("segment").alias("block")).agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_BLOCKS} SELECT s, CAST(block AS BIGINT) AS block, first_key, last_key, n FROM g")
