@@ -348,6 +348,22 @@ def test_every_match_within_the_budget_is_found():
         assert items.matches(text)
 
 
+def test_runs_of_one_word(monkeypatch):
+    """Long documents and items made of one word: many places for each q-gram."""
+    r = random.Random(4)
+    monkeypatch.setattr(decontaminate, "MOST_HITS", 5_000)  # many stretches
+    item = words(r, 20) + " " + "ha " * 60 + words(r, 20)
+    items = decontaminate.Items([(1, "ha " * 100), (2, item), (3, words(r, 40))], decontaminate.Q, decontaminate.CORE, decontaminate.RATE)
+    assert [m[0] for m in items.matches("ha " * 5000)] == [0, 1]
+    broken = " ".join("ha " * 12 + words(r, 3) for _ in range(8))  # runs too short for a match
+    assert items.matches(broken) == []
+    for at in (0, len(broken) // 2):
+        assert 1 in [m[0] for m in items.matches(broken[:at] + item[:140] + broken[at:])]
+    whole = [items.matches(broken + item), items.matches("ha " * 900 + item)]
+    monkeypatch.setattr(decontaminate, "MOST_HITS", 1 << 40)
+    assert [[m[0] for m in x] for x in whole] == [[m[0] for m in items.matches(t)] for t in (broken + item, "ha " * 900 + item)]
+
+
 # ---------------------------------------------------------------- 8 simhash
 
 

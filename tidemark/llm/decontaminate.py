@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import U64, mix, own, prepare, table
 
 Q, CORE, RATE, BLOCK_CHARS = 11, 100, 0.06, 4_000_000
+#: Places in items that are held at once while a document is matched.
+MOST_HITS = 2_000_000
 
 
 def characters(text: str | None) -> np.ndarray:
@@ -137,19 +139,40 @@ class Items:
         keep = np.cumsum(edge)[:-1] > 0
         pos, k = pos[keep], k[keep]
         n = self.end[k] - self.start[k]
+        found: dict[int, tuple[int, int, int]] = {}
+        for lo, hi in self._stretches(pos, n):
+            settled = {i for i, best in found.items() if not best[2]}  # no better match is left to find
+            for i, best in self._spread(a, pos[lo:hi], k[lo:hi], n[lo:hi], settled):
+                if i not in found or best[2] < found[i][2]:
+                    found[i] = best
+        return [(i, *best) for i, best in sorted(found.items())]
+
+    def _stretches(self, pos: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Cuts a document's hits where they stand for more than `MOST_HITS` places in items, as
+        runs of one character or word do; stretches overlap by a whole match, so none is lost."""
+        total, lo = np.concatenate(([0], np.cumsum(n))), 0
+        while lo < len(pos):
+            cut = max(lo + 1, int(np.searchsorted(total, total[lo] + MOST_HITS, "right")) - 1)
+            if cut >= len(pos):
+                yield lo, len(pos)
+                return
+            yield lo, int(np.searchsorted(pos, pos[cut - 1] + self.span, "right"))
+            lo = cut
+
+    def _spread(self, a: np.ndarray, pos: np.ndarray, k: np.ndarray, n: np.ndarray, settled: set[int]) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """(item number, its best match) among hits at the document positions `pos`, but for items
+        that are settled."""
         occ = np.repeat(self.start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         dpos, item, ipos = np.repeat(pos, n), self.item[occ], self.at[occ]
-        out = []
-        order = np.lexsort((dpos, item))
+        order = np.argsort(item, kind="stable")
         dpos, item, ipos = dpos[order], item[order], ipos[order]
         bounds = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             i = int(item[lo])
-            if hi - lo >= self.need[i]:
+            if hi - lo >= self.need[i] and i not in settled:
                 best = self._verify(a, i, dpos[lo:hi], ipos[lo:hi])
                 if best is not None:
-                    out.append((i, *best))
-        return out
+                    yield i, best
 
     def _verify(self, a: np.ndarray, i: int, dpos: np.ndarray, ipos: np.ndarray) -> tuple[int, int, int] | None:
         e, w, need, c = int(self.budget[i]), int(self.width[i]), int(self.need[i]), self.chars[i]
@@ -158,8 +181,12 @@ class Items:
         best = None
         for shift in (0, band // 2):  # bands overlap by half: within e of one another is within one band
             which = (diagonal + shift) // band
-            for d in np.unique(which).tolist():
-                p = np.unique(dpos[which == d])  # items repeat q-grams: a document position counts once
+            order = np.argsort(which, kind="stable")
+            heads, first = np.unique(which[order], return_index=True)
+            for d, mine in zip(heads.tolist(), np.split(order, first[1:]), strict=True):
+                if len(mine) < need:
+                    continue
+                p = np.unique(dpos[mine])  # items repeat q-grams: a document position counts once
                 if len(p) < need or (np.searchsorted(p, p + w + e) - np.arange(len(p))).max() < need:
                     continue
                 low = d * band - shift - len(c)
@@ -195,15 +222,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, core: int =
     return reduce(DataFrame.union, [rows.mapInArrow(_scan(s), schema) for s in shared])
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int | None, str | None]]]:
-    blocks, block, n = [], [], 0
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """Blocks of items, one at a time on the driver; at least one, if an empty one."""
+    block, n, given = [], 0, False
     for r in benchmark.select("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
         n += len(r["text"] or "")
         if n >= block_chars:
-            blocks.append(block)
-            block, n = [], 0
-    return blocks + ([block] if block or not blocks else [])
+            yield block
+            block, n, given = [], 0, True
+    if block or not given:
+        yield block
 
 
 def query(spark, sf_dir: str) -> DataFrame:
