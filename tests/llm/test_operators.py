@@ -181,6 +181,26 @@ def test_style_tree_removes_what_repeats(sp):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_inside_articles(sp):
+    r = random.Random(5)
+    rows, want = [], {}
+    for i in range(20):
+        title, *body = (words(r, 12) for _ in range(30))  # so many alike tags: presentation alone says template
+        quote = ["a passage of some articles"] * (i < 6)
+        late = ["corrected since"] * (i == 3)
+        want[i] = "\n".join([title, *body, *quote, *late])
+        html = f"<article><h1>{title}</h1><div class=text><p>{'<p>'.join(body)}</div>{''.join(f'<blockquote>{q}</blockquote>' for q in quote)}"
+        html += f"<div class=corr>{''.join(late)}</div><div class=letterbox><h3>Our letter</h3><p>Every week by mail</div></article>"
+        rows.append((i, f"https://a.example.org/{i}", html))
+    rows += [(100 + i, "http://b.example/x", "<article><p>all the same</article>") for i in range(9)]
+    got = {g.page_id: g.text for g in html_text.extract(sp.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want | {100 + i: "all the same" for i in range(9)}
+    # the first of a page's paragraphs says nothing of the others
+    rows = [(i, "http://c.example/", f"<article><p>Always first<p>{words(r, 9)}</article>") for i in range(9)]
+    got = html_text.extract(sp.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(g.text.startswith("Always first\n") and len(g.text) > 20 for g in got)
+
+
 # ---------------------------------------------------------------- 4 toxicity
 
 

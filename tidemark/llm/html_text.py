@@ -9,16 +9,18 @@ what looks and reads the same everywhere has none.  Both give the node's importa
 
 and branches of low importance are taken off every page of the host.  Roles that HTML names
 itself (nav, header, footer, aside, form, script, .. and class words such as `ad` or `sidebar`)
-have importance 0 from the start, and what the page marks as its article is kept whole but for
-such branches, as passages that an article shares with others are no template.
+have importance 0 from the start.  Inside what the page marks as its article, where the same
+structure around other words is no template, the entropy of the contents alone decides, and only
+for branches with text on at least `article_share` of the host's pages: passages that a few
+articles share stay.  Branches of one page with the same path are one node, with all their text.
 
 Importances come from counts that are combined map-side, so one host with a third of all pages
 costs no single task.  Low branches are few (they recur on `min_pages` pages); they are broadcast
 if counted below `broadcast_nodes`, else joined by host, which adaptive execution may split.
 
 Defined results: null or empty html gives an empty text; a page without article keeps what no
-rule removes; were the style tree to leave nothing of a page (all its pages alike), it is not
-used there; a null url is the host ''; repeated rows each come out; no rows, no result; other
+rule removes; were the style tree to leave nothing of a page or of its article (all its pages
+alike), it is not used there; a null url is the host ''; repeated rows each come out; no rows, no result; other
 columns are ignored."""
 
 from __future__ import annotations
@@ -124,9 +126,9 @@ def parse(html: str) -> Node:
     return root
 
 
-def blocks(node: Node, low: frozenset[int] | set[int] = frozenset(), free: bool = False) -> list[str]:
+def blocks(node: Node, low: frozenset[int] | set[int] = frozenset(), free: bool = False, spans: list | None = None) -> list[str]:
     """Text blocks under `node` in page order.  low: paths of unimportant branches, obeyed unless
-    `free`."""
+    `free`.  spans: takes [element, first block, end] of every block element kept."""
     out: list[str] = []
     text: list[str] = []
 
@@ -137,9 +139,9 @@ def blocks(node: Node, low: frozenset[int] | set[int] = frozenset(), free: bool
         text.clear()
 
     # (node, index) stack: no recursion, so any depth will do
-    stack: list[tuple[Node, Iterator]] = [(node, iter(node.items))]
+    stack: list[tuple[Node, Iterator, list | None]] = [(node, iter(node.items), None)]
     while stack:
-        top, items = stack[-1]
+        top, items, span = stack[-1]
         for x in items:
             if isinstance(x, str):
                 text.append(x)
@@ -154,12 +156,18 @@ def blocks(node: Node, low: frozenset[int] | set[int] = frozenset(), free: bool
                     close()
                 elif x.tag in ("td", "th"):
                     text.append(" ")
-                stack.append((x, iter(x.items)))
+                span = None
+                if spans is not None and x.tag in BLOCKS:
+                    span = [x, len(out), 0]
+                    spans.append(span)
+                stack.append((x, iter(x.items), span))
                 break
         else:
             stack.pop()
             if top.tag in BLOCKS:
                 close()
+            if span is not None:
+                span[2] = len(out)
     close()
     return out
 
@@ -190,32 +198,42 @@ def mains(root: Node) -> list[Node]:
 
 def main_text(html: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
     root = parse(html or "")
-    marked = [b for x in mains(root) for b in blocks(x, free=True)]
+    found = mains(root)
+    marked = [b for x in found for b in blocks(x, low)] or [b for x in found for b in blocks(x, free=True)]
     if marked:
         return "\n".join(marked)
     return "\n".join(blocks(root, low) or blocks(root, free=True))
 
 
+#: The node of whole pages: it counts the pages of a host.
+ROOT = Node("#root", "", None).path
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every branch of every page: host, style node, its child tags' number, and a hash of its
-    presentation (kind 0) and of its content (kind 1)."""
+    """For every branch of every page: host, style node, its child tags' number, whether it is in the
+    article, and a hash of its presentation (kind 0) and of its content (kind 1).  Branches of the
+    article count where they have text."""
     for b in batches:
-        rows: list[tuple[str, int, int, int, int]] = []
+        rows: list[tuple[str, int, int, bool, int, int]] = []
         for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            host, seen = parts(url)[0], set()
-            root = parse(html or "")
-            inside = {id(y) for x in mains(root) for y in _elements(x)}
-            for x in _elements(root):
-                if x.tag not in BLOCKS or x.path in seen or id(x) in inside and x.tag != "article":
+            host, root = parts(url)[0], parse(html or "")
+            inside = {id(y) for x in mains(root) for y in _elements(x) if y is not x}
+            spans: list = []
+            text = blocks(root, free=True, spans=spans)
+            nodes: dict[int, tuple[bool, list[list[str]], list[str]]] = {}
+            for x, start, end in [(root, 0, len(text)), *spans]:
+                if start == end and id(x) in inside:
                     continue
-                seen.add(x.path)
-                children = [c.look for c in x.items if not isinstance(c, str)]
-                content = "\n".join(blocks(x, free=True)) if not x.noise else ""
-                for kind, what in ((0, "\n".join(children)), (1, content)):
-                    rows.append((host, _signed(x.path), len(children), kind, _signed(xxhash.xxh64_intdigest(what))))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "node", "children", "kind", "feature"])
+                of = nodes.setdefault(x.path, (id(x) in inside, [], []))
+                of[1].append([c.look for c in x.items if not isinstance(c, str)])
+                of[2].extend(text[start:end])
+            for path, (within, looks, content) in nodes.items():
+                children = sum(map(len, looks)) // len(looks)
+                for kind, what in ((0, "\0".join("\n".join(x) for x in looks)), (1, "\n".join(content))):
+                    rows.append((host, _signed(path), children, within, kind, _signed(xxhash.xxh64_intdigest(what))))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "node", "children", "inside", "kind", "feature"])
 
 
 def _signed(x: int) -> int:
@@ -223,11 +241,13 @@ def _signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame, *, decay: float = 0.9) -> DataFrame:
-    """(host, node, pages, presentation, content, importance) of the merged style nodes."""
-    seen = pages.select("url", "html").mapInArrow(_features, "host string, node long, children int, kind int, feature long")
-    counted = seen.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.sum("children").alias("l"))
+    """(host, node, inside, pages, presentation, content, importance) of the merged style nodes;
+    inside: within the article of some page."""
+    seen = pages.select("url", "html").mapInArrow(_features, "host string, node long, children int, inside boolean, kind int, feature long")
+    counted = seen.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.sum("children").alias("l"), F.max("inside").alias("inside"))
     n, term = F.sum(F.when(F.col("kind") == 0, F.col("c"))), F.col("c") * F.log("c")
     sums = counted.groupBy("host", "node").agg(
+        F.max("inside").alias("inside"),
         n.alias("pages"),
         F.sum(F.when(F.col("kind") == 0, term)).alias("s0"),
         F.sum(F.when(F.col("kind") == 1, term)).alias("s1"),
@@ -238,8 +258,8 @@ def style_tree(pages: DataFrame, *, decay: float = 0.9) -> DataFrame:
         return F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(1 - F.col(s) / (F.col("pages") * F.log("pages")))
 
     weight = F.pow(F.lit(decay), F.col("l"))
-    return sums.select("host", "node", "pages", entropy("s0").alias("presentation"), entropy("s1").alias("content"), weight.alias("w")).select(
-        "host", "node", "pages", "presentation", "content", ((1 - F.col("w")) * F.col("presentation") + F.col("w") * F.col("content")).alias("importance")
+    return sums.select("host", "node", "inside", "pages", entropy("s0").alias("presentation"), entropy("s1").alias("content"), weight.alias("w")).select(
+        "host", "node", "inside", "pages", "presentation", "content", ((1 - F.col("w")) * F.col("presentation") + F.col("w") * F.col("content")).alias("importance")
     )
 
 
@@ -251,10 +271,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, *, threshold: float = 0.3, min_pages: int = 5, broadcast_nodes: int = 100_000) -> DataFrame:
+def extract(pages: DataFrame, *, threshold: float = 0.3, min_pages: int = 5, article_share: float = 0.5, broadcast_nodes: int = 100_000) -> DataFrame:
     """(page_id, url, text) for every page."""
-    tree = style_tree(pages)
-    low = tree.where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "node").checkpoint()
+    whole, unlike = F.col("node") == _signed(ROOT), F.when(F.col("inside"), F.col("content")).otherwise(F.col("importance"))
+    tree = style_tree(pages).where((F.col("pages") >= min_pages) & (whole | (unlike < threshold))).select("host", "node", "inside", "pages").checkpoint()
+    hosts = tree.where(whole).select("host", F.col("pages").alias("all"))
+    common = tree.where(~whole & F.col("inside")).join(hosts, "host").where(F.col("pages") >= article_share * F.col("all"))
+    low = tree.where(~whole & ~F.col("inside")).select("host", "node").unionByName(common.select("host", "node"))
     n = low.count()
     by_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of("url").alias("host"))
