@@ -303,6 +303,20 @@ def test_url_rules_and_model(sp):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_words_come_from_all_pages(sp):
+    slugs = ["cheapside-road", "blue-widget", "widget-museum", "blue-road"]
+    rows = [(i, f"https://example.org/{slugs[i % 4]}/{i}") for i in range(80)]
+    rows += [(100, "https://cheapside.example.org/"), (101, "https://bluewidget.example.org/"), (102, "https://qorvu.example.org/"), (103, "https://qorvuwidget.example.org/")]
+    df = sp.createDataFrame(rows, "page_id long, url string")
+    got = {g.page_id: g for g in urls.filter_urls(df).collect()}
+    assert got[100].log_odds == urls.BAYES.prior and got[100].verdict == "allow"  # the list alone reads `cheap`
+    known = urls.learn(df)
+    assert known.split("bluewidget") == ["blue", "widget"] and known.split("qorvuwidget") == ["qorvu", "widget"] and known.split("cheapside") == ["cheapside"]
+    assert known.split("spamfarm") == ["spam", "farm"] and urls.learn(df.limit(0)).counts == urls.LISTED
+    own = {"casino win", "free bets", "cheap pills", "adult x", "ads track", "spam farm"}
+    assert not own & {" ".join(x) for x in urls._words(urls.BLOCKED)}
+
+
 # ---------------------------------------------------------------- 7 decontamination
 
 
