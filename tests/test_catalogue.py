@@ -1,6 +1,7 @@
 """Every registered query of the catalogue against its SQL, on the smallest tables."""
 
 import os
+from collections import Counter
 
 import compare
 import pytest
@@ -22,6 +23,13 @@ def test_query_matches_sql(spark, con, name):
     assert compare.same(catalogue.QUERIES[name](spark, DIR), con, catalogue.SQL[name]) is None
 
 
+def test_every_order_is_probed(spark):
+    keys = {r[0] for r in catalogue.table(spark, DIR, "orders").select("o_orderkey").collect()}
+    held = [tuple(r) for r in catalogue.files(spark, DIR).select("level", "lo", "hi").collect()]
+    want = Counter((k, level) for k in keys for level, lo, hi in held if lo <= k <= hi)
+    assert {(r.k, r.level): r.files for r in catalogue.QUERIES["level_probe_all"](spark, DIR).collect()} == want
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 

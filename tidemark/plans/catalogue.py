@@ -277,6 +277,12 @@ def level_probe(spark, d):
     return lsm.level_probe(keys, files(spark, d)).groupBy("k", "level").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(f"WITH {FILES_SQL} SELECT o_orderkey AS k, level, count(*) AS files FROM orders JOIN f ON o_orderkey BETWEEN lo AND hi GROUP BY 1, 2")
+def level_probe_all(spark, d):
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    return lsm.level_probe(keys, files(spark, d)).groupBy("k", "level").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query(f"WITH {FILES_SQL} SELECT level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM f GROUP BY level")
 def compaction_stats(spark, d):
     return files(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
