@@ -30,6 +30,20 @@ def test_every_order_is_probed(spark):
     assert {(r.k, r.level): r.files for r in catalogue.QUERIES["level_probe_all"](spark, DIR).collect()} == want
 
 
+def test_every_version_is_asked_for_and_ranked(spark):
+    log = [(r.k, r.ts) for r in catalogue.log_of(spark, DIR).collect()]
+    of = {}
+    for k, ts in sorted(log):
+        of.setdefault(k, []).append(ts)
+    asked = {(r.k, r["at"]): r.ts for r in catalogue.QUERIES["asof_read_all"](spark, DIR).collect()}
+    assert asked == {(k, ts - 1): of[k][i - 1] if i else None for k in of for i, ts in enumerate(of[k])}
+    ranks = {(r.k, r.ts): r.rn for r in catalogue.QUERIES["version_rank_all"](spark, DIR).collect()}
+    assert ranks == {(k, ts): len(of[k]) - i for k in of for i, ts in enumerate(of[k])}
+    found = {r.target: r.k for r in catalogue.QUERIES["seek_lower_bound_all"](spark, DIR).collect()}
+    wanted = [r.k for r in catalogue.requests(spark, DIR).collect()]
+    assert found == {t: min((k for k in of if k >= t), default=None) for t in wanted}
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 

@@ -89,11 +89,22 @@ def asof_read(spark, d):
     return versions.asof(probes, log.where("ts % 7 != 0")).select("k", "at", "ts", "op", "v")
 
 
+@query(f"WITH {V_SQL} SELECT p.k, p.ts - 1 AS \"at\", b.ts, b.op, b.v FROM v p ASOF LEFT JOIN v b ON p.k = b.k AND p.ts - 1 >= b.ts")
+def asof_read_all(spark, d):
+    log = log_of(spark, d)
+    return versions.asof(log.select("k", (F.col("ts") - 1).alias("at")), log).select("k", "at", "ts", "op", "v")
+
+
 @query(f"WITH {V_SQL}, keys AS (SELECT DISTINCT k FROM v WHERE k % 3 = 0) SELECT c_custkey AS target, (SELECT min(k) FROM keys WHERE k >= c_custkey) AS k FROM customer")
 def seek_lower_bound(spark, d):
     return versions.seek_lower_bound(log_of(spark, d).where("k % 3 = 0"), requests(spark, d)).select("target", "k")
 
 
+@query(f"WITH {V_SQL}, keys AS (SELECT DISTINCT k FROM v) SELECT c_custkey AS target, (SELECT min(k) FROM keys WHERE k >= c_custkey) AS k FROM customer")
+def seek_lower_bound_all(spark, d):
+    return versions.seek_lower_bound(log_of(spark, d), requests(spark, d)).select("target", "k")
+
+
 @query(f"WITH {V_SQL} SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT k FROM v)")
 def contains_any_version(spark, d):
     return versions.contains_any_version(log_of(spark, d), requests(spark, d))
@@ -119,6 +130,11 @@ def version_rank(spark, d):
     return versions.version_rank(log_of(spark, d)).where("rn <= 3").select("k", "ts", "rn")
 
 
+@query(f"WITH {V_SQL}, {_RANKED} SELECT k, ts, CAST(rn AS INTEGER) AS rn FROM r")
+def version_rank_all(spark, d):
+    return versions.version_rank(log_of(spark, d)).select("k", "ts", "rn")
+
+
 @query(f"WITH {V_SQL}, {_RANKED} SELECT k, ts, op, v FROM r WHERE rn > 1")
 def shadowed_versions(spark, d):
     return versions.shadowed(log_of(spark, d)).select("k", "ts", "op", "v")
