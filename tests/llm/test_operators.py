@@ -446,6 +446,28 @@ def test_near_groups_edges(sp):
     assert simhash.near_groups(frame(sp, rows).limit(0)).count() == 0
 
 
+def test_rows_without_id_link_others(sp):
+    r = random.Random(1)
+    text = words(r, 400).split()
+    steps, fps = [text], [simhash.fingerprint(" ".join(text))]
+    while len(steps) < 3:  # each near the one before, the third not near the first
+        t = list(steps[-1])
+        for _ in range(r.randint(1, 6)):
+            t[r.randrange(len(t))] = words(r, 1)
+        f = simhash.fingerprint(" ".join(t))
+        if (f ^ fps[-1]).bit_count() <= 3 and f not in fps and (len(fps) < 2 or (f ^ fps[0]).bit_count() > 3):
+            steps.append(t)
+            fps.append(f)
+    a, b, c = (" ".join(t) for t in steps)
+    docs = sp.createDataFrame([(4, a), (None, b), (9, c), (7, "quite another text of its own")], "doc_id long, text string")
+    assert {(g.doc_id, g.component_id) for g in simhash.near_groups(docs).collect()} == {(4, 4), (None, 4), (9, 4), (7, 7)}
+    assert {(g.doc_id, g.component_id) for g in simhash.near_groups(docs.where("doc_id is null")).collect()} == {(None, None)}
+    turned = [[float(np.cos(x)), float(np.sin(x))] for x in (0.0, 0.25, 0.5, 2.0)]  # 0.25 apart: cosine 0.97; 0.5: 0.88
+    df = sp.createDataFrame(list(zip([4, None, 9, 7], turned)), "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in vectors.near_vectors(df).collect()}
+    assert got == {4: (1, 4, True), None: (2, 4, True), 9: (1, 4, False), 7: (0, 7, True)}
+
+
 def test_components_of_a_long_path_and_a_hub(sp):
     path = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(5, 5), (None, 3)]
     roots = dict(map(tuple, connected_components(sp.createDataFrame(path, "x long, y long").repartition(7)).collect()))

@@ -14,8 +14,8 @@ members at the very most.
 
 Defined results: no words (null, empty or blank text): fingerprint zero, linked like any other;
 fewer words than a shingle: the whole sequence is the one shingle; repeated shingles count
-each time; a null doc_id gets its fingerprint and the component of its class (null if no member
-has an id); repeated rows come out once each; no rows, no result; other columns are ignored."""
+each time; a null doc_id links like any other and gets the component of its group (null if no
+member has an id); repeated rows come out once each; no rows, no result; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, Forest, connected_components, contract, own, parts_for, prepare, table
+from tidemark.llm.common import U64, Forest, connected_components, contract, numbered, own, parts_for, prepare, smallest_ids, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 
@@ -147,9 +147,9 @@ def link_fingerprints(nodes: DataFrame, *, radius: int = RADIUS, most: int = 200
 def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp: signed 64-bit, component_id) for every row of `docs`."""
     fps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long").checkpoint()
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).checkpoint()
-    roots = connected_components(link_fingerprints(classes.where("node is not null"), radius=radius), contracted=True)
-    named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    classes, nameless = numbered(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(link_fingerprints(classes.select("fp", "node"), radius=radius), contracted=True)
+    named = smallest_ids(classes, roots, nameless).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

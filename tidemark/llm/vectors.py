@@ -13,7 +13,7 @@ stay small while the guaranteed radius stays `radius`.
 
 Defined results: a null vector, one with null or non-finite components and the zero vector
 link with nothing, not even with their likes, and are kept; vectors of different lengths do not
-link; repeated rows count as links of one another; a null vec_id belongs to its class, but names
+link; repeated rows count as links of one another; a null vec_id links like any other, but names
 no component; no rows, no result; other columns, labels among them, are ignored."""
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, connected_components, prepare, table
+from tidemark.llm.common import U64, connected_components, numbered, prepare, smallest_ids, table
 
 THRESHOLD, SAMPLE_ROWS, RADIUS, MOST_BITS = 0.95, 20_000, 7, 18
 
@@ -134,13 +134,13 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, sample_row
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.mapInArrow(_clean, "vec_id long, v binary").checkpoint()
-    plain = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = plain.select("node", "v", "copies").checkpoint()
-    named = nodes.where("node is not null")
+    plain = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes, nameless = numbered(plain)
+    named = nodes.select("node", "v", "copies")
     n = named.count()
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if n < 2:
-        linked = rows.where("v is not null").join(nodes, "v").select("vec_id", (F.col("copies") - 1).alias("n_links"), F.col("node").alias("component_id"))
+        linked = rows.where("v is not null").join(nodes, "v").select("vec_id", (F.col("copies") - 1).alias("n_links"), F.col("least").alias("component_id"))
     else:
         dims = named.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()["n"]  # the usual length
         sample = named.where(F.length("v") == dims).orderBy(F.xxhash64("node")).limit(sample_rows).select("v").toArrow()["v"]
@@ -155,8 +155,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, sample_row
             .agg(F.sum("c").alias("others"))
         )
         roots = connected_components(links.select("a", "b"))
-        known = nodes.join(degree, "node", "left").join(roots, "node", "left")
-        known = known.select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+        known = smallest_ids(nodes.join(degree, "node", "left"), roots, nameless)
+        known = known.select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
         linked = rows.where("v is not null").join(known, "v").select("vec_id", "n_links", "component_id")
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
