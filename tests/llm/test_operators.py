@@ -4,10 +4,12 @@ long texts, ties, repeated rows, empty tables and clashing column names."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -201,6 +203,62 @@ def test_style_tree_inside_articles(sp):
     assert all(g.text.startswith("Always first\n") and len(g.text) > 20 for g in got)
 
 
+def test_names_are_a_prior():
+    page = '<article><p class="legal">Court ruled</p><div class="share-price">42</div>{}<p>x</p></article>'
+    for noise in ("<div class=share-buttons>s</div>", "<p class=ad>b</p>", "<section id=comments><p>r</section>", "<div class='legal'>l</div>", "<nav>n</nav>", "<p role=dialog>d</p>"):
+        assert html_text.main_text(page.format(noise)) == "Court ruled\n42\nx"
+    assert html_text.prior("p", "notice", "") == 0.5 and html_text.prior("div", "notice", "") == 0.0 == html_text.prior("nav", "", "")
+
+
+def test_tags_by_the_rules_of_html():
+    assert html_text.main_text("<article><p title=it's>one</p><p>two</p></article>") == "one\ntwo"
+    assert html_text.main_text('<article><p>a <a title="5" screen">b</a> c</p></article>') == "a b c"
+    assert html_text.main_text('<article><p>a <a title="never>b</a> c</p></article>') == "a b c"
+    assert html_text.main_text("<ul><li>a<li>b<ul><li>c</ul>d</ul>e<table><tr><td>1<td>2<tr><td>3</table><dl><dt>x<dd>y</dl>") == "a\nb\nc\nd\ne\n1 2\n3\nx\ny"
+    assert html_text.main_text("<p>a<!-- > --!>b<!-->c<!DOCTYPE x>d</>e</ x>f<p>g < h <3 &amp;lt; <b") == "abcdef\ng < h <3 &lt;"
+
+
+@pytest.mark.parametrize("part", ["<div>", "</b>", '<a t="x>', "<a ", "<b><h1>", "<ul><li>", "<!--", "<script>", "<table><tr><td>", "<i><p>", "=", "&", "<p>x</div>"])
+def test_broken_pages_are_linear(part):
+    html = "<p>" + part * (100_000 // len(part)) + "x"
+    batch = pa.RecordBatch.from_arrays([pa.array(["http://x/"]), pa.array([html])], ["url", "html"])
+    began = time.process_time()
+    html_text.main_text(html)
+    list(html_text._features(iter([batch])))
+    assert time.process_time() - began < 2  # about 0.3 s; quadratic work takes minutes
+
+
+def test_importance_by_definition(sp):
+    """Entropies of the merged nodes against a count over all pages, without hashes."""
+    r = random.Random(6)
+    rows = []
+    for i in range(40):
+        inner = "".join(f"<p>{words(r, r.randrange(1, 3))}</p>" for _ in range(r.randrange(4)))
+        extra = "<div class=x><ul><li>a<li>b</ul></div>" * r.randrange(3)
+        rows.append((i, f"http://h{i % 3}.example/", f"<body><div id=t>Same</div><div id=m class={r.choice('pq')}>{inner}</div>{extra}<div class='y notice'>{r.choice('uv')}</div><p class=notice>{r.randrange(3)}"))
+    seen = defaultdict(list)
+    for _, url, html in rows:
+        root, spans, of = html_text.parse(html), [], {}
+        text = html_text.blocks(root, free=True, spans=spans)
+        for x, a, b in [(root, 0, len(text)), *spans]:
+            of.setdefault((url[7:-1], x.path, x.prior), []).append((tuple(c.look for c in x.items if not isinstance(c, str)), tuple(text[a:b])))
+        for k, v in of.items():
+            seen[k].append(v)
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * np.log(c / n) for c in Counter(values).values()) / np.log(n) if n > 1 else 1.0
+
+    want = {}
+    for (host, path, prior), pages in seen.items():
+        shown, held = entropy([tuple(x for x, _ in v) for v in pages]), entropy([tuple(t for _, t in v) for v in pages])
+        w = 0.9 ** (sum(sum(len(x) for x, _ in v) // len(v) for v in pages) / len(pages))
+        want[host, html_text._signed(path)] = (len(pages), prior * ((1 - w) * shown + w * held))
+    got = html_text.style_tree(sp.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(g.host, g.node) for g in got} == set(want) and len(want) > 20
+    assert all(g.pages == want[g.host, g.node][0] and abs(g.importance - want[g.host, g.node][1]) < 1e-9 for g in got)
+
+
 # ---------------------------------------------------------------- 4 toxicity
 
 
