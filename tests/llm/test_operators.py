@@ -499,11 +499,28 @@ def test_near_groups_edges(sp):
     by = {g.doc_id: g.component_id for g in got}
     assert by[101] == by[102] == by[103] and by[100] == by[6]
     kept = simhash.keep_one(frame(sp, rows))
-    assert {101, 102, 103} & {r.doc_id for r in kept.collect()} <= {min(d for d, c in by.items() if d is not None and c == by[101])}
-    assert None in {r.doc_id for r in kept.collect()} and kept.columns == frame(sp, rows).columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len({g.component_id for g in got}) and set(ids) == {g.component_id for g in got} and kept.columns == frame(sp, rows).columns
     assert simhash.near_groups(frame(sp, rows).limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(sp):
+    texts = {x: words(random.Random(i), 300) for i, x in enumerate("ABCDE")}
+    rows = [(1, "A"), (5, "A"), (5, "B"), (7, "C"), (7, "C"), (None, "D"), (None, "D"), (None, "A"), (8, "E"), (8, "E"), (8, "E")]
+    df = sp.createDataFrame([(d, texts[x], x) for d, x in rows], "doc_id long, text string, `key.x` string").selectExpr("*", "map(1, 2) AS m")
+    for _ in range(2):
+        got = simhash.keep_one(df.repartition(5))
+        assert got.columns == df.columns and sorted(map(repr, ((g.doc_id, g["key.x"]) for g in got.collect()))) == sorted(map(repr, [(1, "A"), (5, "B"), (7, "C"), (None, "D"), (8, "E")]))
+    # equal ids and texts, but other columns: one row all the same
+    df = sp.createDataFrame([(3, texts["A"], "x"), (3, texts["A"], "y"), (3, texts["B"], "x")], "doc_id long, text string, row string")
+    got = simhash.keep_one(df).collect()
+    assert sorted(g.text for g in got) == sorted([texts["A"], texts["B"]])
+    assert simhash.keep_one(df.limit(0)).count() == 0
+    # one id with two texts links nothing: 9 is like the second text of 3, 4 like neither
+    df = sp.createDataFrame([(3, texts["A"]), (3, texts["B"]), (9, texts["B"] + " end"), (4, texts["C"]), (2, texts["A"])], "doc_id long, text string")
+    assert sorted((g.doc_id, g.component_id) for g in simhash.near_groups(df).collect()) == [(2, 2), (3, 2), (3, 3), (4, 4), (9, 3)]
+
+
 def test_rows_without_id_link_others(sp):
     r = random.Random(1)
     text = words(r, 400).split()

@@ -258,19 +258,15 @@ def connected_components(links: DataFrame, most_rounds: int = 60, *, contracted:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
-    """Classes with a `node` for link search, checkpointed: their `least` id, or, if any has none
-    (true), a number of its own for every class."""
-    found = classes.withColumn("__tm_id", F.monotonically_increasing_id()).checkpoint()
-    nameless = found.where("least is null").limit(1).count() > 0
-    return found.withColumn("node", F.col("__tm_id" if nameless else "least")).drop("__tm_id"), nameless
-
-
-def smallest_ids(classes: DataFrame, roots: DataFrame, nameless: bool) -> DataFrame:
-    """`classes` of `numbered` with component_id: the smallest id of their component, null if it has
-    none."""
-    named = classes.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node")).drop("root")
-    if not nameless:
-        return named
-    least = named.groupBy("component_id").agg(F.min("least").alias("__tm_least"))
-    return named.join(least, "component_id").withColumn("component_id", F.col("__tm_least")).drop("__tm_least")
+def numbered(classes: DataFrame) -> DataFrame:
+    """Classes with a `node` of their own for link search, checkpointed.  Ids will not do: a class may
+    have none, and two classes the same (one id with two texts)."""
+    return classes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
+
+
+def smallest_ids(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """`classes` of `numbered` with component_id: the smallest `least` of their component, null if it
+    has none."""
+    grouped = classes.join(roots, "node", "left").withColumn("__tm_group", F.coalesce("root", "node")).drop("root")
+    least = grouped.groupBy("__tm_group").agg(F.min("least").alias("component_id"))
+    return grouped.join(least, "__tm_group").drop("__tm_group")

@@ -50,11 +50,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(shingle: int):
+    """The text column (the second) gives way to the fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("fingerprints")
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], U64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
     return run
 
@@ -144,12 +146,19 @@ def link_fingerprints(nodes: DataFrame, *, radius: int = RADIUS, most: int = 200
     return links.union(deep) if deep is not None else links
 
 
+def _classes(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows (doc_id, fp and whatever follows the text), the distinct ones as
+    numbered classes, and their links' roots."""
+    rest = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    fps = docs.mapInArrow(_fingerprints(shingle), f"doc_id long, fp long{rest}").checkpoint()
+    classes = numbered(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return fps, classes, connected_components(link_fingerprints(classes.select("fp", "node"), radius=radius), contracted=True)
+
+
 def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp: signed 64-bit, component_id) for every row of `docs`."""
-    fps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long").checkpoint()
-    classes, nameless = numbered(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(link_fingerprints(classes.select("fp", "node"), radius=radius), contracted=True)
-    named = smallest_ids(classes, roots, nameless).select("fp", "component_id")
+    fps, classes, roots = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, radius)
+    named = smallest_ids(classes, roots).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -160,9 +169,26 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs`, all columns, of the smallest doc_id of each group (rows without
-    doc_id stay)."""
-    groups = near_groups(docs.select("doc_id", "text"), shingle=shingle, radius=radius)
-    # null ids never equal anything: only ids that have to go are looked up
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Exactly one row, all columns, of each group: that with the smallest doc_id (null last), then
+    the smallest hash of the row.
+
+    Rows are told apart by doc_id and that hash, so equal ids with different texts are judged each
+    by itself.  What has to go is looked up, not what stays; rows equal in every column are dealt
+    with apart, and only where they won, by an aggregation with map-side combine."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    told = docs.withColumns({"__tm_row": F.xxhash64(*plain), "__tm_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))})
+    rows = told.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__tm_row").alias("row"), F.col("__tm_id").alias("id"))
+    fps, classes, roots = _classes(rows, shingle, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "id", "row")
+    groups = classes.select("fp", "node").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group"))
+    first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(groups, "fp").select("fp", "group", "first")
+    best = first.groupBy("group").agg(F.min("first").alias("best"))
+    judged = fps.withColumn("mine", order).join(first.select("fp", "group").join(best, "group").select("fp", "best"), "fp")
+    judged = judged.select(F.col("row").alias("__tm_row"), F.col("id").alias("__tm_id"), (F.col("mine") == F.col("best")).alias("won")).checkpoint()
+    key = ["__tm_row", "__tm_id"]
+    left = told.join(judged.where("not won").select(*key).distinct(), key, "left_anti")
+    twice = judged.where("won").groupBy(*key).count().where("count > 1").select(*key).checkpoint()
+    if twice.limit(1).count():
+        once = left.join(twice, key, "left_semi").dropDuplicates(key)
+        left = left.join(twice, key, "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -135,7 +135,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, sample_row
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.mapInArrow(_clean, "vec_id long, v binary").checkpoint()
     plain = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    nodes, nameless = numbered(plain)
+    nodes = numbered(plain)
     named = nodes.select("node", "v", "copies")
     n = named.count()
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -155,7 +155,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, sample_row
             .agg(F.sum("c").alias("others"))
         )
         roots = connected_components(links.select("a", "b"))
-        known = smallest_ids(nodes.join(degree, "node", "left"), roots, nameless)
+        known = smallest_ids(nodes.join(degree, "node", "left"), roots)
         known = known.select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
         linked = rows.where("v is not null").join(known, "v").select("vec_id", "n_links", "component_id")
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
