@@ -654,3 +654,24 @@ def test_sharding(sp):
         assert max(abs(x - n / 24) for x in per) <= 1 + len(sources) * n / len(rows)
     assert [tuple(r) for r in sharding.interleave(df, 24).orderBy("shard", "slot").collect()] == [tuple(r) for r in sorted(got, key=lambda g: (g.shard, g.slot))]
     assert sharding.interleave(df.limit(0), 24).count() == 0 and len({g.shard for g in sharding.interleave(df.limit(2), 24).collect()}) == 2
+
+
+def test_sharding_of_equal_rows_and_long_texts(sp):
+    """Copies and rows without id spread over buckets; the order is that of the fractions, by brute force."""
+    from fractions import Fraction
+
+    rows = [(7, "copy", "big")] * 400 + [(None, f"n{i}", "big") for i in range(300)] + [(i, f"x{i}", f"s{i % 5}") for i in range(100, 160)] + [(None, None, None)] * 90
+    rows.append((1, "long " * 400_000, "s1"))
+    df = sp.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = sharding.interleave(df, 7, bucket_rows=20).collect()
+    assert Counter((g.doc_id, g.text_crc32) for g in got) == Counter((d, zlib.crc32((t or "").encode())) for d, t, _ in rows)
+    assert max(Counter(g.shard for g in got).values()) - min(Counter(g.shard for g in got).values()) <= 1
+    at = sorted(got, key=lambda g: (g.shard, g.slot))
+    assert [(g.shard, g.slot) for g in at] == [(g.shard, i - min(j for j, h in enumerate(at) if h.shard == g.shard)) for i, g in enumerate(at)]
+    n, seen, fractions = Counter(s or "" for _, _, s in rows), Counter(), []
+    for g in at:  # the r-th row of a source is met at (2r - 1) / 2n
+        seen[g.source] += 1
+        fractions.append((Fraction(2 * seen[g.source] - 1, 2 * n[g.source]), g.source))
+    assert fractions == sorted(fractions)
+    again = sharding.interleave(df.repartition(3), 7, bucket_rows=20).collect()
+    assert Counter((g.doc_id, g.text_crc32, g.shard, g.slot) for g in again) == Counter((g.doc_id, g.text_crc32, g.shard, g.slot) for g in got)
