@@ -427,6 +427,53 @@ def test_alignment_is_exact():
         assert (got[2] if got else None) == (d if d <= most else None)
 
 
+def leaks_brute(item, text, core=100, rate=0.06, q=11):
+    """By the definition: some `core` characters of the item within the budget of a part of the text."""
+    c, a = (re.sub(r"[ \t-\r]+", " ", x).translate({i: i + 32 for i in range(65, 91)}) for x in (item.strip(" \t\n\v\f\r"), text))
+    w = min(len(c), core)
+    if not w:
+        return False
+    if w < q:
+        return any(
+            a[s : s + w] == c and not (s and a[s - 1].isalnum() and c[0].isalnum()) and not (a[s + w : s + w + 1].isalnum() and c[-1].isalnum())
+            for s in range(len(a) - w + 1)
+        )
+    for i in range(len(c) - w + 1):
+        row = [0] * (len(a) + 1)
+        for x in c[i : i + w]:
+            new = [row[0] + 1]
+            for j, y in enumerate(a):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        if min(row) <= int(w * rate):
+            return True
+    return False
+
+
+def test_leaks_by_brute_force(sp):
+    r, items, docs = random.Random(5), [], []
+    for i in range(60):
+        alphabet = r.choice(["ab ", "abcdefgh ijk", "Aa\n", "xyz\t "])
+        text = "".join(r.choice(alphabet) for _ in range(r.choice([1, 3, 8, 10, 11, 14, 16, 17, 18, 19, 20, 21, 22, 30, 34, 45, 60, 100, 104])))
+        items.append((i, text))
+        part = list(text[max(0, len(text) - 100 - r.randrange(5)) :][:100])
+        for _ in range(r.randrange(8 if len(text) > 90 else 4)):
+            at = r.randrange(len(part) + 1)
+            part[at : at + r.randrange(2)] = r.choice([[], ["#"], ["a"], [" ", "\n"]])
+        docs.append((i, "".join(r.choice(alphabet) for _ in range(r.randrange(40))) + "".join(part) + "".join(r.choice(alphabet) for _ in range(r.randrange(40)))))
+    items += [(90, "abcdefghijklmnopq"), (91, "cat"), (92, "one two  three four")]
+    docs += [(90, "abcdefghXjklmnopq"), (91, "the Cat sat"), (92, "category, bobcat"), (93, "xx  one\n\n  two\tthree  four yy")]
+    df, bench = sp.createDataFrame(docs, "doc_id long, text string"), sp.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in docs for i, x in items if leaks_brute(x, t)}
+    assert {(90, 90), (91, 91), (93, 92)} <= want and (92, 91) not in want and 60 < len(want) < 0.6 * len(docs) * len(items)
+    for chars in (decontaminate.BLOCK_CHARS, 300):
+        got = decontaminate.find_leaks(df, bench, block_chars=chars).collect()
+        assert {(g.doc_id, g.item_id) for g in got} == want and len(got) == len(want)
+    (place,) = [g for g in got if g.doc_id == 93 and g.item_id == 92]
+    assert (place.start, place.end, place.edits) == (4, 26, 0)
+    assert {g.doc_id for g in decontaminate.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_every_match_within_the_budget_is_found():
     r = random.Random(11)
     item = words(r, 40)

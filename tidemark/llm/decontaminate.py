@@ -6,7 +6,8 @@ two such regions of length w within e edits share at least w + 1 - q (e + 1) q-g
 diagonals within e of one another.
 
 1. Every q-gram of a document is looked up among the items' q-grams; stretches with fewer hits
-   than the lemma demands are dropped at once.
+   than the lemma demands are dropped at once.  Items so short that the lemma would demand
+   nothing have shorter q-grams, w / (e + 1) long.
 2. The hits left are spread over (item, diagonal) and counted in bands 2e wide that overlap by
    half, within windows of document positions; bands below the bound cannot hold a match.
 3. What is left is verified by banded alignment: exactly whether some `core` characters of the
@@ -15,12 +16,14 @@ diagonals within e of one another.
 Documents are read once, without a shuffle.  The items' q-grams are broadcast in blocks of at
 most `block_chars` characters (the bound of what is broadcast); more items mean more blocks.
 
-Case of A-Z and the kind of white space do not matter.  Defined results: null or empty texts,
-documents or items, match nothing; items shorter than `q` match nothing; a null doc_id or item_id
-is carried along; repeated rows each come out; no rows, no result; other columns are ignored."""
+Case of A-Z and the kind and length of white space do not matter.  Defined results: null, empty or
+blank texts, documents or items, match nothing; items shorter than `q` must occur exactly, and not
+inside a longer word; a null doc_id or item_id is carried along; repeated rows each come out; no
+rows, no result; other columns are ignored."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,12 +39,16 @@ Q, CORE, RATE, BLOCK_CHARS = 11, 100, 0.06, 4_000_000
 MOST_HITS = 2_000_000
 
 
-def characters(text: str | None) -> np.ndarray:
-    """Code points with A-Z lowered and ASCII white space as a space."""
+def characters(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Code points with A-Z lowered and every run of ASCII white space as one space, and where each
+    was in the text."""
     a = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     a[(a >= 65) & (a <= 90)] += 32
     a[(a >= 9) & (a <= 13)] = 32
-    return a
+    blank = a == 32
+    at = np.flatnonzero(~(blank[1:] & blank[:-1])) if len(a) else np.zeros(0, np.int64)
+    at = np.append(at, len(a) - 1) if len(a) else at  # the last blank of a run stands for it
+    return a[at], at
 
 
 def grams(a: np.ndarray, q: int) -> np.ndarray:
@@ -90,13 +97,61 @@ def align(c: np.ndarray, a: np.ndarray, low: int, high: int, width: int, most: i
     return None
 
 
+def _wordlike(c: int) -> bool:
+    return chr(c).isalnum() if c < 0xD800 or c > 0xDFFF else False
+
+
+class Short:
+    """Items of one length, too short for the lemma, found exactly."""
+
+    def __init__(self, numbers: list[int], chars: list[np.ndarray]) -> None:
+        self.numbers, self.chars, self.width = numbers, chars, len(chars[0])
+        self.of: dict[int, list[int]] = {}
+        for i, c in enumerate(chars):
+            self.of.setdefault(int(grams(c, self.width)[0]), []).append(i)
+        self.keys = np.array(sorted(self.of), U64)
+
+    def matches(self, a: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        g, found = grams(a, self.width), set()
+        for at in np.flatnonzero(np.isin(g, self.keys)).tolist():
+            end = at + self.width
+            for i in self.of[int(g[at])]:
+                c = self.chars[i]
+                if i in found or not np.array_equal(c, a[at:end]):
+                    continue
+                if at and _wordlike(int(c[0])) and _wordlike(int(a[at - 1])) or end < len(a) and _wordlike(int(c[-1])) and _wordlike(int(a[end])):
+                    continue
+                found.add(i)
+                yield self.numbers[i], at, end, 0
+
+
 class Items:
-    """One block of benchmark items, indexed by q-gram."""
+    """One block of benchmark items, by what finds them: q-grams of a length, or exactly."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], q: int, core: int, rate: float) -> None:
-        self.q, self.core, self.rate = q, core, rate
         self.ids = [r[0] for r in rows]
-        self.chars = [characters(r[1]) for r in rows]
+        short, long = defaultdict(list), defaultdict(list)
+        for i, (_, text) in enumerate(rows):
+            c = characters((text or "").strip(" \t\n\v\f\r"))[0]
+            width = min(len(c), core)
+            if 0 < width < q:
+                short[width].append((i, c))
+            elif width:
+                long[min(q, width // (int(width * rate) + 1))].append((i, c))
+        self.parts: list[Short | Indexed] = [Short(*map(list, zip(*x, strict=True))) for x in short.values()]
+        self.parts += [Indexed(*map(list, zip(*x, strict=True)), n, core, rate) for n, x in sorted(long.items())]
+
+    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item number, start, end, edits) of the best contaminated stretch for each item."""
+        a, at = characters(text)
+        return sorted((i, int(at[s]), int(at[e - 1]) + 1, x) for part in self.parts for i, s, e, x in part.matches(a) if s < e)
+
+
+class Indexed:
+    """Items indexed by q-gram, with at least one to share in every match."""
+
+    def __init__(self, numbers: list[int], chars: list[np.ndarray], q: int, core: int, rate: float) -> None:
+        self.q, self.numbers, self.chars = q, numbers, chars
         parts = [grams(c, q) for c in self.chars]
         h = np.concatenate(parts) if parts else np.zeros(0, U64)
         item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -111,14 +166,10 @@ class Items:
         self.length = np.array([len(c) for c in self.chars])
         self.width = np.minimum(self.length, core)
         self.budget = np.floor(self.width * rate).astype(np.int64)
-        self.need = np.maximum(1, self.width + 1 - q * (self.budget + 1))
-        usable = self.length >= q
-        self.least = int(self.need[usable].min()) if usable.any() else 1
-        self.span = int((self.width + self.budget)[usable].max()) if usable.any() else core
+        self.need = self.width + 1 - q * (self.budget + 1)  # 1 at least, by the choice of q
+        self.least, self.span = int(self.need.min()), int((self.width + self.budget).max())
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item number, start, end, edits) of the best contaminated stretch for each item."""
-        a = characters(text)
+    def matches(self, a: np.ndarray) -> list[tuple[int, int, int, int]]:
         g = grams(a, self.q)
         if not len(g) or not len(self.keys):
             return []
@@ -145,7 +196,7 @@ class Items:
             for i, best in self._spread(a, pos[lo:hi], k[lo:hi], n[lo:hi], settled):
                 if i not in found or best[2] < found[i][2]:
                     found[i] = best
-        return [(i, *best) for i, best in sorted(found.items())]
+        return [(self.numbers[i], *best) for i, best in found.items()]
 
     def _stretches(self, pos: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
         """Cuts a document's hits where they stand for more than `MOST_HITS` places in items, as
