@@ -151,6 +151,43 @@ def test_substring_repeats_inside_one_document(sp):
     assert substrings.dedup(frame(sp, rows).limit(0)).count() == 0
 
 
+def test_words_that_collide_under_polynomials(sp):
+    """Two words of 1,024 letters whose polynomials agree modulo 2^64 for every odd base."""
+    t = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    u = t.translate({97: 98, 98: 97})
+    rows = [(1, "same " * 34 + t, "", "", 0), (2, "same " * 34 + u, "", "", 0), (3, words(random.Random(1), 50), "", "", 0)]
+    assert {g.doc.doc_id: g.n_removed for g in substrings.dedup(frame(sp, rows)).collect()} == {1: 0, 2: 0, 3: 0}
+    a, b = "x " * 16 + "y " * 16, "y " * 16 + "x " * 16
+    h = {w: substrings.windows_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), 32)[0][0] for w in (a, b, "x " * 32)}
+    assert len(set(h.values())) == 3
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 34, 35, 64])
+def test_window_hashes_by_definition(width):
+    from tidemark.llm.common import text_buffer
+
+    r = random.Random(width)
+    texts = [" ".join(r.choice(["a", "b", "cc", "d" * 70, "d" * 69 + "e"]) for _ in range(r.randrange(90))) for _ in range(30)] + [None, ""]
+    raw, offs = text_buffer(pa.array(texts))
+    h1, h2, row, at = substrings.windows_of(raw, offs, width)
+    want = [(i, j, tuple(w[j : j + width])) for i, t in enumerate(texts) for w in [(t or "").split()] for j in range(len(w) - width + 1)]
+    assert [(int(i), int(j)) for i, j in zip(row, at)] == [x[:2] for x in want]
+    for h in (h1, h2):
+        seen = defaultdict(set)
+        for x, (_, _, w) in zip(h.tolist(), want):
+            seen[w].add(x)
+        assert all(len(x) == 1 for x in seen.values()) and len({min(x) for x in seen.values()}) == len(seen)
+
+
+def test_many_equal_rows(sp):
+    r = random.Random(12)
+    shared, own = words(r, 50), words(r, 80)
+    rows = [(7, f"{shared} {own}", "", "", 0)] * 300 + [(None, shared, "", "", 0)] * 90 + [(i, words(r, 60), "", "", 0) for i in range(40)] + [(99, words(r, 3) + " " + shared, "", "", 0)]
+    got = substrings.dedup(frame(sp, rows).repartition(5), copies=20).collect()
+    assert sorted(map(repr, ((g.doc.doc_id, g.n_words, g.n_removed, g.kept) for g in got))) == sorted(map(repr, ((x[0], *y) for x, y in zip(rows, strip_brute(rows, 35), strict=True))))
+    assert substrings.Lots(7, [(3, 2), (-5, 4)]).every == 13
+
+
 # ---------------------------------------------------------------- 3 HTML
 
 

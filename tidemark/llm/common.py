@@ -167,15 +167,46 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * inv[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hash of every `width` consecutive values (fewer values: none)."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    pw, inv = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * pw[: len(values)], out=total[1:])
-    return mix((total[width:] - total[:n]) * inv[:n])
+_SIGNS: dict[int, np.ndarray] = {}
+CACHES["signs"] = _SIGNS.clear
+#: Places in a word whose random values are kept in a table.
+PLACES = 64
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each of these disjoint spans of bytes: the sum of a random value for each place and byte,
+    then mixed.  Unlike a polynomial modulo 2^64 it has no pairs of words that collide whatever
+    the seed, and hashes with different seeds are independent."""
+    table = _SIGNS.get(seed)
+    if table is None:
+        table = _SIGNS[seed] = mix(mix(np.arange(PLACES * 256, dtype=U64) + U64(seed)) + U64(seed))
+    length = end - start
+    ends = np.cumsum(length)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length)
+    sign = place * 256 + raw[place + np.repeat(start, length)]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value = table[np.where(place < PLACES, sign, 0)]
+        value[far] = mix(mix(sign[far].astype(U64) + U64(seed)) + U64(seed))
+    else:
+        value = table[sign]
+    total = np.zeros(len(value) + 1, U64)
+    np.cumsum(value, out=total[1:])
+    return mix(total[ends] - total[ends - length] + length.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def sequences(values: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hash of every `width` consecutive values (fewer values: none): hashes of neighbours are mixed
+    into one of twice the width, or of one value more."""
+    h, done = values, 1
+    for bit in bin(width)[3:]:
+        h = mix(h[: max(0, len(h) - done)] * U64(seed) + h[done:])
+        done *= 2
+        if bit == "1":
+            n = len(values) - done
+            h = mix(h[: max(0, n)] * U64(seed) + values[done:])
+            done += 1
+    return h[: max(0, len(values) - width + 1)]
 
 
 # ---------------------------------------------------------------- connected components

@@ -6,15 +6,17 @@ anywhere else too are repeated, and every word they cover is removed.
 1. Every task counts its windows in a partition sketch: `DEPTH` rows of saturating counters,
    sent as sorted, gap-coded cells, block by block.  Blocks are summed; what is left of the
    merged sketch is one bit a cell, "counted twice or more".  Counters never underestimate.
-2. A second pass sends on only windows whose cells are all at two or more, by 96-bit hash:
-   a task asks once about each of them, and says of what it has itself met twice that it is
+2. A second pass sends on only windows whose cells are all at two or more, by two independent
+   hashes of 64 and 32 bits, neither of them a polynomial: a task asks once about each of them, and says of what it has itself met twice that it is
    repeated, so a passage in a third of all rows costs one line a task.  Exact grouping by
    hash answers which are repeated; none is lost, as the sketch only overestimates.
 3. The answers meet the documents by a hash of the row, and the covered words go.
 
 The sketch has eight bits a window up to `max_bits` (128 MB, the bound of what is broadcast);
 beyond that it is fuller and lets more windows through to the exact pass, which needs nothing
-but the shuffle.  All else is streamed or blocked by bytes.
+but the shuffle: about 7 % of unrepeated windows at 1 GB of text, 90 % at 10 GB, all from 30 GB on,
+unless `max_bits` grows too.  All else is streamed or blocked by bytes; rows that are equal, doc_id
+included, are spread over several lots, each with all answers.
 
 Defined results: null or empty texts have no words; fewer words than a window: nothing goes;
 rows with equal doc_id and text are copies of one another, so what they share goes from each;
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BLANK, U64, chunked, mix, own, parts_for, prepare, rolling, span_hashes, spans, table, text_buffer
+from tidemark.llm.common import BLANK, U64, chunked, mix, own, parts_for, prepare, sequences, spans, table, text_buffer, word_hashes
 
 WIDTH = 35
 DEPTH = 2
@@ -44,27 +46,29 @@ CHUNK, FLUSH = (1 << 20) - 1, 1_500_000
 _SEED = [U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)]
 
 
-def windows_of(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every window: two hashes (64 and 32 bits), its row and its first word's number there."""
+def windows_of(raw: np.ndarray, offs: np.ndarray, width: int, check: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every window: two independent hashes (64 and 32 bits; the second is empty without
+    `check`), its row and its first word's number there."""
     start, end, row = spans(raw, offs, ~BLANK)
-    words = span_hashes(raw, start, end)
-    h1, h2 = rolling(words, width, 0xD1342543DE82EF95), rolling(words, width, 0xAF251AF3B0F025B5)
-    if not len(h1):
+    if len(start) < width:
         z = np.zeros(0, np.int64)
-        return h1, h2.astype(np.uint32), z, z
-    same = row[: len(h1)] == row[width - 1 :]
+        return z.view(U64), z.astype(np.uint32), z, z
+    at = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
     first = np.searchsorted(row, np.arange(len(offs) - 1))
-    at = np.flatnonzero(same)
-    return h1[at], (h2[at] >> U64(32)).astype(np.uint32), row[at], at - first[row[at]]
+    h1 = sequences(word_hashes(raw, start, end, 0x243F6A8885A308D3), width, 0xD1342543DE82EF95)[at]
+    h2 = at[:0].astype(np.uint32)
+    if check:
+        h2 = (sequences(word_hashes(raw, start, end, 0x13198A2E03707344), width, 0xAF251AF3B0F025B5)[at] >> U64(32)).astype(np.uint32)
+    return h1, h2, row[at], at - first[row[at]]
 
 
-def _all_windows(batches: Iterator[pa.RecordBatch], column: int, width: int):
+def _all_windows(batches: Iterator[pa.RecordBatch], column: int, width: int, check: bool = True):
     """(batch, h1, h2, row in batch, word) by chunks of text."""
-    own("hashing")
+    own("signs")
     for b in batches:
         raw, offs = text_buffer(b.column(column))
         for i, j in chunked(offs, CHUNK):
-            h1, h2, row, at = windows_of(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
+            h1, h2, row, at = windows_of(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width, check)
             yield b, h1, h2, row + i, at
 
 
@@ -113,7 +117,7 @@ def _sketch(width: int, log_width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
-        for _, h1, _, _, _ in _all_windows(batches, 0, width):
+        for _, h1, _, _, _ in _all_windows(batches, 0, width, check=False):
             parts.append(h1)
             n += len(h1)
             if n >= FLUSH:
@@ -179,17 +183,36 @@ def _read_answer(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _from_planes(data[: 8 * n], np.int64, n), _from_planes(data[8 * n :], np.uint32, n)
 
 
-def _by_lot(keys: np.ndarray, lots: int) -> Iterator[tuple[int, np.ndarray]]:
-    lot = (keys.view(U64) % U64(lots)).astype(np.int64)
-    order = np.argsort(lot, kind="stable")
-    edges = np.searchsorted(lot[order], np.arange(lots + 1))
-    for k in range(lots):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
-
-
-def _ask(width: int, log_width: int, shared, lots: int):
+class Lots:
+    """Deals keys to lots by their remainder; what concerns a heavy key goes to each of the
+    `parts` lots that its rows are spread over, from `first` on."""
+
+    def __init__(self, lots: int, heavy: list[tuple[int, int]] = ()) -> None:
+        self.lots, self.heavy = lots, {}
+        for key, parts in sorted(heavy):
+            self.heavy[key] = (lots, parts)
+            lots += parts
+        self.every, self.keys = lots, np.array(sorted(self.heavy), np.int64)
+
+    def deal(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(lot, places of its keys)"""
+        lot = (keys.view(U64) % U64(self.lots)).astype(np.int64)
+        heavy = np.isin(keys, self.keys) if len(self.keys) else np.zeros(len(keys), bool)
+        light = np.flatnonzero(~heavy)
+        order = light[np.argsort(lot[light], kind="stable")]
+        heads = np.flatnonzero(np.diff(lot[order], prepend=-1))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True) if len(heads) else ():
+            yield int(lot[order[a]]), order[a:b]
+        for key in np.unique(keys[heavy]).tolist():
+            first, parts = self.heavy[key]
+            mine = np.flatnonzero(keys == key)
+            for k in range(first, first + parts):
+                yield k, mine
+
+
+def _ask(width: int, log_width: int, shared, lots: Lots):
     """Second pass: rows (lot, known, data).  known: an answer for documents; else questions."""
+    by_hash = Lots(lots.lots)
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, key, at = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -206,10 +229,15 @@ def _ask(width: int, log_width: int, shared, lots: int):
         state = np.where(many, 2, 1)
         # a witness needs no document
         who, where = np.where(many, 0, key[ask]), np.where(many, 0, at[ask])
-        for k, i in _by_lot(h1[ask], lots):
+        for k, i in by_hash.deal(h1[ask].view(np.int64)):
             rows.append((k, False, _pack(h1[ask][i], h2[ask][i], who[i], where[i], state[i])))
         mine = np.flatnonzero(known)
-        for k, i in _by_lot(key[mine], lots):
+        mine = mine[np.lexsort((at[mine], key[mine]))]  # equal rows say the same
+        new = (np.diff(key[mine], prepend=0) != 0) | (np.diff(at[mine], prepend=-1) != 0)
+        if len(mine):
+            new[0] = True
+        mine = mine[new]
+        for k, i in lots.deal(key[mine]):
             rows.append((k, True, _answer(key[mine][i], at[mine][i])))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())],
@@ -235,7 +263,7 @@ def _ask(width: int, log_width: int, shared, lots: int):
     return run
 
 
-def _group(lots: int):
+def _group(lots: Lots):
     """Exact grouping: what is asked twice, or known to a task, is repeated.  Rows come sorted
     by lot; known answers pass."""
 
@@ -247,7 +275,7 @@ def _group(lots: int):
         head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         total = np.add.reduceat(state[order].astype(np.int64), np.flatnonzero(head)) if len(order) else np.zeros(0, np.int64)
         wanted = order[(total[np.cumsum(head) - 1] > 1) & (state[order] == 1)]
-        rows = [(k, _answer(key[wanted][i], at[wanted][i])) for k, i in _by_lot(key[wanted], lots)]
+        rows = [(k, _answer(key[wanted][i], at[wanted][i])) for k, i in lots.deal(key[wanted])]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["lot", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,15 +338,27 @@ def _strip(width: int, text_at: int):
     return run
 
 
-def dedup(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_BITS, lot_bytes: int = 8 << 20) -> DataFrame:
-    """(doc: struct of all columns of `docs`, n_words, n_removed, kept: the words left)."""
+def dedup(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_BITS, lot_bytes: int = 8 << 20, copies: int = 2000, most_parts: int = 65_536) -> DataFrame:
+    """(doc: struct of all columns of `docs`, n_words, n_removed, kept: the words left).
+
+    Texts and questions are dealt to lots of about `lot_bytes`, a shuffle has `most_parts` partitions
+    at most, and a task takes its lots one by one.  Of the rows with equal text and doc_id a lot
+    takes about `copies`."""
     spark = docs.sparkSession
-    total = docs.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    keyed = docs.select(F.struct("*").alias("doc")).select("doc", F.xxhash64("doc.text", "doc.doc_id").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("doc.text").cast("long")).alias("bytes"))
+    stats = counts.agg(F.sum(F.col("n") * F.coalesce("bytes", F.lit(0))), F.sum("n"), F.max("n")).first()
+    total, n_rows = stats[0] or 0, stats[1] or 0
     want = max(1 << 16, 8 * (total // 6))  # about a window for six bytes
     log_width = max(10, min((want - 1).bit_length(), max_bits.bit_length() - 1) - (DEPTH - 1).bit_length())
     size = min(BLOCK, 1 << log_width)
     per_level = (1 << log_width) // size
-    lots = max(64, -(-total // lot_bytes))
+    usual, heavy = max(64, -(-total // lot_bytes)), []
+    copies = max(copies, n_rows // 10_000)
+    if (stats[2] or 0) > copies:  # 10,000 keys at most
+        heavy = [(r["key"], -(-r["n"] // copies)) for r in counts.where(F.col("n") > copies).collect()]
+    lots = Lots(usual, heavy)
+    parts = min(most_parts, parts_for(spark, lots.every, 1))
 
     sketches = docs.select("text").mapInArrow(_sketch(width, log_width), "block int, cells binary")
     merged = (
@@ -333,16 +373,17 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_BITS, lot_
     shared = spark.sparkContext.broadcast(bits)
     del bits  # workers read the broadcast file; the driver needs no copy
 
-    keyed = docs.select(F.struct("*").alias("doc")).select("doc", F.xxhash64("doc.text", "doc.doc_id").alias("key"))
     asked = keyed.select("key", "doc.text").mapInArrow(_ask(width, log_width, shared, lots), "lot int, known boolean, data binary")
-    answers = (
-        asked.repartition(parts_for(spark, lots, 1), "lot").sortWithinPartitions("lot").mapInArrow(_group(lots), "lot int, data binary")
-    )
-    # unsigned remainder, as in _by_lot
-    lot = F.expr(f"cast(pmod((shiftrightunsigned(key, 1) % {lots}) * 2 + (key & 1), {lots}) as int)")
+    answers = asked.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(_group(lots), "lot int, data binary")
+    # unsigned remainder, as in Lots
+    lot = F.expr(f"cast(pmod((shiftrightunsigned(key, 1) % {usual}) * 2 + (key & 1), {usual}) as int)")
+    if heavy:
+        spread = spark.createDataFrame([(k, *lots.heavy[k]) for k, _ in heavy], "key long, first int, parts int")
+        keyed = keyed.join(F.broadcast(spread), "key", "left")
+        lot = F.coalesce((F.col("first") + F.pmod(F.monotonically_increasing_id(), "parts")).cast("int"), lot)
     rows = keyed.select(lot.alias("lot"), F.lit(None).cast("binary").alias("data"), "doc", "key")
     none = answers.select("lot", "data", F.lit(None).cast(rows.schema["doc"].dataType).alias("doc"), F.lit(None).cast("long").alias("key"))
-    both = none.union(rows).repartition(parts_for(spark, lots, 1), "lot").sortWithinPartitions("lot", F.col("data").isNull())
+    both = none.union(rows).repartition(parts, "lot").sortWithinPartitions("lot", F.col("data").isNull())
     out = T.StructType().add("doc", rows.schema["doc"].dataType).add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return both.mapInArrow(_strip(width, docs.columns.index("text")), out)
 
