@@ -338,8 +338,51 @@ def test_toxicity_learns_from_documents_and_finds_sentences(sp):
 
 def test_noisy_or():
     p = np.array([0.1, 0.5, 0.9])
-    logit = np.log(p / (1 - p))
-    assert np.allclose(toxicity.noisy_or(logit, np.array([0, 0, 2]), 3), [1 - 0.9 * 0.5, 0, 0.9])
+    bias = -3.0
+    weight = np.log((1 + np.exp(bias)) / (1 - p) - 1) - bias  # the evidence that gives these sentence scores
+    assert np.allclose(-np.expm1(-toxicity.lost(weight, bias)), p)
+    assert np.allclose(toxicity.noisy_or(weight, np.array([0, 0, 2]), 3, bias), [1 - 0.9 * 0.5, 0, 0.9])
+    assert not toxicity.noisy_or(np.array([0.0, -4.0] * 5000), np.zeros(10_000, int), 1, bias).any()
+
+
+def test_what_is_scored_is_what_was_trained(sp):
+    """The gradient of the fit is that of the loss of the scores: no step of the fit's end state that
+    keeps the support lowers the loss by much; and long clean texts stay clean."""
+    rows, labels = labelled()
+    texts, y = [t for _, t, *_ in rows], np.array([v for *_, v in labels])
+    model = toxicity.fit(texts, y.tolist())
+
+    def score(m, of):
+        class Shared:
+            value = m
+
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(of)), pa.int64()), pa.array(of)], ["doc_id", "text"])
+        return np.concatenate([x.column(1).to_numpy() for x in toxicity._score(Shared, 0.5)(iter([batch]))])
+
+    s = score(model, texts)
+    assert s[y == 1].min() > 0.5 > s[y == 0].max()
+    clean = ". ".join(t for t, v in zip(texts, y, strict=True) if not v)
+    assert score(model, [clean, clean + " vilefool."]).tolist() == pytest.approx([s[y == 0].max(), 1], abs=0.5)
+    loss = lambda m: -np.mean(np.where(y == 1, np.log(1 - (1 - toxicity.LEAK) * (1 - score(m, texts))), np.log((1 - toxicity.LEAK) * (1 - score(m, texts)))))
+    best = np.argmax(model.weights)
+    for step in (-1.0, 1.0):  # the most telling word
+        w = model.weights.copy()
+        w[best] += step
+        assert loss(toxicity.Model(model.keys, w, model.bias)) > loss(model) - 1e-3
+
+
+def test_training_is_bounded_in_bytes(sp):
+    rows, labels = labelled(100)
+    docs = sp.createDataFrame([*rows, (3, "vilefool " * 300_000, "", "", 0)], DOC)
+    lab = sp.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, y, **k: seen.append(sum(len(t.as_py()) for t in texts)) or fit(texts, y, **k)
+    try:
+        for most in (2000, 10_000, 1 << 26):
+            toxicity.train(docs, lab, sample_bytes=most)
+    finally:
+        toxicity.fit = fit
+    assert 0 < seen[0] <= 2000 < seen[1] <= 10_000 < seen[2]
 
 
 # ---------------------------------------------------------------- 5 embeddings

@@ -1,10 +1,16 @@
 """Operator 4, toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  A sentence's score is the logistic of its summed word weights;
-the document's is their noisy-or, 1 - prod(1 - p).  In scoring, a sentence counts for what it adds to
-one without evidence, so that the small remainder of each does not add up over very long texts.  Weights are trained from document labels
-alone, by gradient descent through the noisy-or, on at most `sample_rows` labelled rows (a bound
-of the fit, chosen by hashed doc_id); afterwards the sentence scores locate what offends.
+A document is a bag of sentences.  With the logistic of its summed word weights w and a bias b, a
+sentence's score is what it adds to a sentence without evidence,
+
+    p = max(0, 1 - (1 + e^b) / (1 + e^(b + w))),
+
+so that any number of sentences that say nothing adds nothing; the document's score is their
+noisy-or, 1 - prod(1 - p).  Weights are trained from document labels alone, by gradient descent
+through that same noisy-or; in the likelihood of a label a leak allows for documents marked toxic
+without a cause in their words.  The fit takes at most `sample_rows` labelled rows with at most
+`sample_bytes` of text (bounds of the fit, chosen by hashed doc_id); afterwards the sentence scores
+locate what offends.
 
 Only words of the text enter a score: no label, language, source or id does.  Scoring is one
 pass over whole texts in Arrow buffers, without a shuffle; the model, `max_words` weights at
@@ -27,7 +33,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import U64, chunked, own, prepare, span_hashes, spans, table, text_buffer, trim
 
-SAMPLE_ROWS, MAX_WORDS, MIN_ROWS = 12_000, 3_000, 4
+SAMPLE_ROWS, SAMPLE_BYTES, MAX_WORDS, MIN_ROWS = 12_000, 64 << 20, 3_000, 4
+#: How likely a document is marked toxic without cause, in the fit.
+LEAK = 0.05
 CHUNK, FIT_CHUNK, SLOT_BITS = (1 << 20) - 1, (1 << 20) - 1, 21
 #: Bytes of the beginnings of longer words that count as features beside the words: stems.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -60,15 +68,18 @@ def words_and_sentences(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
     return np.stack(found), row, sentence, start, end
 
 
-def _lost(logit: np.ndarray, rest: float) -> np.ndarray:
-    """-log(1 - p) of a sentence beyond that of one without evidence, whose logit is `rest`: so any
-    number of sentences that say nothing, as in very long texts, adds nothing."""
-    return np.maximum(0, np.logaddexp(0, logit) - np.logaddexp(0, rest))
+def lost(weight: np.ndarray, bias: float) -> np.ndarray:
+    """-log(1 - p) of sentences."""
+    return np.maximum(0, np.logaddexp(0, np.clip(weight, -500, 500) + bias) - np.logaddexp(0, bias))
 
 
-def noisy_or(logit: np.ndarray, bag: np.ndarray, bags: int, rest: float = -np.inf) -> np.ndarray:
+def noisy_or(weight: np.ndarray, bag: np.ndarray, bags: int, bias: float = -np.inf) -> np.ndarray:
     """1 - prod over a bag of (1 - p), in logs; an empty bag has 0."""
-    return -np.expm1(-np.bincount(bag, _lost(logit, rest), bags)) if len(logit) else np.zeros(bags)
+    return -np.expm1(-np.bincount(bag, lost(weight, bias), bags)) if len(weight) else np.zeros(bags)
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 class Model:
@@ -141,7 +152,7 @@ def fit(texts: list[str] | pa.Array, labels: list[int], *, max_words: int = MAX_
     exact_pos = np.bincount(pair // n_all, y[pair % n_all], len(keys))
     score = g_statistic(exact_pos, np.maximum(exact_df, 1))
     kept = np.argsort(-score, kind="stable")[:max_words]
-    kept = np.sort(kept[score[kept] > 0])
+    kept = np.sort(kept[score[kept] > 2 * np.log(n_all)])  # the more documents, the more words are telling by chance
     if not len(kept):
         return nothing
     slot = np.full(len(keys), -1)
@@ -149,16 +160,17 @@ def fit(texts: list[str] | pa.Array, labels: list[int], *, max_words: int = MAX_
     on = slot[word] >= 0
     w_of, s_of, bag = slot[word][on], np.concatenate(sentence)[on], np.concatenate(bag)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, b = np.zeros(len(kept)), -4.0
+    w, b = np.zeros(len(kept)), -7.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        logit = np.clip(np.bincount(s_of, w[w_of], n_sen) + b, -50, 50)
-        lost = np.bincount(bag, np.logaddexp(0, logit), len(y))  # -log(1 - p) of the document
-        # d loss / d lost: 1 for the clean, -(1 - p) / p for the toxic
-        up = weight * np.where(y == 1, -1 / np.expm1(np.clip(lost, 1e-9, 500)), 1.0)
-        g_sen = up[bag] / (1 + np.exp(-logit))
-        g = np.bincount(w_of, g_sen[s_of], len(w)) + l2 * w
-        gb = g_sen.sum()
+        of = np.bincount(s_of, w[w_of], n_sen)
+        causes = np.bincount(bag, lost(of, b), len(y)) - np.log1p(-LEAK)
+        # d loss / d causes: 1 for the clean, -(1 - p) / p for the toxic; sentences below the blank one have no part
+        up = weight * np.where(y == 1, -1 / np.expm1(np.clip(causes, 1e-9, 500)), 1.0)
+        active = up[bag] * (of >= 0)
+        share = _sigmoid(of + b)
+        g = np.bincount(w_of, (active * share)[s_of], len(w)) + l2 * w
+        gb = float(active @ (share - _sigmoid(b)))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         lr = rate * min(1.0, 2 * (steps - t) / steps)
@@ -180,10 +192,10 @@ def _score(shared, offending: float):
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.diff(sen, prepend=-1))
-                logit = np.add.reduceat(model.of(h), first) + model.bias
+                weight = np.add.reduceat(model.of(h), first)
                 bag = row[first]
-                score[i:j] = noisy_or(logit, bag, j - i, model.bias)
-                p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+                score[i:j] = noisy_or(weight, bag, j - i, model.bias)
+                p = -np.expm1(-lost(weight, model.bias))
                 np.maximum.at(worst, bag + i, p)
                 last = np.append(first[1:], len(row)) - 1
                 for k in np.flatnonzero(p >= offending).tolist():
@@ -203,13 +215,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS) -> Model:
-    """Fits on the `sample_rows` trainable labelled rows with the smallest hashes."""
+def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, max_words: int = MAX_WORDS) -> Model:
+    """Fits on the `sample_rows` trainable labelled rows with the smallest hashes, fewer if their texts
+    exceed `sample_bytes`."""
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    # the smallest hashes among the ids alone, so that only their texts are fetched
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).toArrow()
+    # the smallest hashes among the ids alone, so that only their texts are looked at
+    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).checkpoint()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    order = [F.xxhash64("doc_id").alias("at"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")]
+    sizes = [r["bytes"] for r in rows.select(*order).orderBy("at", "doc_id", "bytes").limit(sample_rows).collect()]  # numbers only
+    n = int(np.searchsorted(np.cumsum(sizes), sample_bytes, "right")) if sizes else 0
+    got = rows.select(*order, "text", "toxic").orderBy("at", "doc_id", "bytes", "text").limit(n).select("text", "toxic").toArrow()
     texts, labels_of = pc.fill_null(got["text"], "").combine_chunks(), got["toxic"].to_pylist()
     del got
     try:
