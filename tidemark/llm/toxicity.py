@@ -152,7 +152,7 @@ def fit(texts: list[str] | pa.Array, labels: list[int], *, max_words: int = MAX_
     exact_pos = np.bincount(pair // n_all, y[pair % n_all], len(keys))
     score = g_statistic(exact_pos, np.maximum(exact_df, 1))
     kept = np.argsort(-score, kind="stable")[:max_words]
-    kept = np.sort(kept[score[kept] > 2 * np.log(n_all)])  # the more documents, the more words are telling by chance
+    kept = np.sort(kept[score[kept] > np.log(n_all)])  # the more documents, the more words are telling by chance
     if not len(kept):
         return nothing
     slot = np.full(len(keys), -1)
