@@ -415,6 +415,55 @@ def test_vectors_against_brute_force(sp):
     assert vectors.near_vectors(df.limit(0)).count() == 0 and vectors.near_vectors(df.where("vec_id = 7")).count() == 1
 
 
+def at_cosine(r, u, c):
+    """A vector with cosine c to u."""
+    w = r.standard_normal(len(u))
+    u = u / np.linalg.norm(u)
+    w -= (w @ u) * u
+    return c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+
+
+def linked_brute(rows, threshold=0.95):
+    links, forest = Counter(), Forest()
+    for x, (i, u) in enumerate(rows):
+        forest.find(i)
+        for j, v in rows[:x]:
+            if len(u) == len(v) and u @ v / np.sqrt((u @ u) * (v @ v)) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                forest.join(i, j)
+    return links, forest
+
+
+def test_recall_just_above_the_threshold(sp):
+    """Pairs with cosines of 0.95 to 0.97, the hardest there are."""
+    r = np.random.default_rng(1)
+    base = r.standard_normal((500, 64))
+    rows = [(i, v) for i, v in enumerate(base)] + [(500 + i, at_cosine(r, v, 0.9501 + 0.02 * i / 500)) for i, v in enumerate(base)]
+    got = vectors.near_vectors(sp.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    want, _ = linked_brute(rows)
+    assert sum(want.values()) >= 1000 and all(g.n_links <= want[g.vec_id] for g in got)
+    assert sum(g.n_links for g in got) >= 0.9 * sum(want.values())
+
+
+@pytest.mark.parametrize("crowd", [256, 3])  # by pairs, and compared in their buckets
+def test_dense_groups_and_other_lengths(sp, crowd):
+    r = np.random.default_rng(2)
+    core = r.standard_normal(64)
+    rows = [(i, at_cosine(r, core, 0.99)) for i in range(80)] + [(100 + i, r.standard_normal(64)) for i in range(60)]
+    for d, n in ((3, 40), (16, 30), (200, 25), (1, 4)):
+        rows += [(1000 * d + i, r.standard_normal(d)) for i in range(n)]
+        rows += [(1000 * d + 500 + i, rows[-1 - i][1] * 2 + 0.01) for i in range(3)]
+    copies = [(9, 2), (30, 3)]
+    given = [(i, v.tolist()) for i, v in rows] + [(90_000 + k, rows[i][1].tolist()) for i, n in copies for k in range(i, i + n)]
+    got = vectors.near_vectors(sp.createDataFrame(given, "vec_id long, embedding array<double>"), crowd=crowd, block=16).collect()
+    want, forest = linked_brute([(i, np.array(v)) for i, v in given])
+    assert all(g.n_links <= want[g.vec_id] for g in got) and sum(g.n_links for g in got) >= 0.97 * sum(want.values())
+    assert all(g.component_id == forest.find(g.vec_id) for g in got if g.vec_id < 200 or g.vec_id >= 16_000)
+    rows_out = {g.vec_id: g.n_links for g in got}
+    assert min(rows_out[i] for i in range(80)) > 70
+
+
 # ---------------------------------------------------------------- 6 urls
 
 
