@@ -505,6 +505,49 @@ def test_url_words_come_from_all_pages(sp):
     assert not own & {" ".join(x) for x in urls._words(urls.BLOCKED)}
 
 
+def test_segmentation_by_brute_force():
+    def least(seg, t):
+        cuts = ("".join(c + "|" * (m >> i & 1) for i, c in enumerate(t)).split("|") for m in range(1 << max(0, len(t) - 1)))
+        return min(sum(map(seg.cost, x)) for x in cuts) if t else 0
+
+    r = random.Random(1)
+    for _ in range(400):
+        known = Counter({"".join(r.choice("ab") for _ in range(r.randrange(1, 5))): r.randrange(1, 50) for _ in range(r.randrange(1, 6))})
+        seg = urls.Segmenter(known, longest=r.choice([3, 24]))
+        t = "".join(r.choice("abc") for _ in range(r.randrange(10)))
+        got = seg.split(t)
+        assert "".join(got) == t and sum(map(seg.cost, got)) == pytest.approx(least(seg, t))
+
+
+def test_long_urls_and_hosts_without_a_dot(sp):
+    began = time.process_time()
+    rows = [(1, "http://" + "q" * 300_000 + ".org/"), (2, "http://a.org/" + "freebets" * 30_000), (3, "http://freecasinobonus/"), (4, "http://localhost:8080"), (5, "http://.../"), (6, None), (7, "http://casino.")]
+    got = {g.page_id: g for g in urls.filter_urls(sp.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {k: g.verdict for k, g in got.items()} == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+    assert got[2].path == "/" + "freebets" * 30_000
+    urls.SEGMENTER.split("x" * 300_000)
+    assert time.process_time() - began < 20
+
+
+def test_the_url_model_grows_from_the_pages(sp):
+    r = random.Random(3)
+    rows, n = [], 0
+    for i in range(40):  # blocked hosts share a word that the list lacks, others another one
+        for _ in range(r.randrange(1, 4)):
+            rows.append((n, f"https://{'casino' if i % 2 else 'museum'}{r.choice('xyzuv')}-{i}.example.org/{'gromble' if i % 2 else 'fennick'}/en", f"<p>gromble fennick {i}<script>var skript;</script>"))
+            n += 1
+    rows += [(n + i, f"https://huge.example.org/fennick/gromble{i}", None) for i in range(300)]  # one host, many pages
+    rows += [(900, "https://qorvu.example.org/gromble", None), (901, "https://gromblefennick.example.org/", None), (902, "https://qorvu.example.org/fennick", None), (903, "https://w.example.net/gromble", None)]
+    df = sp.createDataFrame(rows, "page_id long, url string, html string")
+    known = urls.learn(df)
+    assert known.split("gromblefennick") == ["gromble", "fennick"] and "skript" not in known.counts and known.counts["fennick"] > 300
+    bayes = urls.grow(df, known)
+    assert bayes.odds["gromble"] > 1 and bayes.odds["fennick"] < -1
+    got = {g.page_id: g for g in urls.filter_urls(df).collect()}
+    assert got[900].log_odds > urls.BAYES.prior + 1 and got[902].log_odds < urls.BAYES.prior - 1 and (got[903].rule, got[903].verdict) == ("net/", "block")
+    assert urls.filter_urls(df.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 7 decontamination
 
 

@@ -5,22 +5,26 @@ cut at dots, hyphens, underscores and digits, the pieces are split into words by
 Viterbi search, and a multinomial naive Bayes model over the words of host and path gives the
 verdict.
 
-The unigram counts are those of the hosts and paths of all pages, counted by piece, and of the
+The unigram counts are those of the texts, hosts and paths of all pages, counted by word, and of the
 example sites below, which have a tenth of the weight at least.  A run that stands alone between
-dots or slashes (`cheappills`) may be several words: from the shortest on, those that the words
-known by then spell go to these, the others are words themselves.  Unknown stretches cost more the
-longer they are.  The `VOCABULARY` most frequent pieces are held; rarer ones are unknown.
+dots or slashes of a url (`cheappills`) may be several words: from the shortest on, those that the
+words known by then spell go to these, the others are words themselves.  Unknown stretches cost
+more the longer they are.  The `VOCABULARY` most frequent words are held; rarer ones are unknown.
 
-Labels come from the example sites alone, a list by hand that names no site of the tables; words
-that it does not have carry no evidence.  Pages that a rule decides are no examples: rules go by
-public ending and language, and their verdicts hold for no other page of the host.
+Labels begin with the example sites, a list by hand that names no site of the tables.  From them the
+model grows: a host counts as blocked if the list's words alone say so clearly, as another if not,
+and words that at least `LEAST_HOSTS` hosts have, but the list does not, get the odds of the two
+kinds of hosts, each word counted once a host so that no large host decides.  Pages that a rule
+decides are no examples: rules go by public ending and language, and their verdicts hold for no
+other page of the host.
 
-Two passes; the first groups pieces, combined by each task, and gives the driver the most frequent.
-Segmented hosts are remembered by each task (a bounded cache).
+Three passes; words are combined map-side, and the driver takes the most frequent alone.  Segmented
+pieces are remembered by each task (a bounded cache).
 
 Defined results: a null url or one without `://` has an empty host and path, no rule, and is
-allowed; empty hosts are no evidence; repeated rows get the same verdict each; a null page_id is
-carried along; no rows, no result; other columns are ignored."""
+allowed; empty hosts are no evidence; a host without a dot is a name; repeated rows get the same
+verdict each; null html has no words; a null page_id is carried along; no rows, no result; other
+columns are ignored."""
 
 from __future__ import annotations
 
@@ -67,17 +71,29 @@ class Segmenter:
 
     def cost(self, word: str) -> float:
         """-log of the word's probability; an unknown word's falls tenfold with each letter."""
-        n = self.counts.get(word)
+        n = self.counts.get(word) if len(word) <= self.longest else None
         return -log(n / self.total) if n else log(self.total) + len(word) * log(10)
 
     def split(self, text: str) -> list[str]:
+        """Linear in the text: known words end in `longest` letters, and an unknown one of any length
+        goes on letter by letter."""
+        n, get, begin = len(text), self.counts.get, log(self.total) if self.total else 0.0
         best, back = [0.0], [0]
-        for i in range(1, len(text) + 1):
-            # the whole run is a candidate too, however long
-            cost, j = min((best[j] + self.cost(text[j:i]), j) for j in {0, *range(max(0, i - self.longest), i)})
+        unknown, since = begin, 0  # the best cost of an unknown word that is open, and where it began
+        for i in range(1, n + 1):
+            unknown += _LETTER
+            cost, j = unknown, since
+            for k in range(max(0, i - self.longest), i):
+                c = get(text[k:i])
+                if c:
+                    c = best[k] + begin - log(c)
+                    if c < cost:
+                        cost, j = c, k
             best.append(cost)
             back.append(j)
-        out, i = [], len(text)
+            if cost + begin < unknown:
+                unknown, since = cost + begin, i
+        out, i = [], n
         while i:
             out.append(text[back[i] : i])
             i = back[i]
@@ -102,7 +118,10 @@ LISTED = Counter(w for x in _words(BLOCKED) + _words(ALLOWED) + _words(NEUTRAL)
 SEGMENTER = Segmenter(Counter(LISTED))
 #: Pieces that the driver and each task hold; letters of a run that may be split into words.
 VOCABULARY, LONGEST_RUN = 100_000, 64
+#: Hosts that must have a word that the list lacks, and log odds of a host that is clearly blocked.
+LEAST_HOSTS, CLEARLY = 5, 1.0
 BAYES = NaiveBayes(_words(BLOCKED), _words(ALLOWED))
+_LETTER = log(10)
 _PIECE = re.compile(r"[^\W\d_]+")
 _UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _END = re.compile(r"[/?#]")
@@ -136,18 +155,25 @@ def _tokens(segmenter: Segmenter, text: str) -> tuple[str, ...]:
     return tuple(w for piece in _PIECE.findall(text) for w in segmenter.split(piece.lower()))
 
 
+def _cutter(segmenter: Segmenter):
+    """Tokens of a host or path; what is long is not remembered."""
+    near = lru_cache(maxsize=200_000)(partial(_tokens, segmenter))
+    return lambda text: near(text) if len(text) <= 200 else _tokens(segmenter, text)
+
+
 #: By the example sites alone.
-tokens = lru_cache(maxsize=200_000)(partial(_tokens, SEGMENTER))
+tokens = _cutter(SEGMENTER)
 
 
 def _named(host: str) -> str:
-    """The host without its public ending."""
-    return ".".join(host.rsplit(":", 1)[0].split(".")[:-1])
+    """The host without its public ending, if it has one."""
+    name = host.rsplit(":", 1)[0].rstrip(".")
+    return name.rpartition(".")[0] or name
 
 
-def judge(url: str | None, rules=RULES, cut=tokens) -> tuple[str, str, str | None, str, float]:
+def judge(url: str | None, rules=RULES, cut=tokens, bayes: NaiveBayes = BAYES) -> tuple[str, str, str | None, str, float]:
     host, path = parts(url)
-    odds = BAYES.score([*cut(_named(host)), *cut(path)]) if host or path else BAYES.prior
+    odds = bayes.score([*cut(_named(host)), *cut(path)]) if host or path else bayes.prior
     found = rule_for(host, path, rules) if host else None
     return host, path, found[0] if found else None, found[1] if found else "block" if odds > 0 else "allow", odds
 
@@ -180,18 +206,61 @@ def segmenter(words: dict[str, int], runs: dict[str, int]) -> Segmenter:
     return known
 
 
+def text_words(pages: DataFrame) -> DataFrame:
+    """(piece, words): how often each run of letters occurs in the pages' texts."""
+    text = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
+    found = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("piece")).where("length(piece) between 2 and 24")
+    return found.groupBy("piece").agg(F.count(F.lit(1)).alias("words"))
+
+
 def learn(pages: DataFrame, vocabulary: int = VOCABULARY) -> Segmenter:
-    """The segmenter of all pages' hosts and paths."""
-    counted = pages.select("url").mapInArrow(_pieces, "piece string, words long, runs long").groupBy("piece").agg(F.sum("words").alias("words"), F.sum("runs").alias("runs"))
+    """The segmenter of all pages' texts, hosts and paths."""
+    counted = pages.select("url").mapInArrow(_pieces, "piece string, words long, runs long")
+    if "html" in pages.columns:
+        counted = counted.union(text_words(pages).select("piece", "words", F.lit(0).cast("long")))
+    counted = counted.groupBy("piece").agg(F.sum("words").alias("words"), F.sum("runs").alias("runs"))
     top = counted.orderBy(F.desc(F.col("words") + F.col("runs")), "piece").limit(vocabulary).collect()
     return segmenter({r.piece: r.words for r in top if r.words}, {r.piece: r.runs for r in top if r.runs})
 
 
-def _judge(rules, known: Segmenter):
+def _words_of_hosts(rules, known: Segmenter):
+    """(host, token, blocked) of the urls that no rule decides; a host is blocked by the words of the
+    list that its own name has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _cutter(known)
+        for b in batches:
+            rows = set()
+            for url in b.column(0).to_pylist():
+                host, path = parts(url)
+                if host and rule_for(host, path, rules) is None:
+                    name = cut(_named(host))
+                    blocked = BAYES.score(list(name)) > CLEARLY
+                    rows.update((host, t, blocked) for t in {*name, *cut(path)} if t not in LISTED and len(t) > 1)
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.bool_()), strict=True)], ["host", "token", "blocked"])
+
+    return run
+
+
+def grow(pages: DataFrame, known: Segmenter, rules=RULES, *, vocabulary: int = VOCABULARY, least_hosts: int = LEAST_HOSTS) -> NaiveBayes:
+    """The list's model with the words of the pages' hosts and paths."""
+    seen = pages.select("url").mapInArrow(_words_of_hosts(tuple(rules), known), "host string, token string, blocked boolean").distinct()
+    n = seen.groupBy("token").agg(F.count(F.when(F.col("blocked"), 1)).alias("b"), F.count(F.when(~F.col("blocked"), 1)).alias("a")).checkpoint()
+    total = n.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("n")).first()
+    top = n.where(F.col("a") + F.col("b") >= least_hosts).orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(vocabulary).collect()
+    bayes = NaiveBayes(_words(BLOCKED), _words(ALLOWED))
+    if total["b"] and total["a"]:
+        nb, na = (total[x] + 0.5 * total["n"] for x in "ba")
+        bayes.odds |= {r.token: log((r.b + 0.5) / nb) - log((r.a + 0.5) / na) for r in top}
+    return bayes
+
+
+def _judge(rules, known: Segmenter, bayes: NaiveBayes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = lru_cache(maxsize=200_000)(partial(_tokens, known))
+        cut = _cutter(known)
         for b in batches:
-            got = [judge(u, rules, cut) for u in b.column(1).to_pylist()]
+            got = [judge(u, rules, cut, bayes) for u in b.column(1).to_pylist()]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["page_id", "host", "path", "rule", "verdict", "log_odds"])
 
@@ -200,10 +269,11 @@ def _judge(rules, known: Segmenter):
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds of the model whatever the rule)."""
+    known = learn(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
-    return rows.mapInArrow(_judge(tuple(rules), learn(rows)), "page_id long, host string, path string, rule string, verdict string, log_odds double")
+    return rows.mapInArrow(_judge(tuple(rules), known, grow(rows, known, rules)), "page_id long, host string, path string, rule string, verdict string, log_odds double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
