@@ -534,7 +534,7 @@ def test_the_url_model_grows_from_the_pages(sp):
     rows, n = [], 0
     for i in range(40):  # blocked hosts share a word that the list lacks, others another one
         for _ in range(r.randrange(1, 4)):
-            rows.append((n, f"https://{'casino' if i % 2 else 'museum'}{r.choice('xyzuv')}-{i}.example.org/{'gromble' if i % 2 else 'fennick'}/en", f"<p>gromble fennick {i}<script>var skript;</script>"))
+            rows.append((n, f"https://{'freecasinobonus' if i % 2 else 'citymuseum'}{i}.example.org/{'gromble' if i % 2 else 'fennick'}/en", f"<p>gromble fennick {i}<script>var skript;</script>"))
             n += 1
     rows += [(n + i, f"https://huge.example.org/fennick/gromble{i}", None) for i in range(300)]  # one host, many pages
     rows += [(900, "https://qorvu.example.org/gromble", None), (901, "https://gromblefennick.example.org/", None), (902, "https://qorvu.example.org/fennick", None), (903, "https://w.example.net/gromble", None)]
