@@ -118,6 +118,36 @@ def test_packing_round_trip(sp):
     assert packing.pack(frame(sp, rows).limit(0)).count() == 0
 
 
+def test_vocabularies_that_do_not_go_by_words(sp):
+    """Another vocabulary's ids are its own, over white space and all."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.WordIds(path).apart and packing.WordIds(packing.public_vocabulary()).apart
+    rows = [(1, "Hello  world\n\n again and again"), (2, None), (3, "it's 12 o'clock " * 700)]
+    got = packing.pack(sp.createDataFrame(rows, "doc_id long, text string"), vocabulary=path).collect()
+    t = Tokenizer.from_file(path)
+    for d, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        mine = sorted((g.start, g.length, g.ids_crc32, g.doc_tokens) for g in got if g.doc_id == d)
+        assert mine == [(s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 2048)]
+
+
+def test_packing_of_many_equal_rows(sp):
+    rows = [(7, "one two three")] * 900 + [(i, "four five " * i) for i in range(60)] + [(None, None)] * 200
+    got = packing.pack(sp.createDataFrame(rows, "doc_id long, text string").repartition(5), full_lot=50).collect()
+    assert Counter(g.doc_id for g in got) == Counter(d for d, _ in rows)
+    by = defaultdict(list)
+    for g in got:
+        by[g.sequence_id].append((g.offset, g.length))
+    assert sorted(by) == list(range(len(by)))
+    for seq in by.values():
+        ends = [0, *(o + n for o, n in sorted(seq))]
+        assert [o for o, _ in sorted(seq)] == ends[:-1] and ends[-1] <= 2048
+    assert sorted(2048 - sum(n for _, n in s) for s in by.values()) == best_fit([g.length for g in got], 2048)
+
+
 # ---------------------------------------------------------------- 2 substring dedup
 
 

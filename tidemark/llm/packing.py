@@ -54,10 +54,34 @@ def _byte_signs() -> dict[int, str]:
 BYTE_SIGNS = _byte_signs()
 
 
+#: How a vocabulary must normalise and split for words to be encoded apart.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISES = ["NFC", "Replace", "Lowercase"]
+
+
+def by_words(description: dict) -> bool:
+    """Whether a vocabulary never joins across ASCII white space, nor letters with other signs."""
+    model, normal, split = (description.get(k) or {} for k in ("model", "normalizer", "pre_tokenizer"))
+    first, *rest = split.get("pretokenizers") or [{}]
+    return (
+        model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and [x.get("type") for x in normal.get("normalizers") or []] == NORMALISES
+        and normal["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+        and first.get("type") == "Split"
+        and first.get("pattern") == {"Regex": SPLITS}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+        and all(not set(t["content"].encode()) & set(b" \t\n\v\f\r") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in description.get("added_tokens") or [])
+        and not description.get("truncation")
+    )
+
+
 class WordIds:
-    """Ids of texts as little-endian bytes.  This vocabulary never joins across ASCII white
-    space, nor letters with other signs, so each distinct word is encoded once and remembered.
-    Runs of letters are encoded together in one text and told apart by their end-of-word ids."""
+    """Ids of texts as little-endian bytes.  Where the vocabulary goes by words, each distinct word is
+    encoded once and remembered, and runs of letters are encoded together in one text and told
+    apart by their end-of-word ids; with any other vocabulary whole texts are encoded."""
 
     _of: dict[str, "WordIds"] = {}
 
@@ -66,7 +90,12 @@ class WordIds:
 
         self.encoder = Tokenizer.from_file(path)
         # the same merges without normaliser and splitting, for runs that need neither
-        bare = json.loads(self.encoder.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        described = json.loads(self.encoder.to_str())
+        self.apart = by_words(described)
+        if not self.apart:
+            self.encoder.no_truncation()
+            return
+        bare = described | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
@@ -116,6 +145,8 @@ class WordIds:
             known.update(zip(odd[i : i + 5000], self._singly([w.decode() for w in odd[i : i + 5000]]), strict=True))
 
     def of(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self._singly(texts)
         split = [t.encode().split() for t in texts]
         words = set().union(*split)
         if len(self.known) > REMEMBERED:  # what the present texts use is likely to come again
@@ -233,20 +264,25 @@ def _place(rules: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, *, vocabulary: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str | None = None, window: int = WINDOW, end: int = END, full_lot: int = 500_000) -> DataFrame:
     """Pieces of all documents with sequence_id and offset."""
     spark = docs.sparkSession
     # one pass over the texts; what stays is a few numbers for each piece
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut(vocabulary or public_vocabulary(), window, end), PIECES).checkpoint()
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut(vocabulary or public_vocabulary(), window, end), PIECES).withColumn("nth", F.monotonically_increasing_id()).checkpoint()
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
     total = sum(counts.values())
     # ranks within a length by hashed lots, as one length may hold a third of all pieces
     lots = max(256, total // 100_000)
     dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(lots)))
     sizes = dealt.groupBy("length", "lot").count()
+    # a lot this full holds copies of a row, id and all; they are spread by where they stand
+    full = sizes.where(F.col("count") > full_lot).select("length", "lot", F.ceil(F.col("count") / full_lot).alias("parts")).checkpoint()
+    if full.limit(1).count():  # total / full_lot of them at most
+        dealt = dealt.join(full, ["length", "lot"], "left").withColumn("lot", F.col("lot") + lots * F.coalesce(F.pmod("nth", "parts"), F.lit(0))).drop("parts")
+        sizes = dealt.groupBy("length", "lot").count()
     before = Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select("length", "lot", (F.sum("count").over(before) - F.col("count")).alias("base"))
-    within = Window.partitionBy("length", "lot").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "lot").orderBy("doc_id", "start", "ids_crc32", "nth")
     ranked = (
         dealt.repartition(parts_for(spark, total, 500_000), "length", "lot")
         .withColumn("nth", F.row_number().over(within) - 1)
