@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as sf
 
 from tidemark.llm import chat, decontaminate, html_text, packing, sharding, simhash, substrings, toxicity, urls, vectors
 from tidemark.llm.common import Forest, connected_components, prepare
@@ -924,3 +925,23 @@ def test_sharding_of_equal_rows_and_long_texts(sp):
     assert fractions == sorted(fractions)
     again = sharding.interleave(df.repartition(3), 7, bucket_rows=20).collect()
     assert Counter((g.doc_id, g.text_crc32, g.shard, g.slot) for g in again) == Counter((g.doc_id, g.text_crc32, g.shard, g.slot) for g in got)
+
+
+# ---------------------------------------------------------------- shared parts
+
+
+def test_bounded_choices(sp):
+    from tidemark.llm.common import most_frequent, smallest_hashes
+
+    rows = sp.range(50_000)
+    few = smallest_hashes(rows, 100, "id")
+    order = "xxhash64(id)"
+    assert few.count() < 2000 and few.orderBy(sf.expr(order)).limit(100).collect() == rows.orderBy(sf.expr(order)).limit(100).collect()
+    assert smallest_hashes(rows, 20_000, "id").count() == 50_000
+    counts = [(f"w{i}", 10 ** (i % 7) + i) for i in range(300)] + [(f"x{i}", 1) for i in range(500)]
+    df = sp.createDataFrame(counts, "w string, n long")
+    for most in (0, 10, 200, 400, 1000):
+        got = {r.w for r in most_frequent(df, "n", most)}
+        left = [n for w, n in counts if w not in got]
+        assert len(got) <= most and all(n >= max(left, default=0) for w, n in counts if w in got)
+    assert most_frequent(df.limit(0), "n", 5) == []

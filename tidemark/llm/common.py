@@ -61,6 +61,32 @@ def parts_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(n_shuffle(spark), -(-rows // per_task))
 
 
+def smallest_hashes(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """`rows` with a hash of the columns below a bound that leaves somewhat more than `most` of
+    them: what is then sorted for the `most` smallest does not grow with the table."""
+    n = rows.count()
+    if n <= 4 * most:
+        return rows
+    bound = int(-(1 << 63) + (1 << 64) * (1.5 * most + 1000) / n)
+    return rows.where(F.xxhash64(*columns) < F.lit(bound)) if bound < (1 << 63) - 1 else rows
+
+
+def most_frequent(counted: DataFrame, by: str, most: int) -> list:
+    """Rows of a counted table that are more frequent than a cut, `most` at most, on the driver.  The
+    cut comes from a histogram, so no task sends the driver more."""
+    counted = counted.checkpoint()
+    c = F.col(by)
+    size = F.when(c < 1000, c).otherwise(1000 + F.floor(F.log(c / 1000.0) * 100)).cast("long")
+    histogram = sorted(map(tuple, counted.groupBy(size.alias("size")).count().collect()), reverse=True)  # a few thousand rows
+    cut, total = 1 << 62, 0
+    for value, n in histogram:
+        total += n
+        if total > most:
+            break
+        cut = value
+    return counted.where(size >= cut).collect()
+
+
 #: What empties the caches that an operator keeps in a worker between tasks.
 CACHES: dict[str, object] = {}
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, chunked, own, prepare, span_hashes, spans, table, text_buffer, trim
+from tidemark.llm.common import U64, chunked, own, prepare, smallest_hashes, span_hashes, spans, table, text_buffer, trim
 
 SAMPLE_ROWS, SAMPLE_BYTES, MAX_WORDS, MIN_ROWS = 12_000, 64 << 20, 3_000, 4
 #: How likely a document is marked toxic without cause, in the fit.
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     exceed `sample_bytes`."""
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # the smallest hashes among the ids alone, so that only their texts are looked at
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).checkpoint()
+    chosen = smallest_hashes(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample_rows, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).checkpoint()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     order = [F.xxhash64("doc_id").alias("at"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")]
     sizes = [r["bytes"] for r in rows.select(*order).orderBy("at", "doc_id", "bytes").limit(sample_rows).collect()]  # numbers only

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, connected_components, numbered, own, prepare, smallest_ids, table
+from tidemark.llm.common import U64, connected_components, numbered, own, prepare, smallest_hashes, smallest_ids, table
 
 THRESHOLD, SAMPLE_ROWS, MOST_BITS = 0.95, 20_000, 18
 BITS, TABLES = 64, 4
@@ -256,7 +256,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, sample_row
         linked = rows.where("v is not null").join(nodes, "v").select("vec_id", (F.col("copies") - 1).alias("n_links"), F.col("least").alias("component_id"))
     else:
         dims = named.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()["n"]  # the usual length
-        sample = named.where(F.length("v") == dims).orderBy(F.xxhash64("node")).limit(sample_rows).select("v").toArrow()["v"]
+        sample = smallest_hashes(named.where(F.length("v") == dims), sample_rows, "node").orderBy(F.xxhash64("node")).limit(sample_rows).select("v").toArrow()["v"]
         rotation = Rotation(np.frombuffer(b"".join(sample.to_pylist())).reshape(-1, dims // 8))
         shared = spark.sparkContext.broadcast(rotation)
         coded = named.mapInArrow(_encode(shared), "node long, v binary, copies long, code long").checkpoint()
