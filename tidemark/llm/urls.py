@@ -9,7 +9,7 @@ The unigram counts are those of the texts, hosts and paths of all pages, counted
 example sites below, which have a tenth of the weight at least.  A run that stands alone between
 dots or slashes of a url (`cheappills`) may be several words: from the shortest on, those that the
 words known by then spell go to these, the others are words themselves.  Unknown stretches cost
-more the longer they are.  The `VOCABULARY` most frequent words are held; rarer ones are unknown.
+more the longer they are.  The most frequent words, `VOCABULARY` at most, are held; rarer ones are unknown.
 
 Labels begin with the example sites, a list by hand that names no site of the tables.  From them the
 model grows: a host counts as blocked if the list's words alone say so clearly, as another if not,
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, table
+from tidemark.llm.common import most_frequent, prepare, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -219,7 +219,7 @@ def learn(pages: DataFrame, vocabulary: int = VOCABULARY) -> Segmenter:
     if "html" in pages.columns:
         counted = counted.union(text_words(pages).select("piece", "words", F.lit(0).cast("long")))
     counted = counted.groupBy("piece").agg(F.sum("words").alias("words"), F.sum("runs").alias("runs"))
-    top = counted.orderBy(F.desc(F.col("words") + F.col("runs")), "piece").limit(vocabulary).collect()
+    top = most_frequent(counted.withColumn("all", F.col("words") + F.col("runs")), "all", vocabulary)
     return segmenter({r.piece: r.words for r in top if r.words}, {r.piece: r.runs for r in top if r.runs})
 
 
@@ -248,7 +248,7 @@ def grow(pages: DataFrame, known: Segmenter, rules=RULES, *, vocabulary: int = V
     seen = pages.select("url").mapInArrow(_words_of_hosts(tuple(rules), known), "host string, token string, blocked boolean").distinct()
     n = seen.groupBy("token").agg(F.count(F.when(F.col("blocked"), 1)).alias("b"), F.count(F.when(~F.col("blocked"), 1)).alias("a")).checkpoint()
     total = n.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("n")).first()
-    top = n.where(F.col("a") + F.col("b") >= least_hosts).orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(vocabulary).collect()
+    top = most_frequent(n.withColumn("hosts", F.col("a") + F.col("b")).where(F.col("hosts") >= least_hosts), "hosts", vocabulary)
     bayes = NaiveBayes(_words(BLOCKED), _words(ALLOWED))
     if total["b"] and total["a"]:
         nb, na = (total[x] + 0.5 * total["n"] for x in "ba")
