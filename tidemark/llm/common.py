@@ -208,12 +208,16 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int)
         table = _SIGNS[seed] = mix(mix(np.arange(PLACES * 256, dtype=U64) + U64(seed)) + U64(seed))
     length = end - start
     ends = np.cumsum(length)
-    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length)
-    sign = place * 256 + raw[place + np.repeat(start, length)]
+    # texts come in chunks far below 2^31 bytes
+    every = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+    place = every - np.repeat((ends - length).astype(np.int32), length)
+    every += np.repeat((start - ends + length).astype(np.int32), length)
+    sign = place * np.int32(256) + raw[every]
+    del every
     far = np.flatnonzero(place >= PLACES)
     if len(far):
         value = table[np.where(place < PLACES, sign, 0)]
-        value[far] = mix(mix(sign[far].astype(U64) + U64(seed)) + U64(seed))
+        value[far] = mix(mix((place[far].astype(U64) * U64(256) + (sign[far] & 255).astype(U64)) + U64(seed)) + U64(seed))
     else:
         value = table[sign]
     total = np.zeros(len(value) + 1, U64)

@@ -42,7 +42,7 @@ DEPTH = 2
 MAX_BITS = 1 << 30
 BLOCK = 1 << 22
 #: Bytes of text hashed at once, and windows gathered before a task sends them.
-CHUNK, FLUSH = (1 << 20) - 1, 1_500_000
+CHUNK, FLUSH = (1 << 19) - 1, 1_500_000
 _SEED = [U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)]
 
 
