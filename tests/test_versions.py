@@ -1,10 +1,14 @@
 """Versioned reads, garbage collection and merges against a dictionary model, and edge cases."""
 
+import hashlib
 import random
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bloom, clock, gc, history, lsm, quorum, txn, versions, wal
+from tidemark.operators.graph import components
 from tidemark.schema import DELETE, PUT
 
 KIND = "k bigint, ts bigint, seq bigint, op int, v string"
@@ -58,9 +62,13 @@ def test_batch_order_and_deletes_last(spark):
 
 
 def test_seek_lower_bound(spark):
-    keys = spark.createDataFrame([(1,), (3,), (5,), (900,)], "k bigint")
-    t = spark.createDataFrame([(-500,), (2,), (3,), (4,), (6,), (700,), (901,)], "k bigint")
-    assert live(versions.seek_lower_bound(keys, t), "target", "k") == [(-500, 1), (2, 3), (3, 3), (4, 5), (6, 900), (700, 900), (901, None)]
+    keys = spark.createDataFrame([(1,), (3,), (5,), (900,), (3,), (None,)], "k bigint")
+    t = spark.createDataFrame([(-500,), (2,), (3,), (4,), (6,), (700,), (901,), (3,)], "k bigint")
+    for rows in (1 << 20, 2):
+        assert live(versions.seek_lower_bound(keys, t, rows), "target", "k") == [(-500, 1), (2, 3), (3, 3), (4, 5), (6, 900), (700, 900), (901, None)]
+    far = spark.createDataFrame([(0,), (10**12,), (-(10**15),)], "k bigint")
+    assert live(versions.seek_lower_bound(far, far.union(spark.createDataFrame([(1,)], "k bigint"))), "target", "k") == [(-(10**15), -(10**15)), (0, 0), (1, 10**12), (10**12, 10**12)]
+    assert live(versions.seek_lower_bound(keys.limit(0), t), "k") == [(None,)] * 7
 
 
 def test_tiers_newest_wins(spark):
@@ -95,13 +103,150 @@ def test_keys_and_clocks(spark):
     assert [r.hlc for r in clock.hlc_now(ticks).orderBy("id").collect()] == [100 << 16, (100 << 16) + 1, (100 << 16) + 2, 101 << 16]
 
 
-def test_bloom_has_no_false_negatives(spark):
-    keys = spark.range(2000).withColumnRenamed("id", "k")
-    bits = bloom.build(keys, [], "k", 20000, 6)
-    assert bloom.probe(keys, "k", bits, 20000, 6).where("not maybe").count() == 0
-    other = spark.range(10_000, 20_000).withColumnRenamed("id", "k")
-    assert bloom.probe(other, "k", bits, 20000, 6).where("maybe").count() < 150
-    assert bloom.probe(keys, "k", bits.limit(0), 20000, 6).where("maybe").count() == 0
+@pytest.mark.parametrize("inline", [1 << 20, 0])  # as a constant, and by bucket
+def test_bloom_rates(spark, monkeypatch, inline):
+    monkeypatch.setattr(bloom, "INLINE_BYTES", inline)
+    keys = spark.range(100_000).select(F.concat(F.lit("key-"), "id").alias("k"))
+    held = bloom.build(keys, [], "k")
+    assert held.agg(F.max("m")).first()[0] == 1_000_000
+    assert bloom.probe(keys, "k", held).where("not maybe").count() == 0
+    other = spark.range(100_000).select(F.concat(F.lit("nonexistent-"), "id").alias("k"))
+    assert 400 < bloom.probe(other, "k", held).where("maybe").count() < 1500  # 0.9 % at ten bits a key
+    assert bloom.probe(keys.limit(9), "k", held.limit(0)).where("maybe").count() == 0
+    assert bloom.probe(keys.limit(0), "k", held).count() == 0
+
+
+def test_bloom_groups_and_codec(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), "id").union(spark.createDataFrame([(7, 1), (7, 1), (8, None)], "g long, id long"))
+    sizes = {r.g: (r.m, r.set_bits) for r in bloom.set_bits(bloom.build(rows, ["g"], "id"), ["g"]).collect()}
+    assert {g: m for g, (m, _) in sizes.items()} == {0: 10_000, 1: 10_000, 2: 10_000, 7: 64} and sizes[7][1] <= 6 and all(3500 < sizes[g][1] < 5500 for g in range(3))
+    one = rows.where("g = 1")
+    data = bloom.encode(bloom.build(one, [], "id"))
+    k, bits = bloom.decode(data)
+    assert k == 6 and len(bits) == 1250 and bloom.decode(b"") == (0, b"")
+    asked = spark.range(20_000).select("id", bloom.may_contain(F.lit(data), F.col("id")).alias("maybe"), bloom.may_contain(F.lit(b""), F.col("id")).alias("none"))
+    got = {r.id for r in asked.where("maybe").collect()}
+    assert set(range(1, 3000, 3)) <= got and len(got) < 1500 and asked.where("none").count() == 0
+    # as a plain loop over the digest
+    for x in (1, 2, 5000):
+        d = hashlib.md5(str(x).encode()).hexdigest()
+        at = [((int(d[:8], 16) + i * int(d[8:16], 16)) & 0xFFFFFFFF) % 10_000 for i in range(6)]
+        assert all(bits[i // 8] >> i % 8 & 1 for i in at) == (x in got)
+
+
+def test_batch_codec(spark):
+    kind = "id int, entries array<struct<op:int,k:binary,v:binary>>"
+    rows = [(1, [(PUT, b"key", b"val"), (DELETE, b"k2", None), (PUT, b"", b"x" * 300)]), (2, []), (3, [(PUT, b"a", b"")])]
+    df = spark.createDataFrame(rows, kind).select("id", "entries", versions.encode_batch(F.col("entries")).alias("data"))
+    plain = {r[0]: struct.pack("<I", len(r[1])) + b"".join(struct.pack("<BI", op, len(k)) + k + struct.pack("<I", len(v or b"")) + (v or b"") for op, k, v in r[1]) for r in rows}
+    got = {r.id: r for r in df.select("id", "data", versions.decode_batch(F.col("data")).alias("back")).collect()}
+    assert {i: bytes(r.data) for i, r in got.items()} == plain
+    for i, entries in rows:
+        assert [(e.op, bytes(e.k), None if e.v is None else bytes(e.v)) for e in got[i].back] == [(op, k, v or None) for op, k, v in entries]
+    broken = [plain[1][:-1], plain[1][:9], b"\x01", b"", struct.pack("<I", 1 << 30), plain[3] + b"tail"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(broken)], "id int, data binary")
+    assert [r.n for r in df.select("id", F.size(versions.decode_batch(F.col("data"))).alias("n"), versions.decode_batch(F.col("data")).isNull().alias("bad")).orderBy("id").collect()] == [None, None, None, None, None, 1]
+
+
+def test_merge_keeps_every_version(spark):
+    new = spark.createDataFrame([(1, 9, 0, DELETE, None), (1, 5, 0, PUT, "newer")], KIND)
+    old = spark.createDataFrame([(1, 5, 0, PUT, "a"), (1, 5, 1, PUT, "c"), (2, 5, 0, PUT, "b"), (None, 1, 0, PUT, "n")], KIND)
+    got = versions.merge_versions([new, old]).select("k", "ts", "seq", "idx", "op", "v").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 9, 0, 0, DELETE, None), (1, 5, 0, 0, PUT, "newer"), (1, 5, 1, 1, PUT, "c"), (2, 5, 0, 1, PUT, "b"), (None, 1, 0, 1, PUT, "n")]))
+
+
+def test_overlap_of_wide_and_narrow_files(spark):
+    r = random.Random(4)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            lo = r.choice([r.randrange(-500, 500), r.randrange(-(10**12), 10**12)])
+            out.append((i, lo, lo + r.choice([0, 1, 7, 100, 4095, 4096, 10**9, 10**12])))
+        return out
+
+    a, b = some(60), some(70)
+    left, right = (spark.createDataFrame(x, "file_num long, lo long, hi long") for x in (a, b))
+    got = live(lsm.file_overlap(left, right), "file_num_a", "file_num_b")
+    assert got == sorted((i, j) for i, lo, hi in a for j, lo2, hi2 in b if hi >= lo2 and lo <= hi2) and len(got) > 300
+    keys = spark.createDataFrame([(k,) for k in (0, -1, 5, 10**12, -(10**12), a[0][1], a[1][2])], "k long")
+    assert live(lsm.level_probe(keys, left), "k", "file_num") == sorted((k.k, i) for k in keys.collect() for i, lo, hi in a if lo <= k.k <= hi)
+    assert lsm.file_overlap(left.limit(0), right).count() == lsm.file_overlap(left, right.limit(0)).count() == lsm.level_probe(keys, left.limit(0)).count() == 0
+
+
+def test_reads_go_by_level(spark):
+    files = [(0, 1, 0, 9), (0, 2, 5, 9), (1, 3, 0, 4), (1, 4, 5, 9), (2, 5, 0, 9)]
+    rows = [(6, 0, 1, PUT, "old"), (6, 0, 2, PUT, "new"), (3, 1, 3, DELETE, None), (3, 2, 5, PUT, "hidden"), (7, 2, 5, PUT, "deep"), (8, 1, 3, PUT, "outside its file")]
+    got = lsm.level_get(spark.createDataFrame([(k,) for k in (6, 3, 7, 8, 99)], "k long"), spark.createDataFrame(rows, "k long, level long, file_num long, op int, v string"), spark.createDataFrame(files, "level long, file_num long, lo long, hi long"))
+    assert live(got, "k", "found", "v") == [(3, False, None), (6, True, "new"), (7, True, "deep"), (8, False, None), (99, False, None)]
+
+
+def test_later_edits_of_the_manifest_win(spark):
+    edits = [(1, "add", 1, 7, 0), (2, "delete", 1, 7, 0), (3, "add", 1, 7, 5), (1, "add", 2, 7, 1), (4, "delete", 2, 7, 1), (1, "add", 0, 9, 3)]
+    df = spark.createDataFrame(edits, "edit_no long, action string, level long, file_num long, lo long")
+    assert live(lsm.manifest_state(df), "level", "file_num", "lo") == [(0, 9, 3), (1, 7, 5)]
+
+
+def test_append_entries(spark):
+    log = [(n, i, t, f"{n}.{i}") for n in (1, 2, 3, 4) for i, t in ((1, 1), (2, 1), (3, 2))]
+    state = [(n, 2, 1) for n in (1, 2, 3, 4, 5)]
+    asked = [(1, 2, 2, 1, 9, [(3, "x")]), (2, 1, 3, 2, 9, [(3, "x")]), (3, 4, 3, 1, 9, [(4, "x")]), (4, 3, 3, 2, 3, []), (5, 2, 0, 0, 1, [(2, "a"), (2, "b")])]
+    answers, after = quorum.append_entries(
+        spark.createDataFrame(log, "node long, idx long, term long, data string"),
+        spark.createDataFrame(state, "node long, term long, commit long"),
+        spark.createDataFrame(asked, "node long, term long, prev_idx long, prev_term long, leader_commit long, entries array<struct<term: bigint, data: string>>"),
+    )
+    assert live(answers, "node", "term", "success", "commit") == [(1, 2, True, 3), (2, 2, False, 1), (3, 4, False, 1), (4, 3, True, 3), (5, 2, True, 1)]
+    of = {}
+    for n, i, t, d in live(after, "node", "idx", "term", "data"):
+        of.setdefault(n, []).append((i, t, d))
+    assert of[1] == [(1, 1, "1.1"), (2, 1, "1.2"), (3, 3, "x")] and of[5] == [(1, 2, "a"), (2, 2, "b")] and [len(of[n]) for n in (2, 3, 4)] == [3, 3, 3]
+
+
+def test_crc32c(spark):
+    known = {b"123456789": 0xE3069283, b"": 0, bytes(32): 0x8A9136AA, b"\xff" * 32: 0x62A8AB43, bytes(range(32)): 0x46DD794E}
+    df = spark.createDataFrame([(k,) for k in known] + [(None,)], "b binary").repartition(3)
+    got = {None if r.b is None else bytes(r.b): r.c for r in df.select("b", wal.crc32c("b").alias("c")).collect()}
+    assert got == known | {None: None}
+
+
+def test_fragments_and_reassembly(spark):
+    r = random.Random(3)
+    # one that leaves less than a header, one that fills a block, one that leaves exactly a header, long, empty, null
+    sizes = [32768 - 7 - 100, 200, 32768 - 2 * 7 - 107 - 7, 32761, 0, 98_290, 100_000, 990, 32768 - 7 - 3, 5]
+    payloads = [bytes(r.randrange(256) for _ in range(min(n, 50))) * (n // min(n, 50)) + b"t" * (n % min(n, 50)) if n else b"" for n in sizes]
+    rows = [(k, i, p) for k in (1, 2) for i, p in enumerate(payloads)] + [(3, 0, b"only"), (4, 0, None)]
+    df = spark.createDataFrame(rows, "k long, ts long, payload binary")
+    pieces = wal.cut_payloads(df).cache()
+    # by the bytes of a file
+    at, want = 0, []
+    for p in payloads:
+        first, left = True, p
+        while first or left:
+            if 32768 - at % 32768 < 7:
+                at += 32768 - at % 32768
+            n = min(len(left), 32768 - at % 32768 - 7)
+            want.append((at, (1 if n == len(left) else 2) if first else 4 if n == len(left) else 3, n))
+            at, left, first = at + 7 + n, left[n:], False
+    got = [(x.pos, x.kind, len(x.payload)) for x in pieces.where("k = 1").orderBy("pos").collect()]
+    assert got == want and {kind for _, kind, _ in want} == {1, 2, 3, 4}
+    back = {}
+    for x in wal.reassemble(pieces).orderBy("pos").collect():
+        back.setdefault(x.k, []).append(bytes(x.payload))
+    assert back == {1: payloads, 2: payloads, 3: [b"only"], 4: [b""]}
+
+    def read(broken):
+        return [bytes(x.payload) for x in wal.reassemble(broken.where("k = 1"), slab_rows=3).orderBy("pos").collect()]
+
+    mid = [p for p, kind, _ in want if kind == 3][0]
+    kept = payloads[: sizes.index(98_290)]
+    flipped = F.when(F.col("pos") == mid, F.concat(F.unhex(F.lit("00")), F.expr("substring(payload, 2)"))).otherwise(F.col("payload"))
+    assert read(pieces.withColumn("payload", flipped)) == kept  # a damaged byte
+    assert read(pieces.where((F.col("pos") < mid) | (F.col("kind") != 4))) == kept  # a record begins within another
+    last = want[-1][0]
+    assert read(pieces.where(F.col("pos") != last)) == payloads[:-1]
+    assert read(pieces.where("kind in (3, 4)")) == [] and read(pieces.limit(0)) == []
+    assert read(pieces.withColumn("crc", F.when(F.col("pos") != last, F.col("crc")))) == payloads[:-1]  # no checksum
 
 
 def test_replay_stops_at_the_first_bad_record(spark):
@@ -114,6 +259,34 @@ def test_multi_key_transactions(spark):
     assert live(txn.multi_key_outcomes(t), "txn", "committed") == [(1, True), (2, False), (3, True), (4, True)]
 
 
+def test_transactions_without_keys_snapshots_or_that_abort(spark):
+    t = spark.createDataFrame([(1, ["a", "b"], 0, 10, False), (2, ["b", "b"], 5, 11, False), (3, None, 5, 12, False), (4, [], 0, 1, False), (5, ["a"], 20, 30, True), (6, ["a"], 25, 31, False), (7, ["q"], None, 40, False), (8, ["q"], None, 41, False)], "txn bigint, keys array<string>, snap bigint, req bigint, aborted boolean")
+    assert live(txn.multi_key_outcomes(t), "txn", "committed") == [(1, True), (2, False), (3, True), (4, True), (5, False), (6, True), (7, True), (8, False)]
+    one = spark.createDataFrame([(1, 0, None, 5), (2, 0, None, 6), (3, 0, 5, 9)], "txn bigint, k bigint, snap bigint, req bigint")
+    assert live(txn.commit_outcomes(one), "txn", "committed") == [(1, True), (2, False), (3, True)]
+    spans = spark.createDataFrame([(1, 0, 10), (2, 5, 6), (3, 6, 20)], "txn bigint, snap bigint, req bigint")
+    assert live(txn.active_transactions(spans), "at", "active") == [(0, 1), (5, 2), (6, 2), (10, 1), (20, 0)]
+
+
+def test_snapshot_isolation_permits_write_skew(spark):
+    """Both read x and y at 0; one writes x, the other y: both commit.  Writing the same key, one does."""
+    skew = spark.createDataFrame([(1, ["x"], 0, 10), (2, ["y"], 0, 11)], "txn bigint, keys array<string>, snap bigint, req bigint")
+    assert live(txn.multi_key_outcomes(skew), "txn", "committed") == [(1, True), (2, True)]
+    lost = spark.createDataFrame([(1, ["x"], 0, 10), (2, ["x"], 0, 11), (3, ["x"], 10, 12)], "txn bigint, keys array<string>, snap bigint, req bigint")
+    assert live(txn.multi_key_outcomes(lost), "txn", "committed") == [(1, True), (2, False), (3, True)]
+    # repeated and dirty reads: a snapshot's view never changes, whatever is written after it
+    before = spark.createDataFrame([(1, 5, 0, PUT, "a")], KIND)
+    after = before.union(spark.createDataFrame([(1, 9, 0, PUT, "b"), (2, 9, 0, PUT, "c")], KIND))
+    assert live(versions.snapshot_read(before, 7)) == live(versions.snapshot_read(after, 7)) == [(1, "a")]
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(400)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (7000, 7000), (None, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == {i: 0 for i in range(401)} | {i: 1000 for i in range(1000, 1300)} | {7000: 7000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_linearizable_histories(spark):
     kind = "k bigint, client int, is_read boolean, value string, call bigint, ret bigint"
     good = [(1, 0, False, "a", 0, 10), (1, 1, True, "a", 5, 12), (1, 1, True, "a", 13, 14)]

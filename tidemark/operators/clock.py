@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import SLAB, ordered_fold, running
+from tidemark.operators.fold import SLAB_ROWS, running
 
 
-def hlc_now(events: DataFrame, slab: int = SLAB) -> DataFrame:
-    """(node, id, ms) in id order -> `hlc` (S3): the wall part never falls, events with equal wall
-    parts count up.  The count stays below 65,536 a millisecond or carries into the wall part."""
-    wall = running(events, ["node"], ["id"], F.col("ms"), F.max, F.floor(F.col("id") / slab), "wall")
-    logical = F.row_number().over(Window.partitionBy("node", "wall").orderBy("id")) - 1
-    return wall.withColumn("hlc", F.shiftleft("wall", 16) + logical)
+def hlc_now(events: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """(node, id, ms) in id order -> `hlc` (S3): stamps rise strictly, at least to the physical time;
+    more than 65,536 in a millisecond carry into the wall part.
+
+    A stamp is max(ms << 16, the one before + 1), so less its row's number it is a running maximum."""
+    at = F.col("id")
+    rows = running(events, ["node"], ["id"], F.lit(1).cast("long"), "sum", at, "__tm_n", slab_rows=slab_rows)
+    rows = running(rows, ["node"], ["id"], F.shiftleft(F.col("ms").cast("long"), 16) - F.col("__tm_n"), "max", at, "hlc", slab_rows=slab_rows)
+    return rows.withColumn("hlc", F.col("hlc") + F.col("__tm_n")).drop("__tm_n")
 
 
 def wall_of(hlc: Column) -> Column:
@@ -24,23 +27,17 @@ def logical_of(hlc: Column) -> Column:
     return hlc.bitwiseAND(F.lit(65535).cast("long"))
 
 
-def hlc_merge(received: DataFrame) -> DataFrame:
+def hlc_merge(received: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """(node, id, ms, remote_wall, remote_logical) -> the clock after all receipts (S4): the wall part
-    is the largest of own, remote and physical; the counter follows whichever it came from."""
-
-    def step(s, _, ms, remote_wall, remote_logical):
-        w = max(s[0], remote_wall, ms)
-        if w == s[0]:
-            n = max(s[1], remote_logical) + 1 if w == remote_wall else s[1] + 1
-        else:
-            n = remote_logical + 1 if w == remote_wall else 0
-        s[:] = w, n
-        return {"w": w, "l": n}
-
-    rows = received.select("node", "id", "ms", "remote_wall", "remote_logical")
-    # the clock only rises, so its largest value is the last
-    done = ordered_fold(rows, "node", ["id", "ms", "remote_wall", "remote_logical"], lambda: [0, 0], step, "c", "struct<w:bigint,l:bigint>").groupBy("node").agg(F.max("c").alias("c"))
-    return done.select("node", F.col("c.w").alias("wall"), F.col("c.l").alias("logical"))
+    is the largest of own, remote and physical; the counter follows whichever it came from, and
+    carries into the wall part.
+
+    Each receipt makes the stamp max(own, remote, ms << 16 less one) + 1: the last stamp is the largest
+    of what each receipt would make it by itself and the receipts after it."""
+    ahead = running(received.select("node", "id", "ms", "remote_wall", "remote_logical"), ["node"], [F.desc("id")], F.lit(1).cast("long"), "sum", F.col("id"), "__tm_left", newest_first=True, slab_rows=slab_rows)
+    remote = F.shiftleft(F.col("remote_wall").cast("long"), 16) + F.col("remote_logical")
+    made = F.greatest(remote, F.shiftleft(F.col("ms").cast("long"), 16) - 1, F.lit(0).cast("long")) + F.col("__tm_left")
+    return ahead.groupBy("node").agg(F.max(made).alias("c")).select("node", wall_of(F.col("c")).alias("wall"), logical_of(F.col("c")).alias("logical"))
 
 
 def encode_key(key: Column, ts: Column) -> Column:

@@ -1,24 +1,43 @@
-"""Connected components by alternating minima, for small coupling graphs."""
+"""Connected components by large and small stars."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component) of an undirected graph (a, b): labels take the least label among
-    neighbours until none changes.  Rounds are checkpointed where a folder is set."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.persist()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    reliable = not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("changed"))
-        new = new.checkpoint() if reliable else new.persist()
-        changed = new.where("changed").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+def reliable(spark) -> None:
+    """Makes sure that checkpoints go to the folder the session names; one of its own only where it
+    names none, as on a single machine."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of an undirected graph (a, b) over any orderable type: the least node that can be
+    reached.
+
+    Every node links its larger neighbours to its least one (large star), then itself and its
+    smaller ones (small star), until nothing changes: stars are left.  The rounds are about the
+    logarithm of the longest path, however long; minima are combined map-side, so a hub is no
+    single task, and each round is checkpointed."""
+    reliable(edges.sparkSession)
+    given = edges.select("a", "b").where("a is not null and b is not null").checkpoint()
+    e = given.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    prints = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    before = e.agg(prints.alias("p")).first()["p"]
+    while before["n"]:
+        both = e.union(e.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        pair = F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        e = large.join(low, "a").select(pair.alias("x")).select("x.a", "x.b").where("a != b").distinct().checkpoint()
+        now = e.agg(prints.alias("p")).first()["p"]
+        if now == before:
+            break
+        before = now
+    nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

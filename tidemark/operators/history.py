@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import running
+
 
 def register_violations(history: DataFrame) -> DataFrame:
     """(k, ts, is_read, value): reads of sequential histories that do not see the last write (Z8);
     before any write a register holds null."""
-    before = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(~F.col("is_read"), F.col("value")), ignorenulls=True).over(before)
-    return history.withColumn("expected", last).where(F.col("is_read") & ~F.col("value").eqNullSafe(F.col("expected")))
+    write = F.when(~F.col("is_read"), F.col("value"))
+    seen = running(history, ["k"], ["ts"], write, "last", F.col("ts"), "expected", own=False)
+    return seen.where(F.col("is_read") & ~F.col("value").eqNullSafe(F.col("expected")))
 
 
 def linearizable(history: DataFrame) -> DataFrame:

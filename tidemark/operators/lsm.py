@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import SLAB, ordered_fold, running
+from tidemark.operators.fold import SLAB_ROWS, ordered_fold, reset_groups, running
+from tidemark.schema import PUT
 
 # Fixed values of the level layout.
 L0_TRIGGER, LEVEL_RATIO, BASE_BYTES, MAX_LEVELS, STALL_AT = 4, 10, 10 * 1024 * 1024, 7, 12
@@ -23,79 +24,161 @@ def compaction_score(files: DataFrame) -> DataFrame:
     return sums.withColumn("score", F.round(score, 6))
 
 
-def _binned(files: DataFrame, width: int) -> DataFrame:
-    return files.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+def _height(lo: Column, hi: Column) -> Column:
+    """The power of two that an inclusive range fits into: it meets two bins of that width at most."""
+    return F.ceil(F.log2((hi - lo + 1).cast("double"))).cast("int")
 
 
-def file_overlap(left: DataFrame, right: DataFrame, width: int = 4096) -> DataFrame:
-    """Pairs of files whose inclusive key ranges meet (P4, J3): an equi-join on key bins, each pair
-    taken from the first bin they share, so wide tables need no nested loop."""
-    a = _binned(left.select(*[F.col(c).alias(f"{c}_a") if c not in ("lo", "hi") else F.col(c) for c in left.columns]), width).withColumnsRenamed({"lo": "lo_a", "hi": "hi_a"})
-    b = _binned(right.select(*[F.col(c).alias(f"{c}_b") if c not in ("lo", "hi") else F.col(c) for c in right.columns]), width).withColumnsRenamed({"lo": "lo_b", "hi": "hi_b"})
-    first = F.floor(F.greatest("lo_a", "lo_b") / width) == F.col("bin")
-    return a.join(b, "bin").where(first & (F.col("hi_a") >= F.col("lo_b")) & (F.col("lo_a") <= F.col("hi_b"))).drop("bin")
+def _floor_div(x: str) -> str:
+    """SQL of the bin that a key falls into at `__tm_height`, in whole numbers: shifting rounds down."""
+    return f"shiftright(cast({x} as bigint), __tm_height)"
 
 
-def level_probe(keys: DataFrame, files: DataFrame, width: int = 4096) -> DataFrame:
+def _bins(rows: DataFrame, heights: Column) -> DataFrame:
+    """Rows at every bin (height, bin) that their range lo..hi meets at the given heights."""
+    at = rows.withColumn("__tm_height", F.explode(heights))
+    first, last = (F.expr(_floor_div(c)) for c in ("lo", "hi"))
+    return at.withColumn("__tm_bin", F.explode(F.sequence(first, last)))
+
+
+def file_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of files whose inclusive key ranges meet (P4, J3), as an equi-join on key bins.
+
+    Each file's bins are as wide as its own range, so it has two at most however wide it is; it looks
+    for the other side at all widths from its own on that occur there.  A pair meets at the wider
+    one's width, and is taken from the first bin it shares."""
+
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        named = rows.select(*[F.col(c).alias(f"{c}_{end}") for c in rows.columns]).withColumns({"lo": F.col(f"lo_{end}"), "hi": F.col(f"hi_{end}")})
+        return named.where("lo <= hi").withColumn("__tm_own", _height(F.col("lo"), F.col("hi")))
+
+    a, b = side(left, "a"), side(right, "b")
+    own_a, own_b = (_bins(x, F.array("__tm_own")) for x in (a, b))
+    tall_a, tall_b = (F.array(*[F.lit(h) for h in _heights(x)]).cast("array<int>") for x in (a, b))
+    wider = _bins(b, F.filter(tall_a, lambda h: h >= F.col("__tm_own")))
+    taller = _bins(a, F.filter(tall_b, lambda h: h > F.col("__tm_own")))
+    key, drop = ["__tm_height", "__tm_bin"], ["lo", "hi", "__tm_own"]
+    pairs = own_a.drop(*drop).join(wider.drop(*drop), key).unionByName(taller.drop(*drop).join(own_b.drop(*drop), key))
+    first = F.expr(_floor_div("greatest(lo_a, lo_b)"))
+    return pairs.where((first == F.col("__tm_bin")) & (F.greatest("lo_a", "lo_b") <= F.least("hi_a", "hi_b"))).drop(*key)
+
+
+def _heights(files: DataFrame) -> list[int]:
+    """The widths that occur, 64 at most."""
+    return sorted(r[0] for r in files.select("__tm_own").distinct().collect())
+
+
+def level_probe(keys: DataFrame, files: DataFrame) -> DataFrame:
     """Files whose range holds each key (R11, J4), by key bins."""
-    return keys.withColumn("bin", F.floor(F.col("k") / width)).join(_binned(files, width), "bin").where("k between lo and hi").drop("bin")
+    held = files.where("lo <= hi").withColumn("__tm_own", _height(F.col("lo"), F.col("hi")))
+    heights = F.array(*[F.lit(h) for h in _heights(held)]).cast("array<int>")
+    asked = _bins(keys.withColumns({"lo": F.col("k"), "hi": F.col("k")}), heights).drop("lo", "hi")
+    return asked.join(_bins(held, F.array("__tm_own")), ["__tm_height", "__tm_bin"]).where("k between lo and hi").drop("__tm_height", "__tm_bin", "__tm_own")
+
+
+def level_get(wanted: DataFrame, log: DataFrame, files: DataFrame) -> DataFrame:
+    """Lookup by level (R11): of the files (level, file_num, lo, hi) whose range holds a key, those of
+    level 0 are asked newest first (largest number), then one of each deeper level; the first whose
+    rows in `log` (k, level, file_num, op, ..) have the key decides, a deletion too.  Adds `found`."""
+    rest = [c for c in log.columns if c not in ("k", "level", "file_num")]
+    at = level_probe(wanted.select("k").distinct(), files.select("level", "file_num", "lo", "hi")).select("k", "level", "file_num")
+    order = F.struct(F.col("level"), F.when(F.col("level") == 0, -F.col("file_num")).otherwise(F.col("file_num")))
+    first = F.min_by(F.struct("level", "file_num", *rest), order).alias("__tm")
+    hit = at.join(log, ["k", "level", "file_num"]).groupBy("k").agg(first).where(F.col("__tm.op") == PUT)
+    out = wanted.join(hit, "k", "left")
+    return out.select(*wanted.columns, F.col("__tm").isNotNull().alias("found"), *[F.col(f"__tm.{c}").alias(c) for c in ("level", "file_num", *rest)])
 
 
 def compaction_pick(files: DataFrame) -> DataFrame:
     """Input files of the next compaction with their role (C1, N4): the highest score strictly above
     one wins, lower levels first; level 0 gives all its files, others their largest (lowest number
     first), and the next level those that overlap the inputs.  No level above one: no rows."""
-    best = compaction_score(files).where(f"score > 1 and level < {MAX_LEVELS - 1}").orderBy(F.desc("score"), "level").limit(1).select(F.col("level").alias("pick"))
-    at = files.join(F.broadcast(best))  # one row at most
-    mine = at.where("level = pick")
+    pick = compaction_score(files).where(f"score > 1 and level < {MAX_LEVELS - 1}").agg(F.max_by("level", F.struct("score", -F.col("level"))).alias("pick"))
+    mine = files.join(F.broadcast(pick), F.col("level") == F.col("pick"))  # one row, null if no level is above
     largest = mine.where("pick > 0").orderBy(F.desc("size"), "file_num").limit(1)
     chosen = mine.where("pick = 0").unionByName(largest)
-    span = chosen.agg(F.min("lo").alias("a"), F.max("hi").alias("b"))  # one row
-    below = at.where("level = pick + 1").join(F.broadcast(span)).where("hi >= a and lo <= b").drop("a", "b")
-    return chosen.withColumn("role", F.lit("input")).unionByName(below.withColumn("role", F.lit("overlap"))).drop("pick")
+    span = chosen.agg(F.min("lo").alias("a"), F.max("hi").alias("b"), (F.max("pick") + 1).alias("next"))  # one row
+    below = files.join(F.broadcast(span), (F.col("level") == F.col("next")) & (F.col("hi") >= F.col("a")) & (F.col("lo") <= F.col("b"))).drop("a", "b", "next")
+    return chosen.drop("pick").withColumn("role", F.lit("input")).unionByName(below.withColumn("role", F.lit("overlap")))
 
 
 def compaction_split(files: DataFrame, target: int) -> DataFrame:
-    """Output file of each input in key order: a new one whenever the bytes before reach another
-    multiple of the target (N5)."""
-    order = Window.partitionBy("level").orderBy("lo", "file_num").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("out_file", F.floor((F.sum("size").over(order) - F.col("size")) / target).cast("long"))
+    """Output file of each input of a level in key order (N5): a file ends with the input that brings it
+    to the target, and the next starts from nothing."""
+    return reset_groups(files, "level", ["lo", "file_num"], "size", target, "out_file")
 
 
-def manifest_state(added: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Live files: added and not deleted later at the same (level, file_num)."""
-    return added.join(deleted, ["level", "file_num"], "left_anti").orderBy("level", "lo", "file_num")
+def manifest_state(edits: DataFrame) -> DataFrame:
+    """(edit_no, action, level, file_num, ..) -> live files (C5): the last edit of each (level, file_num)
+    decides, so a file that is added again after its deletion lives."""
+    key = ["level", "file_num"]
+    rest = [c for c in edits.columns if c not in key]
+    last = edits.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("edit_no", F.col("action") == "add")).alias("__tm"))
+    live = last.where(F.col("__tm.action") == "add")
+    return live.select(*key, *[F.col(f"__tm.{c}").alias(c) for c in rest if c not in ("edit_no", "action")]).orderBy("level", "lo", "file_num")
 
 
-def segments(log: DataFrame, size: Column, limit: int, by: str = "k", slab: Column | None = None) -> DataFrame:
-    """Flush segment of each row: cut when the bytes before reach another multiple of `limit`.
-    `slab` splits long logs (see `running`); else it is a range of `ts`."""
-    slab = F.floor(F.col("ts") / SLAB) if slab is None else slab
-    done = running(log.withColumn("bytes", size), [by], ["ts", "seq"], F.col("bytes"), F.sum, slab, "__tm_end")
-    return done.withColumn("segment", F.floor((F.col("__tm_end") - F.col("bytes")) / limit).cast("long")).drop("__tm_end")
+def segments(log: DataFrame, size: Column, limit: int, by: str = "k", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """Flush segment or block of each row with its `bytes` (W9, W11, W12): the row that fills a
+    segment to `limit` is its last."""
+    return reset_groups(log.withColumn("bytes", size.cast("long")), by, list(order), "bytes", limit, "segment")
 
 
-def stall_flags(changes: DataFrame, trigger: int = STALL_AT, slab: int = SLAB) -> DataFrame:
+def stall_flags(changes: DataFrame, trigger: int = STALL_AT, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """(k, ts, delta) -> files in level 0 and whether writes stall."""
-    done = running(changes, ["k"], ["ts"], F.col("delta"), F.sum, F.floor(F.col("ts") / slab), "l0")
+    done = running(changes, ["k"], ["ts"], F.col("delta"), "sum", F.col("ts"), "l0", slab_rows=slab_rows)
     return done.withColumn("stalled", F.col("l0") >= trigger)
 
 
+def compaction_stats(events: DataFrame) -> DataFrame:
+    """(kind, bytes_in, bytes_out, ms) of begun and done compactions and of stalls -> one row of
+    counters (A4): kinds are `begin`, `done` and `stall`; pending is begun less done."""
+    done, stall = F.col("kind") == "done", F.col("kind") == "stall"
+
+    def total(what: Column, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, what)), F.lit(0)).cast("long")
+
+    one = F.lit(1)
+    return events.agg(
+        total(F.col("bytes_in"), done).alias("bytes_compacted"),
+        total(F.col("bytes_out"), done).alias("bytes_written"),
+        total(one, done).alias("compactions"),
+        total(F.col("ms"), done).alias("compaction_ms"),
+        total(F.col("ms"), stall).alias("stall_ms"),
+        (total(one, F.col("kind") == "begin") - total(one, done)).alias("pending"),
+    )
+
+
 def cache_shard(file: Column, offset: Column) -> Column:
     """Shard of a cached block; the multiplier is 1 modulo 4, so low bits suffice."""
     return file.bitwiseXOR(offset).bitwiseAND(F.lit(3))
 
 
 def lru_hits(accesses: DataFrame, capacity: int) -> DataFrame:
-    """(shard, k, ts) -> hit of an LRU cache of `capacity` blocks a shard (N6, C13); memory is one
-    cache."""
-
-    def step(cache, _, k):  # a dict keeps its order of insertion
-        hit = k in cache[0]
-        cache[0].pop(k, None)
-        cache[0][k] = True
-        if len(cache[0]) > capacity:
-            del cache[0][next(iter(cache[0]))]
+    """(shard, k, ts) -> hit of an LRU cache of `capacity` blocks a shard (N6, C13).  With a column `file`
+    blocks belong to files, and a row with a null k removes its file's blocks (it is no access and has
+    a null hit).  A shard is one task's time; memory is one cache."""
+    filed = "file" in accesses.columns
+
+    def step(cache, _, k, file):  # a dict keeps its order of insertion
+        blocks, of = cache
+        if k is None and filed:
+            for x in of.pop(file, ()):
+                del blocks[x]
+            return None
+        x = (file, k)
+        hit = x in blocks
+        blocks.pop(x, None)
+        blocks[x] = True
+        if filed:
+            of.setdefault(file, set()).add(x)
+        if len(blocks) > capacity:
+            out = next(iter(blocks))
+            del blocks[out]
+            if filed:
+                of[out[0]].discard(out)
         return hit
 
-    return ordered_fold(accesses.select("shard", "ts", "k"), "shard", ["ts", "k"], lambda: [{}], step, "hit", "boolean").select("shard", "k", "ts", "hit")
+    rows = accesses.select("shard", "ts", "k", (F.col("file") if filed else F.lit(None).cast("long")).alias("file"))
+    done = ordered_fold(rows, "shard", ["ts", "k", "file"], lambda: [{}, {}], step, "hit", "boolean")
+    return done.select("shard", "k", "ts", "hit", *(["file"] if filed else []))

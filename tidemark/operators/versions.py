@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import SLAB_ROWS, running, slab_cuts, slab_of
 from tidemark.schema import DELETE, PUT
 
 
@@ -57,43 +58,46 @@ def contains_any_version(log: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(log.select("k"), "k", "left_semi")
 
 
-def asof(probes: DataFrame, log: DataFrame, key: str = "k", time: str = "at") -> DataFrame:
-    """For each probe (k, at) the newest version at or before it; misses stay with nulls."""
+def asof(probes: DataFrame, log: DataFrame, key: str = "k", time: str = "at", slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """For each probe (k, at) the newest version at or before it; misses stay with nulls (J2).  In large
+    tables a key's versions and probes are sorted in slabs of time, not in one task."""
     rest = [c for c in log.columns if c != key]
-    left = probes.select(key, F.col(time).alias("__tm_t"), F.lit(1).alias("__tm_p"), F.lit(None).cast(log.select(F.struct(*rest).alias("s")).schema["s"].dataType).alias("__tm_s"))
-    right = log.select(key, F.col("ts").alias("__tm_t"), F.lit(0).alias("__tm_p"), F.struct(*rest).alias("__tm_s"))
-    over = Window.partitionBy(key).orderBy("__tm_t", "__tm_p", F.col("__tm_s.seq")).rowsBetween(Window.unboundedPreceding, 0)
-    found = left.union(right).withColumn("__tm_s", F.last("__tm_s", ignorenulls=True).over(over)).where("__tm_p = 1")
-    return found.select(key, F.col("__tm_t").alias(time), *[F.col(f"__tm_s.{c}").alias(c) for c in rest])
-
-
-def seek_lower_bound(keys: DataFrame, targets: DataFrame, width: int = 64) -> DataFrame:
-    """The first key >= each integer target, null past the end.
-
-    Keys are grouped in blocks; a target looks into its own block by equi-join and else takes the
-    first key of the next block that has any.  Only the block heads, 1/width of the key range, are
-    put in one order."""
-    block = F.floor(F.col("k") / width).cast("long")
-    own = keys.select("k").distinct().withColumn("b", block)
-    heads = own.groupBy("b").agg(F.min("k").alias("head"))
-    gaps = heads.withColumn("from", F.coalesce(F.lag("b").over(Window.orderBy("b")) + 1, F.col("b") - 1))
-    filled = gaps.select("head", F.explode(F.sequence("from", "b")).alias("b"))
-    first = heads.agg(F.min("b").alias("lo"), F.min("head").alias("lowest"))  # one row
-    t = targets.select(F.col("k").alias("target")).distinct().withColumn("b", F.floor(F.col("target") / width).cast("long"))
-    inside = t.join(own, "b").where("k >= target").groupBy("target").agg(F.min("k").alias("inside"))
-    after = filled.select((F.col("b") - 1).alias("b"), F.col("head").alias("after"))
-    out = t.join(inside, "target", "left").join(after, "b", "left").join(F.broadcast(first))
-    return out.select("target", F.coalesce("inside", "after", F.when(F.col("b") < F.col("lo"), F.col("lowest"))).alias("k"))
-
-
-def version_rank(log: DataFrame) -> DataFrame:
+    none = F.lit(None).cast(log.select(F.struct(*rest).alias("s")).schema["s"].dataType)
+    left = probes.select(key, F.col(time).alias("__tm_t"), F.lit(1).alias("__tm_p"), none.alias("__tm_v"))
+    right = log.select(key, F.col("ts").alias("__tm_t"), F.lit(0).alias("__tm_p"), F.struct(*rest).alias("__tm_v"))
+    order = ["__tm_t", "__tm_p", F.col("__tm_v.seq")]
+    found = running(left.union(right), [key], order, F.col("__tm_v"), "last", F.col("__tm_t"), "__tm_found", slab_rows=slab_rows).where("__tm_p = 1")
+    return found.select(key, F.col("__tm_t").alias(time), *[F.col(f"__tm_found.{c}").alias(c) for c in rest])
+
+
+def seek_lower_bound(keys: DataFrame, targets: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """The first key >= each target, null past the end (R17): a running minimum from the largest down
+    over keys and targets together.  Large tables are cut at quantiles, so neither gaps nor crowds
+    among the keys matter; `slab_rows` is what one task sorts."""
+    k = keys.select("k", F.lit(1).alias("__tm_p"), F.col("k").alias("__tm_k")).where("k is not null").distinct()
+    t = targets.select("k", F.lit(0).alias("__tm_p"), F.lit(None).cast(keys.schema["k"].dataType).alias("__tm_k")).where("k is not null").distinct()
+    every = k.union(t).withColumn("__tm_all", F.lit(0))
+    cuts = slab_cuts(every, F.col("k"), slab_rows)
+    slabbed = every.withColumn("__tm_s", slab_of(F.col("k"), cuts))
+    within = Window.partitionBy("__tm_s").orderBy(F.desc("k"), F.desc("__tm_p")).rowsBetween(Window.unboundedPreceding, 0)
+    here = slabbed.withColumn("__tm_near", F.min("__tm_k").over(within))
+    out = here.where("__tm_p = 0")
+    if cuts:
+        past = Window.partitionBy("__tm_all").orderBy(F.desc("__tm_s")).rowsBetween(Window.unboundedPreceding, -1)
+        heads = slabbed.groupBy("__tm_all", "__tm_s").agg(F.min("__tm_k").alias("__tm_h"))  # a row a slab
+        out = out.join(heads.select("__tm_s", F.min("__tm_h").over(past).alias("__tm_h")), "__tm_s").withColumn("__tm_near", F.coalesce("__tm_near", "__tm_h"))
+    return out.select(F.col("k").alias("target"), F.col("__tm_near").alias("k"))
+
+
+def version_rank(log: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """Versions numbered from the newest, key order ascending, ts descending."""
-    return log.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("ts"), F.desc("seq"))))
+    return running(log, ["k"], [F.desc("ts"), F.desc("seq")], F.lit(1).cast("long"), "sum", F.col("ts"), "rn", newest_first=True, slab_rows=slab_rows)
 
 
-def version_order(log: DataFrame) -> DataFrame:
-    """Each version with the next newer one of the same key."""
-    return log.withColumn("newer_ts", F.lag("ts").over(Window.partitionBy("k").orderBy(F.desc("ts"), F.desc("seq"))))
+def version_order(log: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """Each version with the next newer one of the same key (P2, P3): the least stamp among those before
+    it in the order."""
+    return running(log, ["k"], [F.desc("ts"), F.desc("seq")], F.col("ts"), "min", F.col("ts"), "newer_ts", newest_first=True, own=False, slab_rows=slab_rows)
 
 
 def shadowed(log: DataFrame) -> DataFrame:
@@ -101,13 +105,25 @@ def shadowed(log: DataFrame) -> DataFrame:
     return log.join(newest(log).select("k", F.struct("ts", "seq").alias("__tm_top")), "k").where(F.struct("ts", "seq") < F.col("__tm_top")).drop("__tm_top")
 
 
+def _tagged(tiers: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [t.withColumn("idx", F.lit(i)) for i, t in enumerate(tiers)])
+
+
 def tiered_merge(tiers: list[DataFrame]) -> DataFrame:
     """Ordered merge of tiers, newest tier first; a key's version in an earlier tier hides those of
-    later ones, tombstones included (M1-M3).  Adds `idx`."""
-    tagged = [newest(t).withColumn("idx", F.lit(i)) for i, t in enumerate(tiers)]
-    every = reduce(DataFrame.unionByName, tagged)
+    later ones, tombstones included (M1, M2).  Adds `idx`.  One shuffle, whatever the tiers."""
+    every = _tagged(tiers)
     rest = [c for c in every.columns if c != "k"]
-    return every.groupBy("k").agg(F.min_by(F.struct(*rest), "idx").alias("__tm")).select("k", *[F.col(f"__tm.{c}").alias(c) for c in rest])
+    first = F.struct(-F.col("idx"), F.col("ts"), F.col("seq"))
+    return every.groupBy("k").agg(F.max_by(F.struct(*rest), first).alias("__tm")).select("k", *[F.col(f"__tm.{c}").alias(c) for c in rest])
+
+
+def merge_versions(tiers: list[DataFrame]) -> DataFrame:
+    """Merge of tiers that keeps every version: equal physical keys (k, ts, seq) give one row, that of
+    the earliest tier, and tombstones stay (M2, M3).  Adds `idx`."""
+    every, key = _tagged(tiers), ["k", "ts", "seq"]
+    rest = [c for c in every.columns if c not in key]
+    return every.groupBy(*key).agg(F.min_by(F.struct(*rest), "idx").alias("__tm")).select(*key, *[F.col(f"__tm.{c}").alias(c) for c in rest])
 
 
 def tiered_get(tiers: list[DataFrame], wanted: DataFrame) -> DataFrame:
@@ -133,3 +149,52 @@ def batch_log(batches: DataFrame, deletes_last: bool = False) -> DataFrame:
 def memory_size(key: Column, value: Column) -> Column:
     """Bytes of an entry in memory without its random part."""
     return F.lit(32).cast("long") + F.coalesce(F.octet_length(key), F.lit(0)) + F.coalesce(F.octet_length(value), F.lit(0))
+
+
+# ------------------------------------------------------------------ batch codec
+
+
+def _le(n: Column, width: int = 4) -> Column:
+    """A number as little-endian bytes."""
+    digits = F.lpad(F.hex(n), 2 * width, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))]))
+
+
+def _number(data: Column, at: Column, width: int = 4) -> Column:
+    digits = F.hex(F.substring(data, at + 1, F.lit(width)))
+    return F.conv(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))]), 16, 10).cast("long")
+
+
+def encode_batch(entries: Column) -> Column:
+    """array<struct<op, k: binary, v: binary>> as bytes (W10): the number of entries in four bytes, then
+    op in one, key and value each with its length in four before it, all little-endian; a null
+    value has length 0."""
+    empty = F.unhex(F.lit(""))
+
+    def entry(e: Column) -> Column:
+        k, v = F.coalesce(e["k"], empty), F.coalesce(e["v"], empty)
+        return F.concat(_le(e["op"].cast("int"), 1), _le(F.octet_length(k)), k, _le(F.octet_length(v)), v)
+
+    return F.aggregate(F.transform(entries, entry), _le(F.size(entries)), lambda a, x: F.concat(a, x))
+
+
+def decode_batch(data: Column) -> Column:
+    """The entries of `encode_batch` (an empty value reads as null, so op tells a deletion); null if the
+    bytes end early or the number of entries is more than they can hold."""
+    n, size = _number(data, F.lit(0)), F.octet_length(data)
+    start = F.struct(F.lit(4).cast("long").alias("at"), F.array().cast("array<struct<op:int,k:binary,v:binary>>").alias("out"), F.lit(True).alias("ok"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        keys = _number(data, at + 1)
+        values = _number(data, at + 5 + keys)
+        end = at + 9 + keys + values
+        ok = s["ok"] & (at + 5 <= size) & (at + 9 + keys <= size) & (end <= size)
+        value = F.when(values > 0, F.substring(data, (at + 10 + keys).cast("int"), values.cast("int")))
+        entry = F.struct(_number(data, at, 1).cast("int").alias("op"), F.substring(data, (at + 6).cast("int"), keys.cast("int")).alias("k"), value.alias("v"))
+        out = F.when(ok, F.concat(s["out"], F.array(entry))).otherwise(s["out"])
+        return F.struct(F.when(ok, end).otherwise(at).alias("at"), out.alias("out"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    possible = (size >= 4) & (n * 9 + 4 <= size)
+    numbers = F.when(possible & (n > 0), F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(possible, F.aggregate(numbers, start, step, lambda s: F.when(s["ok"], s["out"])))

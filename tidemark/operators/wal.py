@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.fold import SLAB, ordered_fold, running
+from tidemark.operators.fold import SLAB_ROWS, ordered_fold, running
 
 # Fixed values of the record format.
 BLOCK_BYTES, HEADER_BYTES = 32768, 7
@@ -42,9 +44,89 @@ def token_bucket(requests: DataFrame, burst: int, rate: int) -> DataFrame:
     return ordered_fold(requests.select("k", "ts", "cost"), "k", ["ts", "cost"], lambda: [burst, None], step, "granted", "boolean").select("k", "ts", "granted")
 
 
-def fragments(records: DataFrame, slab: int = SLAB) -> DataFrame:
-    """(k, ts, bytes) -> pieces of each record over blocks of payload offsets."""
-    at = running(records, ["k"], ["ts"], F.col("bytes") + HEADER_BYTES, F.sum, F.floor(F.col("ts") / slab), "end")
-    at = at.withColumn("start", F.col("end") - F.col("bytes") - HEADER_BYTES)
-    n = F.floor((F.col("end") - 1) / BLOCK_BYTES) - F.floor(F.col("start") / BLOCK_BYTES) + 1
-    return at.withColumn("pieces", n.cast("long")).withColumn("kind", F.when(F.col("pieces") == 1, "FULL").when(F.col("pieces") == 2, "FIRST+LAST").otherwise("FIRST+MIDDLE+LAST"))
+FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
+
+
+def fragments(records: DataFrame) -> DataFrame:
+    """(k, ts, bytes) -> the physical records that a log `k` writes, in order (C9): (k, ts, piece, kind, block,
+    offset, length, skip).  Every piece has a header of its own and ends within its block; where less
+    than a header is left of a block it is filled with `skip` zeros.  Where a record lies depends on
+    all before it, so a log is one task's time, though not its memory."""
+    piece = "struct<piece: bigint, kind: int, block: bigint, offset: bigint, length: bigint, skip: bigint>"
+
+    def step(s, _, left):  # block, offset in it
+        out, n, first, left = [], 0, True, left or 0
+        while first or left:
+            skip = 0
+            if BLOCK_BYTES - s[1] < HEADER_BYTES:
+                skip, s[0], s[1] = BLOCK_BYTES - s[1], s[0] + 1, 0
+            length = min(left, BLOCK_BYTES - s[1] - HEADER_BYTES)
+            left -= length
+            kind = (FULL if not left else FIRST) if first else MIDDLE if left else LAST
+            out.append({"piece": n, "kind": kind, "block": s[0], "offset": s[1], "length": length, "skip": skip})
+            s[1] += HEADER_BYTES + length
+            n, first = n + 1, False
+        return out
+
+    done = ordered_fold(records.select("k", "ts", "bytes"), "k", ["ts"], lambda: [0, 0], step, "pieces", f"array<{piece}>")
+    return done.select("k", "ts", F.explode("pieces").alias("p")).select("k", "ts", "p.*")
+
+
+def cut_payloads(records: DataFrame) -> DataFrame:
+    """(k, ts, payload: binary) -> the physical records with their bytes: (k, pos, kind, payload, crc), pos
+    counted from 0 in each log, crc the CRC-32C of kind and payload (C9, S6)."""
+    cut = fragments(records.select("k", "ts", F.octet_length("payload").cast("long").alias("bytes")))
+    start = F.sum("length").over(Window.partitionBy("k", "ts").orderBy("piece")) - F.col("length")
+    whole = cut.withColumn("start", start).join(records.select("k", "ts", F.col("payload").alias("whole")), ["k", "ts"])
+    part = F.substring(F.coalesce("whole", F.unhex(F.lit(""))), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    placed = whole.select("k", (F.col("block") * BLOCK_BYTES + F.col("offset")).alias("pos"), "kind", part.alias("payload"))
+    return placed.withColumn("crc", crc32c(F.concat(F.unhex(F.lpad(F.hex("kind"), 2, "0")), "payload")))
+
+
+def reassemble(pieces: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """(k, pos, kind, payload, crc) -> (k, pos: of its first piece, payload) of the records before the
+    first piece that is corrupt or out of turn (C10, C11); an unfinished last record is left out.
+
+    Whether a piece is in turn follows from the one before it, so all but the joining of a record's
+    pieces is running totals."""
+    sound = crc32c(F.concat(F.unhex(F.lpad(F.hex("kind"), 2, "0")), F.coalesce("payload", F.unhex(F.lit("")))))
+    at = F.col("pos")
+    rows = pieces.withColumn("__tm_ok", F.coalesce(sound == F.col("crc"), F.lit(False)) & F.col("kind").between(FULL, LAST))
+    rows = running(rows, ["k"], ["pos"], F.col("kind"), "last", at, "__tm_before", own=False, slab_rows=slab_rows)
+    inside = F.coalesce(F.col("__tm_before").isin(FIRST, MIDDLE), F.lit(False))
+    rows = rows.withColumn("__tm_ok", F.col("__tm_ok") & (F.col("kind").isin(MIDDLE, LAST) == inside))
+    good = replay(rows, ~F.col("__tm_ok"), "k", "pos")
+    opens = F.when(F.col("kind").isin(FULL, FIRST), F.col("pos"))
+    good = running(good, ["k"], ["pos"], opens, "last", at, "__tm_first", slab_rows=slab_rows)
+    parts = F.array_sort(F.collect_list(F.struct("pos", "payload")))  # of one record
+    done = good.groupBy("k", "__tm_first").agg(parts.alias("p"), F.max(F.col("kind").isin(FULL, LAST)).alias("whole")).where("whole")
+    joined = F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, F.coalesce(x["payload"], F.unhex(F.lit("")))))
+    return done.select("k", F.col("__tm_first").alias("pos"), joined.alias("payload"))
+
+
+def _crc_table():
+    import numpy as np
+
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):  # the Castagnoli polynomial, reflected
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0x82F63B78), table >> 1)
+    return table
+
+
+@F.pandas_udf(T.LongType())
+def crc32c(data: pd.Series) -> pd.Series:
+    """CRC-32C of bytes, null of null (S6): byte by byte for a batch's rows at once, since the built-in
+    CRC-32 has another polynomial."""
+    import numpy as np
+
+    table, known = _crc_table(), np.flatnonzero(data.notna().to_numpy())
+    out = np.zeros(len(data), np.int64)
+    rows = sorted(known.tolist(), key=lambda i: -len(data.iloc[i]))
+    size = np.array([len(data.iloc[i]) for i in rows], np.int64)
+    raw = np.frombuffer(b"".join(data.iloc[i] for i in rows), np.uint8)
+    start, crc = np.cumsum(size) - size, np.full(len(rows), 0xFFFFFFFF, np.uint32)
+    for at in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -at))  # rows longer than `at`
+        crc[:n] = table[(crc[:n] ^ raw[start[:n] + at]) & 0xFF] ^ (crc[:n] >> np.uint32(8))
+    out[rows] = (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+    return pd.Series(out).where(data.notna().reset_index(drop=True))

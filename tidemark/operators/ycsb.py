@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of reads (percent) and what the rest does, by workload.
-MIXES = {"A": (50, "update"), "B": (95, "update"), "C": (100, "update"), "F": (50, "rmw")}
+MIXES = {"A": (50, "update"), "B": (95, "update"), "C": (100, "update"), "D": (95, "insert"), "F": (50, "rmw")}
 
 
 def key(i: Column) -> Column:
@@ -34,9 +34,11 @@ def zipf(id_: Column, n: int, s: float = 1.1, seed: int = 1) -> Column:
 
 
 def generate(spark, ops: int, keys: int, workload: str, value_bytes: int = 256) -> DataFrame:
-    """(id, k, operation, value): `ops` operations on `keys` keys; reads have no value."""
+    """(id, k, operation, value): `ops` operations on `keys` keys; reads have no value, and an insert has a
+    key of its own after the loaded ones."""
     draw = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(100))
-    rows = spark.range(ops).select("id", zipf(F.col("id"), keys).alias("k"), operation(draw, workload).alias("operation"))
+    rows = spark.range(ops).select("id", operation(draw, workload).alias("operation"))
+    rows = rows.withColumn("k", F.when(F.col("operation") == "insert", F.col("id") + keys).otherwise(zipf(F.col("id"), keys)))
     filled = F.rpad(F.hex(F.xxhash64(F.lit(3), "id")), value_bytes, "0")
     return rows.withColumn("value", F.when(F.col("operation") != "read", filled))
 

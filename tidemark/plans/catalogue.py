@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bloom, clock, gc, history, lsm, quorum, txn, versions, wal, ycsb
-from tidemark.schema import FILES_SQL, PUT, TXN_SQL, V_SQL, files, middle, table, txns
+from tidemark.operators.fold import running
+from tidemark.operators.graph import reliable
+from tidemark.schema import DELETE, FILES_SQL, PUT, TXN_SQL, V_SQL, files, middle, table, txns
 from tidemark.schema import versions as log_of
+from tidemark.sources.logs import read_wal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +30,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _shared(spark) -> str:
+    """The folder that the cluster shares, for what a query writes and reads again."""
+    reliable(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def requests(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
 
@@ -40,6 +51,12 @@ _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, s
 _TIERS = """ti AS (SELECT v.*, CASE WHEN ts >= (2 * h.t) * 4 // 5 THEN 0 WHEN ts >= (2 * h.t) // 2 THEN 1 ELSE 2 END AS idx FROM v, h),
 tr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY idx, ts DESC) AS rn FROM ti)"""
 
+def _reset(rows: str, size: str, limit: int, name: str) -> str:
+    """SQL of groups whose sums start again: `rows` has grp, rn and `size`."""
+    return f"""g AS (SELECT *, CAST(0 AS BIGINT) AS {name}, CAST({size} AS BIGINT) AS filled FROM {rows} WHERE rn = 1 UNION ALL
+SELECT o.*, CASE WHEN filled >= {limit} THEN {name} + 1 ELSE {name} END, CASE WHEN filled >= {limit} THEN o.{size} ELSE filled + o.{size} END FROM g JOIN {rows} o ON o.grp = g.grp AND o.rn = g.rn + 1)"""
+
+
 # ------------------------------------------------------------------ reads
 
 
@@ -58,7 +75,9 @@ def snapshot_read(spark, d):
 
 @query(_SNAP)
 def export_snapshot(spark, d):
-    return versions.snapshot_read(log_of(spark, d), middle(spark, d)).select("k", "ts", "v", "x")
+    path = f"{_shared(spark)}/export-{uuid.uuid4().hex}"
+    versions.snapshot_read(log_of(spark, d), middle(spark, d)).select("k", "ts", "v", "x").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query(f"WITH {V_SQL}, {_RANKED} SELECT k, ts, v, x FROM r WHERE rn = 1 AND op = 1 AND k = 7")
@@ -82,26 +101,14 @@ def snapshot_range_scan(spark, d):
     return versions.snapshot_range_scan(log_of(spark, d), 10, 60, middle(spark, d)).select("k", "ts", "v", "x")
 
 
-@query(f"WITH {V_SQL} SELECT p.k, p.ts AS \"at\", b.ts, b.op, b.v FROM (SELECT * FROM v WHERE ts % 7 = 0) p ASOF LEFT JOIN (SELECT * FROM v WHERE ts % 7 <> 0) b ON p.k = b.k AND p.ts >= b.ts")
-def asof_read(spark, d):
-    log = log_of(spark, d)
-    probes = log.where("ts % 7 = 0").select("k", F.col("ts").alias("at"))
-    return versions.asof(probes, log.where("ts % 7 != 0")).select("k", "at", "ts", "op", "v")
-
-
 @query(f"WITH {V_SQL} SELECT p.k, p.ts - 1 AS \"at\", b.ts, b.op, b.v FROM v p ASOF LEFT JOIN v b ON p.k = b.k AND p.ts - 1 >= b.ts")
-def asof_read_all(spark, d):
+def asof_read(spark, d):
     log = log_of(spark, d)
     return versions.asof(log.select("k", (F.col("ts") - 1).alias("at")), log).select("k", "at", "ts", "op", "v")
 
 
-@query(f"WITH {V_SQL}, keys AS (SELECT DISTINCT k FROM v WHERE k % 3 = 0) SELECT c_custkey AS target, (SELECT min(k) FROM keys WHERE k >= c_custkey) AS k FROM customer")
-def seek_lower_bound(spark, d):
-    return versions.seek_lower_bound(log_of(spark, d).where("k % 3 = 0"), requests(spark, d)).select("target", "k")
-
-
 @query(f"WITH {V_SQL}, keys AS (SELECT DISTINCT k FROM v) SELECT c_custkey AS target, (SELECT min(k) FROM keys WHERE k >= c_custkey) AS k FROM customer")
-def seek_lower_bound_all(spark, d):
+def seek_lower_bound(spark, d):
     return versions.seek_lower_bound(log_of(spark, d), requests(spark, d)).select("target", "k")
 
 
@@ -110,9 +117,9 @@ def contains_any_version(spark, d):
     return versions.contains_any_version(log_of(spark, d), requests(spark, d))
 
 
-@query(f"WITH {V_SQL} SELECT k, ts, op, v FROM v WHERE k >= 0 AND k < 20 ORDER BY k, ts")
+@query(f"WITH {V_SQL} SELECT k, ts, op, v FROM v ORDER BY k, ts")
 def raw_scan_with_tombstones(spark, d):
-    return versions.range_scan(log_of(spark, d), 0, 20).select("k", "ts", "op", "v")
+    return log_of(spark, d).orderBy("k", "ts").select("k", "ts", "op", "v")
 
 
 @query(f"WITH {V_SQL}, {_RANKED} SELECT k, ts, v FROM r WHERE rn = 1 AND op = 1 ORDER BY k")
@@ -125,13 +132,8 @@ def version_order(spark, d):
     return versions.version_order(log_of(spark, d)).select("k", "ts", "newer_ts")
 
 
-@query(f"WITH {V_SQL}, {_RANKED} SELECT k, ts, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 3")
+@query(f"WITH {V_SQL}, {_RANKED} SELECT k, ts, rn FROM r")
 def version_rank(spark, d):
-    return versions.version_rank(log_of(spark, d)).where("rn <= 3").select("k", "ts", "rn")
-
-
-@query(f"WITH {V_SQL}, {_RANKED} SELECT k, ts, CAST(rn AS INTEGER) AS rn FROM r")
-def version_rank_all(spark, d):
     return versions.version_rank(log_of(spark, d)).select("k", "ts", "rn")
 
 
@@ -154,6 +156,15 @@ def tiered_merge(spark, d):
     return versions.tiered_merge(tiers(spark, d)).select("k", "idx", "ts", "op", "v")
 
 
+@query(f"""WITH {V_SQL}, t AS (SELECT k, ts, seq, op, v || '0' AS v, 0 AS idx FROM v, h WHERE ts >= h.t UNION ALL SELECT k, ts, seq, op, v || '1', 1 FROM v, h WHERE ts >= h.t // 2 UNION ALL
+SELECT k, ts, seq, op, v || '2', 2 FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY k, ts, seq ORDER BY idx) AS rn FROM t) SELECT k, ts, op, v, CAST(idx AS INTEGER) AS idx FROM r WHERE rn = 1""")
+def merge_versions(spark, d):
+    log, m = log_of(spark, d), middle(spark, d)
+    overlapping = [log.where(F.col("ts") >= m), log.where(F.col("ts") >= m // 2), log]
+    named = [t.withColumn("v", F.concat("v", F.lit(str(i)))) for i, t in enumerate(overlapping)]
+    return versions.merge_versions(named).select("k", "ts", "op", "v", "idx")
+
+
 @query(f"""WITH {V_SQL}, {_TIERS} SELECT c_custkey AS k, tr.k IS NOT NULL AS found, CAST(idx AS INTEGER) AS idx, v
 FROM customer LEFT JOIN (SELECT * FROM tr WHERE rn = 1 AND op = 1) tr ON tr.k = c_custkey""")
 def tiered_get(spark, d):
@@ -196,28 +207,43 @@ def rpc_batch(spark, d):
     return versions.latest_view(versions.batch_log(_batches(spark, d), deletes_last=True)).select("k", "ts", "seq", "v")
 
 
-@query(f"""WITH {V_SQL}, b AS (SELECT k, ts, 32 + length(CAST(k AS VARCHAR)) + length(v) AS bytes FROM v),
-s AS (SELECT k, ts, bytes, (sum(bytes) OVER (PARTITION BY k ORDER BY ts) - bytes) // 1024 AS segment FROM b)
-SELECT k, CAST(segment AS BIGINT) AS segment, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(ts) AS lo, max(ts) AS hi FROM s GROUP BY k, segment""")
+def _le(x):
+    return f"format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', ({x}) % 256, ({x}) // 256 % 256, ({x}) // 65536 % 256, ({x}) // 16777216)"
+
+
+@query(f"""WITH {V_SQL}, e AS (SELECT ts // 10 AS b, ts, format('{{:02X}}', op) || {_le("length(CAST(k AS VARCHAR))")} || hex(CAST(k AS VARCHAR)) || {_le("length(v)")} || hex(v) AS x FROM v)
+SELECT b AS ts, {_le("count(*)")} || string_agg(x, '' ORDER BY ts) AS encoded, TRUE AS same FROM e GROUP BY b""")
+def batch_codec(spark, d):
+    entries = F.transform("entries", lambda e: F.struct(e.op.alias("op"), e.k.cast("string").cast("binary").alias("k"), e.v.cast("binary").alias("v")))
+    rows = _batches(spark, d).select("ts", entries.alias("entries"), versions.encode_batch(entries).alias("data"))
+    return rows.select("ts", F.hex("data").alias("encoded"), (versions.decode_batch(F.col("data")) == F.col("entries")).alias("same"))
+
+
+@query(f"""WITH RECURSIVE {V_SQL}, b AS (SELECT k AS grp, ts, 32 + length(CAST(k AS VARCHAR)) + length(v) AS bytes, row_number() OVER (PARTITION BY k ORDER BY ts) AS rn FROM v), {_reset("b", "bytes", 1024, "segment")}
+SELECT grp AS k, segment, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(ts) AS lo, max(ts) AS hi FROM g GROUP BY ALL""")
 def flush_segments(spark, d):
     cut = lsm.segments(log_of(spark, d), versions.memory_size(F.col("k").cast("string"), F.col("v")), 1024)
     return cut.groupBy("k", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
 
 
-_BLOCKS = "b AS (SELECT l_suppkey AS s, l_orderkey AS k, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1) * 40 // 4096 AS block FROM lineitem), g AS (SELECT s, block, min(k) AS first_key, max(k) AS last_key, count(*) AS n FROM b GROUP BY s, block)"
+_BLOCKS = f"""b AS (SELECT l_suppkey AS grp, l_orderkey AS k, 34 + length(CAST(l_orderkey AS VARCHAR)) + length(CAST(l_partkey AS VARCHAR)) AS bytes,
+row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS rn FROM lineitem), {_reset("b", "bytes", 4096, "block")},
+x AS (SELECT grp AS s, block, min(k) AS first_key, max(k) AS last_key, count(*) AS n FROM g GROUP BY ALL)"""
 
 
 def _blocks(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("k"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("ts"), F.lit(0).alias("seq"))
-    return lsm.segments(rows, F.lit(40).cast("long"), 4096, by="s", slab=F.floor(F.col("k") / 65536)).groupBy("s", F.col("segment").alias("block")).agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.count(F.lit(1)).alias("n"))
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), *order)
+    size = F.lit(34) + F.length(F.col("l_orderkey").cast("string")) + F.length(F.col("l_partkey").cast("string"))
+    return lsm.segments(rows, size, 4096, by="s", order=order).groupBy("s", F.col("segment").alias("block")).agg(F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_BLOCKS} SELECT s, CAST(block AS BIGINT) AS block, first_key, last_key, n FROM g")
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT s, block, first_key, last_key, n FROM x")
 def block_layout(spark, d):
     return _blocks(spark, d)
 
 
-@query(f"WITH {_BLOCKS} SELECT s, CAST(min(block) AS BIGINT) AS block FROM g WHERE last_key >= 700 GROUP BY s")
+@query(f"WITH RECURSIVE {_BLOCKS} SELECT s, min(block) AS block FROM x WHERE last_key >= 700 GROUP BY s")
 def block_lookup(spark, d):
     return _blocks(spark, d).where("last_key >= 700").groupBy("s").agg(F.min("block").alias("block"))
 
@@ -270,15 +296,19 @@ def compaction_pick(spark, d):
     return lsm.compaction_pick(files(spark, d)).select("level", "file_num", "role")
 
 
-@query(f"WITH {FILES_SQL} SELECT level, file_num, CAST((sum(size) OVER (PARTITION BY level ORDER BY lo, file_num) - size) // 500000 AS BIGINT) AS out_file FROM f")
+@query(f"""WITH RECURSIVE {FILES_SQL}, b AS (SELECT level AS grp, file_num, size, row_number() OVER (PARTITION BY level ORDER BY lo, file_num) AS rn FROM f), {_reset("b", "size", 500_000, "out_file")}
+SELECT grp AS level, file_num, out_file FROM g""")
 def compaction_split(spark, d):
     return lsm.compaction_split(files(spark, d), 500_000).select("level", "file_num", "out_file")
 
 
-@query(f"WITH {FILES_SQL} SELECT level, file_num, lo, hi, n, size FROM f WHERE file_num % 5 <> 0 ORDER BY level, lo, file_num")
+@query(f"""WITH {FILES_SQL}, e AS (SELECT 1 AS edit_no, 'add' AS action, * FROM f UNION ALL SELECT 2, 'delete', * FROM f WHERE file_num % 5 = 0 UNION ALL SELECT 3, 'add', * REPLACE (size + 1 AS size) FROM f WHERE file_num % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, file_num ORDER BY edit_no DESC) AS rn FROM e) SELECT level, file_num, lo, hi, n, size FROM r WHERE rn = 1 AND action = 'add' ORDER BY level, lo, file_num""")
 def manifest_state(spark, d):
     every = files(spark, d)
-    return lsm.manifest_state(every, every.where("file_num % 5 = 0").select("level", "file_num")).select("level", "file_num", "lo", "hi", "n", "size")
+    cut, back = every.where("file_num % 5 = 0"), every.where("file_num % 10 = 0").withColumn("size", F.col("size") + 1)
+    edits = [x.select(F.lit(i).alias("edit_no"), F.lit(a).alias("action"), "*") for i, a, x in ((1, "add", every), (2, "delete", cut), (3, "add", back))]
+    return lsm.manifest_state(reduce(DataFrame.unionByName, edits)).select("level", "file_num", "lo", "hi", "n", "size")
 
 
 @query(f"WITH {FILES_SQL} SELECT a.file_num, count(*) AS overlaps FROM f a JOIN f b ON a.level = 0 AND b.level = 1 AND a.hi >= b.lo AND a.lo <= b.hi GROUP BY 1")
@@ -287,16 +317,20 @@ def file_overlap(spark, d):
     return lsm.file_overlap(every.where("level = 0"), every.where("level = 1")).groupBy(F.col("file_num_a").alias("file_num")).agg(F.count(F.lit(1)).alias("overlaps"))
 
 
-@query(f"WITH {FILES_SQL} SELECT o_orderkey AS k, level, count(*) AS files FROM orders JOIN f ON o_orderkey BETWEEN lo AND hi WHERE o_orderkey % 97 = 0 GROUP BY 1, 2")
+@query(f"WITH {FILES_SQL} SELECT o_orderkey AS k, level, count(*) AS files FROM orders JOIN f ON o_orderkey BETWEEN lo AND hi GROUP BY 1, 2")
 def level_probe(spark, d):
-    keys = table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("k"))
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     return lsm.level_probe(keys, files(spark, d)).groupBy("k", "level").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query(f"WITH {FILES_SQL} SELECT o_orderkey AS k, level, count(*) AS files FROM orders JOIN f ON o_orderkey BETWEEN lo AND hi GROUP BY 1, 2")
-def level_probe_all(spark, d):
+@query(f"""WITH {FILES_SQL}, rows AS (SELECT l_orderkey AS k, l_suppkey % 7 AS level, l_suppkey * 10 + l_linenumber AS file_num, CASE WHEN min(l_quantity) < 5 THEN 2 ELSE 1 END AS op, min(l_partkey) AS v FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, CASE WHEN level = 0 THEN -file_num ELSE file_num END) AS rn FROM rows)
+SELECT o_orderkey AS k, r.k IS NOT NULL AS found, level, file_num, v FROM orders LEFT JOIN (SELECT * FROM r WHERE rn = 1 AND op = 1) r ON r.k = o_orderkey""")
+def level_get(spark, d):
+    at = [F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 7).alias("level"), (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("file_num")]
+    rows = table(spark, d, "lineitem").groupBy(*at).agg(F.when(F.min("l_quantity") < 5, 2).otherwise(1).alias("op"), F.min("l_partkey").alias("v"))
     keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    return lsm.level_probe(keys, files(spark, d)).groupBy("k", "level").agg(F.count(F.lit(1)).alias("files"))
+    return lsm.level_get(keys, rows, files(spark, d)).select("k", "found", "level", "file_num", "v")
 
 
 @query(f"WITH {FILES_SQL} SELECT level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM f GROUP BY level")
@@ -304,6 +338,15 @@ def compaction_stats(spark, d):
     return files(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
 
 
+@query("""WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'begin' WHEN 'view' THEN 'done' WHEN 'error' THEN 'stall' ELSE 'other' END AS kind, event_id AS i FROM events)
+SELECT CAST(coalesce(sum(i) FILTER (kind = 'done'), 0) AS BIGINT) AS bytes_compacted, CAST(coalesce(sum(i // 2) FILTER (kind = 'done'), 0) AS BIGINT) AS bytes_written, count(*) FILTER (kind = 'done') AS compactions,
+CAST(coalesce(sum(i % 97) FILTER (kind = 'done'), 0) AS BIGINT) AS compaction_ms, CAST(coalesce(sum(i % 97) FILTER (kind = 'stall'), 0) AS BIGINT) AS stall_ms, count(*) FILTER (kind = 'begin') - count(*) FILTER (kind = 'done') AS pending FROM e""")
+def compaction_counters(spark, d):
+    i, t = F.col("event_id"), F.col("event_type")
+    kind = F.when(t == "click", "begin").when(t == "view", "done").when(t == "error", "stall").otherwise("other")
+    return lsm.compaction_stats(table(spark, d, "events").select(kind.alias("kind"), i.alias("bytes_in"), F.expr("event_id div 2").alias("bytes_out"), (i % 97).alias("ms")))
+
+
 @query(f"WITH {FILES_SQL} SELECT CAST(round(CAST(sum(size) AS DOUBLE) / sum(size) FILTER (level = 0), 6) AS DOUBLE) AS amplification FROM f")
 def write_amplification(spark, d):
     return files(spark, d).agg(F.round(F.sum("size") / F.sum(F.when(F.col("level") == 0, F.col("size"))), 6).alias("amplification"))
@@ -349,6 +392,29 @@ def latest_commits(spark, d):
     return txn.latest_commits(txns(spark, d))
 
 
+@query(f"""WITH RECURSIVE {TXN_SQL}, o AS (SELECT t.*, event_type = 'error' AS aborted, row_number() OVER (PARTITION BY k ORDER BY req, txn) AS rn FROM t JOIN events ON event_id = txn),
+s AS (SELECT txn, k, req, rn, NOT aborted AS committed, CASE WHEN aborted THEN -1 ELSE req END AS last FROM o WHERE rn = 1 UNION ALL
+SELECT o.txn, o.k, o.req, o.rn, NOT aborted AND s.last <= o.snap, CASE WHEN NOT aborted AND s.last <= o.snap THEN o.req ELSE s.last END FROM s JOIN o ON o.k = s.k AND o.rn = s.rn + 1)
+SELECT txn, k, committed FROM s""")
+def txn_aborts(spark, d):
+    ended = table(spark, d, "events").select(F.col("event_id").alias("txn"), (F.col("event_type") == "error").alias("aborted"))
+    return txn.commit_outcomes(txns(spark, d).join(ended, "txn"))
+
+
+@query(f"""WITH {TXN_SQL}, p AS (SELECT snap AS "at", 1 AS d FROM t UNION ALL SELECT req, -1 FROM t), c AS (SELECT "at", sum(d) AS d FROM p GROUP BY 1)
+SELECT "at", CAST(sum(d) OVER (ORDER BY "at") AS BIGINT) AS active FROM c""")
+def active_transactions(spark, d):
+    return txn.active_transactions(txns(spark, d))
+
+
+@query()
+def multi_key_outcomes(spark, d):
+    """Two keys of a group of ten each; the outcome of a transaction depends on all before, so SQL has none."""
+    other = F.expr("(user_id div 10) * 10 + event_id % 10")
+    keys = table(spark, d, "events").select(F.col("event_id").alias("txn"), F.array("user_id", other).alias("keys"))
+    return txn.multi_key_outcomes(txns(spark, d).join(keys, "txn"))
+
+
 @query("SELECT least(coalesce(min(event_id * 1000) FILTER (event_type = 'click'), 500000), 500000) AS horizon FROM events".replace("500000", "CAST(500000 AS BIGINT)"))
 def min_active_snapshot(spark, d):
     active = table(spark, d, "events").where("event_type = 'click'").select((F.col("event_id") * 1000).alias("snap"))
@@ -362,9 +428,8 @@ def _ticks(spark, d):
     return table(spark, d, "events").select((F.col("user_id") % 5).alias("node"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
-_HLC = """e AS (SELECT user_id % 5 AS node, event_id AS id, epoch_us(ts) // 1000 AS ms FROM events),
-w AS (SELECT node, id, max(ms) OVER (PARTITION BY node ORDER BY id) AS wall FROM e),
-c AS (SELECT node, id, (wall << 16) + row_number() OVER (PARTITION BY node, wall ORDER BY id) - 1 AS hlc FROM w)"""
+_HLC = """e AS (SELECT user_id % 5 AS node, event_id AS id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n FROM events),
+c AS (SELECT node, id, max((ms << 16) - n) OVER (PARTITION BY node ORDER BY id) + n AS hlc FROM e)"""
 
 
 @query(f"WITH {_HLC} SELECT node, id, CAST(hlc AS BIGINT) AS hlc FROM c")
@@ -399,36 +464,48 @@ def mvcc_key_codec(spark, d):
 # ------------------------------------------------------------------ Bloom filters
 
 
-_H = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8))::BIGINT + i * ('0x' || substr(md5(CAST({0} AS VARCHAR)), 9, 8))::BIGINT"
-_BITS = f"bits AS (SELECT DISTINCT ({_H.format('user_id')}) % 640 AS bit FROM events, range(0, 6) r(i) WHERE user_id % 3 = 0)"
-_PROBE = f"{_BITS}, p AS (SELECT c_custkey AS k, bool_and(({_H.format('c_custkey')}) % 640 IN (SELECT bit FROM bits)) AS maybe FROM customer, range(0, 6) r(i) GROUP BY 1)"
+def _bits(key: str, m: str) -> str:
+    """SQL of bit `i` of a key: two halves of a digest, hashed twice in 32 bits."""
+    half = "('0x' || substr(md5(CAST({0} AS VARCHAR)), {1}, 8))::BIGINT"
+    return f"(({half.format(key, 1)} + i * {half.format(key, 9)}) & 4294967295) % {m}"
 
 
-@query("SELECT event_type, count(DISTINCT user_id) AS n, CAST((greatest(64, count(DISTINCT user_id) * 10) + 7) // 8 * 8 AS BIGINT) AS bits, 6 AS hashes FROM events GROUP BY 1")
+_M = "CAST((greatest(64, count(DISTINCT user_id) * 10) + 7) // 8 * 8 AS BIGINT)"
+_PROBE = f"""size AS (SELECT {_M} AS m FROM events), bits AS (SELECT DISTINCT {_bits('user_id', 'm')} AS bit FROM events, size, range(0, 6) r(i)),
+p AS (SELECT c_custkey AS k, bool_and({_bits('c_custkey', 'm')} IN (SELECT bit FROM bits)) AS maybe FROM customer, size, range(0, 6) r(i) GROUP BY 1)"""
+
+
+@query(f"SELECT event_type, count(DISTINCT user_id) AS n, {_M} AS bits, 6 AS hashes FROM events GROUP BY 1")
 def bloom_sizing(spark, d):
     n = table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
     bits, k = bloom.sizing(F.col("n"))
     return n.select("event_type", "n", bits.alias("bits"), F.lit(k).alias("hashes"))
 
 
-@query(f"SELECT event_type, count(DISTINCT ({_H.format('user_id')}) % 640) AS set_bits FROM events, range(0, 6) r(i) GROUP BY 1")
+@query(f"WITH s AS (SELECT event_type, {_M} AS m FROM events GROUP BY 1) SELECT event_type, m, count(DISTINCT {_bits('user_id', 'm')}) AS set_bits FROM events JOIN s USING (event_type), range(0, 6) r(i) GROUP BY 1, 2")
 def bloom_bits(spark, d):
-    return bloom.build(table(spark, d, "events"), ["event_type"], "user_id", 640, 6).groupBy("event_type").agg(F.count(F.lit(1)).alias("set_bits"))
+    return bloom.set_bits(bloom.build(table(spark, d, "events"), ["event_type"], "user_id"), ["event_type"])
 
 
 def _filter(spark, d):
-    return bloom.build(table(spark, d, "events").where("user_id % 3 = 0"), [], "user_id", 640, 6)
+    return bloom.build(table(spark, d, "events"), [], "user_id")
 
 
 @query(f"WITH {_PROBE} SELECT k, maybe FROM p")
 def bloom_probe(spark, d):
-    return bloom.probe(requests(spark, d), "k", _filter(spark, d), 640, 6)
+    return bloom.probe(requests(spark, d), "k", _filter(spark, d))
+
+
+@query(f"WITH {_PROBE} SELECT k, maybe FROM p")
+def bloom_codec(spark, d):
+    data = bloom.encode(_filter(spark, d))
+    return requests(spark, d).distinct().select("k", bloom.may_contain(F.lit(data), F.col("k")).alias("maybe"))
 
 
-@query(f"WITH {_PROBE} SELECT count(*) AS probes, count(*) FILTER (maybe) AS false_hits FROM p WHERE k NOT IN (SELECT user_id FROM events WHERE user_id % 3 = 0)")
+@query(f"WITH {_PROBE} SELECT count(*) AS probes, count(*) FILTER (maybe) AS false_hits FROM p WHERE k NOT IN (SELECT user_id FROM events)")
 def bloom_fpr(spark, d):
-    absent = requests(spark, d).join(table(spark, d, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("k")), "k", "left_anti")
-    return bloom.probe(absent, "k", _filter(spark, d), 640, 6).agg(F.count(F.lit(1)).alias("probes"), F.count(F.when(F.col("maybe"), 1)).alias("false_hits"))
+    absent = requests(spark, d).join(table(spark, d, "events").select(F.col("user_id").alias("k")), "k", "left_anti")
+    return bloom.probe(absent, "k", _filter(spark, d)).agg(F.count(F.lit(1)).alias("probes"), F.count(F.when(F.col("maybe"), 1)).alias("false_hits"))
 
 
 # ------------------------------------------------------------------ logs
@@ -446,17 +523,38 @@ def group_commit_batches(spark, d):
     return wal.group_commit(log_of(spark, d).select("k", "ts", F.col("ts").alias("at")), 4, 300)
 
 
-@query(f"""WITH {V_SQL}, b AS (SELECT k, ts, ts % 90 * 1000 + 7 AS z FROM v), s AS (SELECT k, ts, z, sum(z) OVER (PARTITION BY k ORDER BY ts) AS e FROM b),
-p AS (SELECT k, ts, CAST((e - 1) // 32768 - (e - z) // 32768 + 1 AS BIGINT) AS pieces FROM s)
-SELECT k, ts, pieces, CASE WHEN pieces = 1 THEN 'FULL' WHEN pieces = 2 THEN 'FIRST+LAST' ELSE 'FIRST+MIDDLE+LAST' END AS kind FROM p""")
+@query(f"""WITH RECURSIVE {V_SQL}, o AS (SELECT k, ts, ts % 90 * 1000 AS bytes, row_number() OVER (PARTITION BY k ORDER BY ts) AS rn FROM v),
+s AS (SELECT k, CAST(NULL AS BIGINT) AS ts, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS piece, CAST(0 AS BIGINT) AS rest, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS skip, CAST(0 AS BIGINT) AS "end" FROM o WHERE rn = 1
+UNION ALL SELECT k, ts, rn, piece, rest - least(rest, 32761 - begun), bytes, block, begun, least(rest, 32761 - begun), skip, begun + 7 + least(rest, 32761 - begun) FROM (
+  SELECT o.k, o.ts, o.rn, o.bytes, CASE WHEN s.rest = 0 THEN 0 ELSE s.piece + 1 END AS piece, CASE WHEN s.rest = 0 THEN o.bytes ELSE s.rest END AS rest,
+  CASE WHEN 32768 - s."end" < 7 THEN s.block + 1 ELSE s.block END AS block, CASE WHEN 32768 - s."end" < 7 THEN 0 ELSE s."end" END AS begun, CASE WHEN 32768 - s."end" < 7 THEN 32768 - s."end" ELSE 0 END AS skip
+  FROM s JOIN o ON o.k = s.k AND o.rn = s.rn + CASE WHEN s.rest = 0 THEN 1 ELSE 0 END))
+SELECT k, ts, piece, CASE WHEN piece = 0 AND rest = 0 THEN 1 WHEN piece = 0 THEN 2 WHEN rest = 0 THEN 4 ELSE 3 END AS kind, block, start AS "offset", length, skip FROM s WHERE piece >= 0""")
 def wal_fragments(spark, d):
-    return wal.fragments(log_of(spark, d).select("k", "ts", (F.col("ts") % 90 * 1000).alias("bytes"))).select("k", "ts", "pieces", "kind")
+    return wal.fragments(log_of(spark, d).select("k", "ts", (F.col("ts") % 90 * 1000).alias("bytes")))
+
+
+@query(f"""WITH {V_SQL}, b AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY ts) AS record, md5(repeat(v || ts, CAST(ts % 400 AS INTEGER))) AS payload, sum(CASE WHEN op = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts) AS bad FROM v)
+SELECT k, record, payload FROM b WHERE bad = 0""")
+def wal_reassemble(spark, d):
+    log = log_of(spark, d)
+    written = wal.cut_payloads(log.select("k", "ts", F.repeat(F.concat("v", F.col("ts").cast("string")), (F.col("ts") % 400).cast("int")).cast("binary").alias("payload")))
+    broken = log.where(F.col("op") == DELETE).select("k", "ts")
+    first = wal.fragments(log.select("k", "ts", F.octet_length(F.repeat(F.concat("v", F.col("ts").cast("string")), (F.col("ts") % 400).cast("int"))).cast("long").alias("bytes"))).where("piece = 0")
+    hit = first.join(broken, ["k", "ts"]).select("k", (F.col("block") * wal.BLOCK_BYTES + F.col("offset")).alias("pos"), F.lit(1).alias("flip"))
+    read = wal.reassemble(written.join(hit, ["k", "pos"], "left").withColumn("crc", F.col("crc").bitwiseXOR(F.coalesce("flip", F.lit(0)).cast("long"))).drop("flip"))
+    order = Window.partitionBy("k").orderBy("pos")
+    return read.select("k", F.row_number().over(order).cast("long").alias("record"), F.md5("payload").alias("payload"))
 
 
-@query("SELECT event_id, md5(props) = CASE WHEN event_type = 'error' THEN md5('broken' || props) ELSE md5(props) END AS ok FROM events")
+@query("SELECT event_id, event_type <> 'error' AS ok FROM events")
 def checksum_verify(spark, d):
-    stored = F.when(F.col("event_type") == "error", F.md5(F.concat(F.lit("broken"), "props").cast("binary"))).otherwise(F.md5(F.col("props").cast("binary")))
-    return table(spark, d, "events").select("event_id", (F.md5(F.col("props").cast("binary")) == stored).alias("ok"))
+    """Records are written with their checksum, some damaged after it was taken, and read back."""
+    path = f"{_shared(spark)}/wal-{uuid.uuid4().hex}"
+    damaged = F.when(F.col("event_type") == "error", F.overlay("props", F.lit("#"), F.lit(2), F.lit(1))).otherwise(F.col("props"))
+    taken = table(spark, d, "events").select(F.col("event_id").alias("lsn"), wal.crc32c(F.col("props").cast("binary")).alias("checksum"), damaged.alias("payload"))
+    taken.write.json(path)
+    return read_wal(spark, path).select(F.col("lsn").alias("event_id"), "ok")
 
 
 # ------------------------------------------------------------------ replication
@@ -478,7 +576,7 @@ def commit_index(spark, d):
 
 @query(f"WITH {_COMMIT} SELECT term, count(*) AS applied, max(event_id) AS last FROM events JOIN ci ON event_type = term AND event_id <= commit_index GROUP BY 1")
 def apply_committed(spark, d):
-    rows = table(spark, d, "events").select(F.col("event_type").alias("term"), "event_id").join(F.broadcast(commit_index(spark, d)), "term")  # a row a term
+    rows = table(spark, d, "events").select(F.col("event_type").alias("term"), "event_id").join(commit_index(spark, d), "term")
     return rows.where("event_id <= commit_index").groupBy("term").agg(F.count(F.lit(1)).alias("applied"), F.max("event_id").alias("last"))
 
 
@@ -510,6 +608,33 @@ def log_truncate_append(spark, d):
     return quorum.truncate_append(rows)
 
 
+_APPEND = """l AS (SELECT user_id % 97 AS node, row_number() OVER (PARTITION BY user_id % 97 ORDER BY event_id) AS idx FROM events), lt AS (SELECT *, 1 + idx // 20 AS term FROM l),
+e AS (SELECT node, max(idx) AS "end", max(term) AS top FROM lt GROUP BY 1),
+q AS (SELECT *, top + CASE WHEN node % 4 = 0 THEN -1 ELSE 1 END AS term, greatest("end" - node % 5, 0) AS prev, "end" // 2 AS committed, "end" + node % 3 - 1 AS leader FROM e),
+a AS (SELECT *, term >= top AND (prev = 0 OR (SELECT lt.term FROM lt WHERE lt.node = q.node AND lt.idx = prev) = 1 + prev // 20 + CASE WHEN node % 7 = 0 THEN 1 ELSE 0 END) AS ok FROM q)"""
+
+
+@query(f"""WITH {_APPEND} SELECT node, greatest(term, top) AS term, ok AS success, CASE WHEN ok AND leader > committed THEN least(leader, prev + 2) ELSE committed END AS "commit", CASE WHEN ok THEN prev + 2 ELSE "end" END AS "end" FROM a""")
+def append_entries(spark, d):
+    node = (F.col("user_id") % 97).alias("node")
+    log = table(spark, d, "events").select(node, "event_id").withColumn("one", F.lit(1).cast("long"))
+    log = running(log, ["node"], ["event_id"], F.col("one"), "sum", F.col("event_id"), "idx").select("node", "idx", F.expr("1 + idx div 20").alias("term"), F.col("event_id").cast("string").alias("data"))
+    ends = log.groupBy("node").agg(F.max("idx").alias("end"), F.max("term").alias("top"))
+    state = ends.select("node", F.col("top").alias("term"), F.expr("end div 2").alias("commit"))
+    prev = ends.withColumn("prev_idx", F.greatest(F.col("end") - F.col("node") % 5, F.lit(0).cast("long")))
+    entry = F.struct((F.col("top") + 1).alias("term"), F.lit("new").alias("data"))
+    asked = prev.select(
+        "node",
+        (F.col("top") + F.when(F.col("node") % 4 == 0, -1).otherwise(1)).alias("term"),
+        "prev_idx",
+        F.expr("if(prev_idx = 0, 0, 1 + prev_idx div 20 + if(node % 7 = 0, 1, 0))").alias("prev_term"),
+        (F.col("end") + F.col("node") % 3 - 1).alias("leader_commit"),
+        F.array(entry, entry).alias("entries"),
+    )
+    answers, after = quorum.append_entries(log, state, asked)
+    return answers.join(after.groupBy("node").agg(F.max("idx").alias("end")), "node").select("node", "term", "success", "commit", "end")
+
+
 # ------------------------------------------------------------------ histories and workloads
 
 
@@ -521,12 +646,22 @@ def register_violations(spark, d):
     return history.register_violations(e).select("k", "ts", "value", "expected")
 
 
+@query()
+def linearizable(spark, d):
+    """Histories of six operations of three clients each, overlapping; the search has no SQL."""
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        F.expr("event_id div 6").alias("k"), (i % 3).cast("int").alias("client"), (F.col("user_id") % 2 == 0).alias("is_read"), (F.col("user_id") % 3).cast("string").alias("value"), (i * 10).alias("call"), (i * 10 + 5 + F.col("user_id") % 20).alias("ret")
+    )
+    return history.linearizable(rows)
+
+
 @query("SELECT c_custkey, 'user' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS key FROM customer")
 def ycsb_keys(spark, d):
     return table(spark, d, "customer").select("c_custkey", ycsb.key(F.col("c_custkey")).alias("key"))
 
 
-@query("""WITH w(workload, reads, other) AS (VALUES ('A', 50, 'update'), ('B', 95, 'update'), ('C', 100, 'update'), ('F', 50, 'rmw'))
+@query("""WITH w(workload, reads, other) AS (VALUES ('A', 50, 'update'), ('B', 95, 'update'), ('C', 100, 'update'), ('D', 95, 'insert'), ('F', 50, 'rmw'))
 SELECT workload, CASE WHEN event_id * 31 % 100 < reads THEN 'read' ELSE other END AS operation, count(*) AS n FROM events, w GROUP BY 1, 2""")
 def ycsb_mix(spark, d):
     draw = F.col("event_id") * 31 % 100
@@ -551,3 +686,13 @@ SELECT shard, k, ts, before IS NOT NULL AND others < 16 AS hit FROM c""")
 def lru_simulation(spark, d):
     rows = table(spark, d, "events").select((F.col("user_id") % 4).alias("shard"), F.col("user_id").alias("k"), F.col("event_id").alias("ts"))
     return lsm.lru_hits(rows, 16)
+
+
+@query("""WITH a AS (SELECT user_id % 8 AS shard, user_id % 5 AS file, CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS k, event_id AS ts FROM events),
+b AS (SELECT *, max(CASE WHEN k IS NULL THEN ts END) OVER (PARTITION BY shard, file ORDER BY ts) AS removed, lag(ts) OVER (PARTITION BY shard, file, k ORDER BY ts) AS before FROM a)
+SELECT shard, file, k, ts, CASE WHEN k IS NOT NULL THEN before IS NOT NULL AND before > coalesce(removed, -1) END AS hit FROM b""")
+def cache_remove_file(spark, d):
+    """No block is evicted here, so only removals of files tell hits from misses."""
+    k = F.when(F.col("event_type") != "error", F.col("user_id"))
+    rows = table(spark, d, "events").select((F.col("user_id") % 8).alias("shard"), (F.col("user_id") % 5).alias("file"), k.alias("k"), F.col("event_id").alias("ts"))
+    return lsm.lru_hits(rows, 1 << 40).select("shard", "file", "k", "ts", "hit")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.wal import crc32c
+
 BATCH = "ts bigint, entries array<struct<op: int, k: bigint, v: string>>"
 
 
@@ -18,6 +20,6 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines {"lsn", "checksum", "payload"}: adds `ok`, whether the payload has its MD5."""
-    rows = spark.read.schema("lsn bigint, checksum string, payload string").json(path)
-    return rows.withColumn("ok", F.coalesce(F.md5(F.col("payload").cast("binary")) == F.col("checksum"), F.lit(False)))
+    """JSON lines {"lsn", "checksum", "payload"}: adds `ok`, whether the payload has its CRC-32C."""
+    rows = spark.read.schema("lsn bigint, checksum bigint, payload string").json(path)
+    return rows.withColumn("ok", F.coalesce(crc32c(F.col("payload").cast("binary")) == F.col("checksum"), F.lit(False)))
