@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.table import VersionedTable
+from tidemark.table import Conflict, VersionedTable
 
 
 def into_table(changes: DataFrame, target: VersionedTable, checkpoint: str, *, compact_every: int = 0, keep: int = 0) -> StreamingQuery:
     """Appends a stream of (k, ts, seq, op, value) as one commit a micro-batch; every
-    `compact_every` batches the table is compacted to the newest `keep` timestamps.  A batch that is
-    replayed after a failure writes the same versions again, which latest-per-key ignores."""
+    `compact_every` batches the table is compacted to the newest `keep` timestamps.  The commit holds the
+    stream's checkpoint and batch number, so a batch that is replayed after a failure is left out."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        target.append(batch)
+        target.append(batch, stream=checkpoint, batch=number)
         if compact_every and (number + 1) % compact_every == 0:
-            top = target.manifest().agg(F.max("hi_ts")).first()[0] or 0
-            target.compact(top - keep)
+            try:
+                target.compact(target.state().top - keep)
+            except Conflict:  # another one is at it
+                return
 
     return changes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
