@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def reliable(spark) -> None:
-    """Makes sure that checkpoints go to the folder the session names; one of its own only where it
-    names none, as on a single machine."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    """Makes sure that checkpoints go to the folder the session names (spark.checkpoint.dir); one of its
+    own only where it names none and runs on this machine alone."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
 
 
 def components(edges: DataFrame) -> DataFrame:
