@@ -109,6 +109,25 @@ def test_batches_are_committed_once(spark, tmp_path):
     assert t.log().count() == 4 and t.state().streams == {"s": 1, "other": 0}
 
 
+def test_damaged_files_are_named(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    assert t.verify() == 0
+    t.put(1, "a", ts=1)
+    t.put(2, "b", ts=2)
+    assert t.verify() == 2
+    file = tmp_path / "t" / t.files(2, 2)[0]["file"]
+    whole = file.read_bytes()
+    (file.parent / f".{file.name}.crc").unlink()
+    file.write_bytes(whole[:-6])  # the footer
+    with pytest.raises(Corrupt):
+        t.verify()
+    file.write_bytes(whole)
+    assert t.verify() == 2
+    file.unlink()
+    with pytest.raises(Corrupt):
+        t.verify()
+
+
 def test_windowed_counts_drop_late_rows(spark, tmp_path):
     kind = "at timestamp, op int"
     source = str(tmp_path / "in")

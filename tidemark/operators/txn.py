@@ -71,6 +71,20 @@ def conflicts(txns: DataFrame) -> DataFrame:
     return counted.groupBy("txn", "k").agg(F.sum(value).alias("n_conflicts"))
 
 
+def write_conflicts(txns: DataFrame, commits: DataFrame) -> DataFrame:
+    """(txn, keys, snap) against the latest commits (k, commit_ts): the keys of each write set that were
+    committed after its snapshot (T2, J6); a repeated key of a set counts once."""
+    wanted = txns.select("txn", "snap", F.explode(F.array_distinct("keys")).alias("k"))
+    return wanted.join(commits.select("k", "commit_ts"), "k").where(F.col("snap").isNull() | (F.col("commit_ts") > F.col("snap"))).select("txn", "k", "commit_ts")
+
+
+def committed_writes(txns: DataFrame) -> DataFrame:
+    """(txn, k, snap, req, op, v) -> the versions (k, ts, seq, op, v) that committing transactions write,
+    puts and deletions (W6, W7)."""
+    won = commit_outcomes(txns).where("committed").select("txn", "k")
+    return txns.join(won, ["txn", "k"], "left_semi").select("k", F.col("req").alias("ts"), F.col("txn").alias("seq"), "op", "v")
+
+
 def latest_commits(txns: DataFrame) -> DataFrame:
     """Newest commit per key."""
     return _outcomes(txns).where("committed").groupBy("k").agg(F.max("req").alias("commit_ts"))

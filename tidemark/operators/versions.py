@@ -146,6 +146,14 @@ def batch_log(batches: DataFrame, deletes_last: bool = False) -> DataFrame:
     return batches.select("ts", F.posexplode(entries).alias("seq", "e")).select("e.k", "ts", F.col("seq").cast("long").alias("seq"), "e.op", "e.v")
 
 
+def map_batches(batches: DataFrame) -> DataFrame:
+    """(ts, entries) with one entry for each key of a batch, as a client's map has (W5): the last; keys keep
+    the place of their first."""
+    rows = batch_log(batches)
+    kept = rows.groupBy("ts", "k").agg(F.min("seq").alias("seq"), F.max_by(F.struct("op", "v"), "seq").alias("e"))
+    return kept.select("k", "ts", "seq", "e.op", "e.v")
+
+
 def memory_size(key: Column, value: Column) -> Column:
     """Bytes of an entry in memory without its random part."""
     return F.lit(32).cast("long") + F.coalesce(F.octet_length(key), F.lit(0)) + F.coalesce(F.octet_length(value), F.lit(0))

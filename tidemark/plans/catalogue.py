@@ -207,6 +207,13 @@ def rpc_batch(spark, d):
     return versions.latest_view(versions.batch_log(_batches(spark, d), deletes_last=True)).select("k", "ts", "seq", "v")
 
 
+@query(f"""WITH {V_SQL}, b AS (SELECT k % 7 AS k, ts // 10 AS bts, row_number() OVER (PARTITION BY ts // 10 ORDER BY ts) - 1 AS s, op, v FROM v)
+SELECT k, bts AS ts, min(s) AS seq, arg_max(op, s) AS op, arg_max(v, s) AS v FROM b GROUP BY k, bts""")
+def map_batches(spark, d):
+    few = F.transform("entries", lambda e: F.struct(e.op.alias("op"), (e.k % 7).alias("k"), e.v.alias("v")))
+    return versions.map_batches(_batches(spark, d).withColumn("entries", few)).select("k", "ts", "seq", "op", "v")
+
+
 def _le(x):
     return f"format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', ({x}) % 256, ({x}) // 256 % 256, ({x}) // 65536 % 256, ({x}) // 16777216)"
 
@@ -401,6 +408,20 @@ def txn_aborts(spark, d):
     return txn.commit_outcomes(txns(spark, d).join(ended, "txn"))
 
 
+@query(_OUT + """, c AS (SELECT k, max(req) AS commit_ts FROM s WHERE committed GROUP BY k), w AS (SELECT DISTINCT txn, unnest([k, (k // 10) * 10 + txn % 10]) AS k, snap FROM t)
+SELECT txn, k, commit_ts FROM w JOIN c USING (k) WHERE commit_ts > snap""")
+def write_conflicts(spark, d):
+    sets = txns(spark, d).withColumn("keys", F.array("k", F.expr("(k div 10) * 10 + txn % 10")))
+    return txn.write_conflicts(sets, txn.latest_commits(txns(spark, d)))
+
+
+@query(_OUT + """, w AS (SELECT s.k, s.req AS ts, s.txn AS seq, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, event_type AS v FROM s JOIN events ON event_id = s.txn WHERE committed),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, seq DESC) AS rn FROM w) SELECT k, ts, v FROM r WHERE rn = 1 AND op = 1""")
+def committed_writes(spark, d):
+    log = log_of(spark, d).select(F.col("ts").alias("txn"), "op", "v")
+    return versions.latest_view(txn.committed_writes(txns(spark, d).join(log, "txn"))).select("k", "ts", "v")
+
+
 @query(f"""WITH {TXN_SQL}, p AS (SELECT snap AS "at", 1 AS d FROM t UNION ALL SELECT req, -1 FROM t), c AS (SELECT "at", sum(d) AS d FROM p GROUP BY 1)
 SELECT "at", CAST(sum(d) OVER (ORDER BY "at") AS BIGINT) AS active FROM c""")
 def active_transactions(spark, d):

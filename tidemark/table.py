@@ -19,6 +19,8 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,6 +231,20 @@ class VersionedTable:
     def export(self, path: str, at: int | None = None) -> None:
         self.view(at).write.parquet(path)
 
+    def verify(self) -> int:
+        """Reads all live files and compares them with the edits; Corrupt if one is missing, cannot be
+        read or has other rows than were written (R13, R19).  Returns the number of files."""
+        files = self.files()
+        try:
+            found = self._rows(files)
+            got = {tuple(r) for r in found.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).collect()} if files else set()
+        except (AnalysisException, PySparkException, Py4JJavaError) as e:
+            raise Corrupt(f"{self.path}: {str(e).splitlines()[0]}") from e
+        odd = {(f["file"].split("/")[1], f["n"], f["lo_ts"], f["hi_ts"]) for f in files} ^ got
+        if odd:
+            raise Corrupt(f"{self.path}: {sorted(odd)[0][0]}")
+        return len(files)
+
     # ---------------------------------------------------------------- maintenance
 
     def compact(self, horizon: int, *, everything: bool = False) -> bool:
