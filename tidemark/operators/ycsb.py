@@ -64,3 +64,14 @@ def replay(loaded: DataFrame, ops: DataFrame, *, writes: bool = True, chunk: int
     far = F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     carried = heads.withColumn("far", far).join(loaded, "k", "left").select("k", "chunk", F.coalesce("far", "loaded").alias("far"))
     return near.join(carried, ["k", "chunk"]).select("id", "k", "operation", "value", F.coalesce("near", "far").alias("seen"))
+
+
+def run(table, ops: DataFrame, ts: int) -> DataFrame:
+    """Operations (id, k, operation, value) on a VersionedTable of values (Z7): commits their writes at
+    `ts`, in the order of ids, as one durable commit, and returns what each operation sees.  The reads are
+    planned on the table before the commit, so they see what each operation would have seen."""
+    before = table.view().select("k", F.col("value").alias("loaded"))
+    seen = replay(before, ops)
+    writes = ops.where("value is not null").select("k", F.lit(ts).cast("long").alias("ts"), F.col("id").alias("seq"), F.lit(1).alias("op"), "value")
+    table.append(writes)
+    return seen
