@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -54,6 +55,8 @@ def _byte_signs() -> dict[int, str]:
 BYTE_SIGNS = _byte_signs()
 
 
+#: Lines of lower-case Latin letters with or without a mark at their end; any other line gives ('', '').
+_LINES = re.compile("(?m)^(?:([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+)([.,;:!?]*)|.+)$")
 #: How a vocabulary must normalise and split for words to be encoded apart.
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALISES = ["NFC", "Replace", "Lowercase"]
@@ -114,7 +117,9 @@ class WordIds:
 
     def _letters(self, runs: list[str]) -> list[bytes]:
         """Ids of lower-case runs of Latin letters."""
-        joined = " ".join(runs).encode().decode("latin-1").translate(BYTE_SIGNS)
+        joined = " ".join(runs)
+        if not joined.isascii():
+            joined = joined.encode().decode("latin-1").translate(BYTE_SIGNS)
         ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(runs):
@@ -123,24 +128,20 @@ class WordIds:
         return [blob[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        cores, known = self.cores, self.known
-        plain: dict[bytes, tuple[str, str]] = {}
-        odd: list[bytes] = []
-        for w in words:
-            text = w.decode()
-            core = text.rstrip(".,;:!?")
-            # Latin letters are composed already and have lower cases of one letter each (but U+0130)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
-                plain[w] = (core.lower(), text[len(core) :])
-            else:
-                odd.append(w)
-        runs, tails = (set(x) for x in zip(*plain.values(), strict=True)) if plain else (set(), set())
-        for tail in tails.difference(cores):
+        """All of them at once: one text of a word a line, taken apart by one pattern."""
+        cores, known, every = self.cores, self.known, list(words)
+        # Latin letters are composed already and have lower cases of one letter each (but U+0130)
+        found = _LINES.findall(b"\n".join(every).decode().lower()) if every else []
+        for tail in {t for _, t in found}.difference(cores):
             cores[tail] = self._singly([tail])[0] if tail else b""
-        new = list(runs.difference(cores))
-        for i in range(0, len(new), 5000):
-            cores.update(zip(new[i : i + 5000], self._letters(new[i : i + 5000]), strict=True))
-        known.update({w: cores[core] + cores[tail] for w, (core, tail) in plain.items()})
+        new = list({c for c, _ in found}.difference(cores))
+        plain = [c for c in new if c.isascii()]
+        for some in (plain, [c for c in new if not c.isascii()] if len(plain) < len(new) else []):
+            for i in range(0, len(some), 5000):
+                cores.update(zip(some[i : i + 5000], self._letters(some[i : i + 5000]), strict=True))
+        cores[""] = b""
+        known.update({w: cores[c] + cores[t] for w, (c, t) in zip(every, found, strict=True) if c})
+        odd = [w for w, (c, _) in zip(every, found, strict=True) if not c]
         for i in range(0, len(odd), 5000):
             known.update(zip(odd[i : i + 5000], self._singly([w.decode() for w in odd[i : i + 5000]]), strict=True))
 
@@ -148,15 +149,14 @@ class WordIds:
         if not self.apart:
             return self._singly(texts)
         split = [t.encode().split() for t in texts]
-        words = set().union(*split)
         if len(self.known) > REMEMBERED:  # what the present texts use is likely to come again
-            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.known = {w: self.known[w] for w in set().union(*split) if w in self.known}
         if len(self.cores) > REMEMBERED_RUNS:
             self.cores = {}
         collecting = gc.isenabled()
         gc.disable()  # a great many small objects, none of them in cycles
         try:
-            self._learn(words.difference(self.known))
+            self._learn(set().union(*[set(ws).difference(self.known) for ws in split]))
         finally:
             if collecting:
                 gc.enable()
