@@ -579,6 +579,16 @@ def test_the_url_model_grows_from_the_pages(sp):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_words_of_page_texts(sp):
+    html = "<p>One two&amp;three<script>var x = 'no';</script> two<!-- never --><b title='a>b'>four</b> ÉTÉ x <style>p{}"
+    broken = [part * (300_000 // len(part)) + " end" for part in ("<", "<a ", "<script>", "<!--", "&", "&a", "<p>", "word ")]
+    df = sp.createDataFrame([(html,), (None,), *[(b,) for b in broken]], "html string")
+    began = time.time()
+    got = {r.piece: r.words for r in urls.text_words(df).collect()}
+    assert time.time() - began < 30
+    assert {w: got[w] for w in ("one", "two", "three", "four", "été", "word")} == {"one": 1, "two": 2, "three": 1, "four": 1, "été": 1, "word": 60_000} and not {"no", "var", "never", "amp", "x"} & set(got)
+
+
 # ---------------------------------------------------------------- 7 decontamination
 
 

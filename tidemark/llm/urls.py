@@ -208,7 +208,7 @@ def segmenter(words: dict[str, int], runs: dict[str, int]) -> Segmenter:
 
 def text_words(pages: DataFrame) -> DataFrame:
     """(piece, words): how often each run of letters occurs in the pages' texts."""
-    text = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
+    text = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>|&[a-z#0-9]{1,32};", " ")
     found = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("piece")).where("length(piece) between 2 and 24")
     return found.groupBy("piece").agg(F.count(F.lit(1)).alias("words"))
 
