@@ -35,7 +35,7 @@ END = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words, and runs of letters, whose ids a worker remembers; when full it forgets words not in
 #: use (to be put together anew from their letters), or all runs.
-REMEMBERED, REMEMBERED_RUNS = 300_000, 600_000
+REMEMBERED, REMEMBERED_RUNS = 400_000, 1_000_000
 
 
 def public_vocabulary() -> str:
