@@ -2,13 +2,16 @@
 
 import datetime
 import json
+import random
+import struct
 
 import pytest
 
 from tidemark import functions, table
+from tidemark.operators import txn, versions
 from tidemark.schema import DELETE, PUT
 from tidemark.sources import logs
-from tidemark.streaming import into_table, windowed_counts
+from tidemark.streaming import commit_outcomes, into_table, windowed_counts
 from tidemark.table import Closed, Conflict, Corrupt, VersionedTable
 
 
@@ -160,3 +163,74 @@ def test_sources_and_functions(spark, tmp_path):
     assert [r["ok"] for r in logs.read_wal(spark, str(tmp_path / "w.json")).orderBy("lsn").collect()] == [True, False]
     functions.register(spark)
     assert tuple(spark.sql("select hlc_wall(65536 * 7 + 3), hlc_logical(65536 * 7 + 3), cache_shard(5, 6), ycsb_key(42)").first()) == (7, 3, 3, "user000000000042")
+    assert spark.sql("select crc32c(cast('123456789' as binary))").first()[0] == 0xE3069283
+
+
+def crc(data):
+    c = 0xFFFFFFFF
+    for b in data:
+        c ^= b
+        for _ in range(8):
+            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+    return c ^ 0xFFFFFFFF
+
+
+def log_file(records):
+    """Bytes of a log, by the rules of its writer."""
+    out = bytearray()
+    for r in records:
+        first, left = True, r
+        while first or left:
+            if 32768 - len(out) % 32768 < 7:
+                out += bytes(32768 - len(out) % 32768)
+            part = left[: 32768 - len(out) % 32768 - 7]
+            left = left[len(part) :]
+            kind = (2 if left else 1) if first else 3 if left else 4
+            out += struct.pack("<IHB", crc(bytes([kind]) + part), len(part), kind) + part
+            first = False
+    return bytes(out)
+
+
+def batch(*entries):
+    return struct.pack("<I", len(entries)) + b"".join(struct.pack("<BI", op, len(k)) + k + struct.pack("<I", len(v)) + v for op, k, v in entries)
+
+
+def test_binary_logs(spark, tmp_path):
+    ten = [batch((PUT, b"key%d" % i, b"val")) for i in range(10)]
+    whole = log_file(ten)
+    (tmp_path / "clean.log").write_bytes(whole)
+    (tmp_path / "cut.log").write_bytes(whole[:-10])
+    last = bytearray(whole)
+    last[-1] ^= 1
+    (tmp_path / "flipped.log").write_bytes(bytes(last))
+    five = log_file([batch((PUT, b"k" * 100, b"v" * 100))] * 5)
+    mid = bytearray(five)
+    mid[len(five) // 2] ^= 0xFF
+    (tmp_path / "middle.log").write_bytes(bytes(mid))
+    long = [b"A" * (32768 - 7 - 100), b"B" * 200, b"L" * 100_000, b"", b"C" * (32768 * 2)]
+    (tmp_path / "long.log").write_bytes(log_file(long))
+    (tmp_path / "empty.log").write_bytes(b"")
+    got = {}
+    for r in logs.read_log_files(spark, f"{tmp_path}/*.log").orderBy("pos").collect():
+        got.setdefault(r.file.split("/")[-1][:-4], []).append(bytes(r.payload))
+    assert {k: len(v) for k, v in got.items()} == {"clean": 10, "cut": 9, "flipped": 9, "middle": 2, "long": 5}
+    assert got["clean"] == ten and got["long"] == long
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.log").write_bytes(log_file([batch((PUT, b"k1", b"a"), (PUT, b"k2", b"")), batch((DELETE, b"k1", b"")), b"no batch", batch((PUT, b"k2", b"b"))]))
+    found = logs.recover(spark, f"{tmp_path}/r/*.log")
+    assert [(bytes(r.k), r.op, r.v and bytes(r.v)) for r in found.orderBy("ts", "seq").collect()] == [(b"k1", PUT, b"a"), (b"k2", PUT, None), (b"k1", DELETE, None), (b"k2", PUT, b"b")]
+    assert [(bytes(r.k), bytes(r.v)) for r in versions.latest_view(found.drop("file")).collect()] == [(b"k2", b"b")]
+
+
+def test_outcomes_of_a_stream(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(t, r.randrange(6), 10 * t - r.randrange(60), 10 * t) for t in range(200)]
+    kind, source = "txn long, k long, snap long, req long", str(tmp_path / "in")
+    for i in range(3):
+        part = rows[i * 200 // 3 : (i + 1) * 200 // 3]
+        spark.createDataFrame(part, kind).write.mode("append").parquet(source)
+        q = commit_outcomes(spark.readStream.schema(kind).parquet(source)).writeStream.format("parquet").outputMode("append")
+        q.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {x.txn: x.committed for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {x.txn: x.committed for x in txn.commit_outcomes(spark.createDataFrame(rows, kind)).collect()}
+    assert got == want and 0 < sum(want.values()) < 200

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tidemark.operators.wal import crc32c
+
 #: name -> SQL body; temporary SQL functions stay inside Catalyst, no Python runs.
 SCALARS = {
     "hlc_wall": "(h BIGINT) RETURNS BIGINT RETURN shiftrightunsigned(h, 16)",
@@ -16,3 +18,4 @@ SCALARS = {
 def register(spark: SparkSession) -> None:
     for name, body in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    spark.udf.register("crc32c", crc32c)  # Arrow batches: Spark has no CRC-32C

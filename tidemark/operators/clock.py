@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import SLAB_ROWS, running
+from tidemark.operators.fold import SLAB_ROWS, running, slab_cuts
 
 
 def hlc_now(events: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
@@ -14,8 +14,9 @@ def hlc_now(events: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
 
     A stamp is max(ms << 16, the one before + 1), so less its row's number it is a running maximum."""
     at = F.col("id")
-    rows = running(events, ["node"], ["id"], F.lit(1).cast("long"), "sum", at, "__tm_n", slab_rows=slab_rows)
-    rows = running(rows, ["node"], ["id"], F.shiftleft(F.col("ms").cast("long"), 16) - F.col("__tm_n"), "max", at, "hlc", slab_rows=slab_rows)
+    cuts = slab_cuts(events, at, slab_rows)
+    rows = running(events, ["node"], ["id"], F.lit(1).cast("long"), "sum", at, "__tm_n", cuts=cuts)
+    rows = running(rows, ["node"], ["id"], F.shiftleft(F.col("ms").cast("long"), 16) - F.col("__tm_n"), "max", at, "hlc", cuts=cuts)
     return rows.withColumn("hlc", F.col("hlc") + F.col("__tm_n")).drop("__tm_n")
 
 

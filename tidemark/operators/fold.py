@@ -109,14 +109,15 @@ def slab_of(at: Column, cuts: list) -> Column:
 _TOTALS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(rows: DataFrame, by: list[str], order: list, value: Column, total: str, at: Column, name: str, *, newest_first: bool = False, own: bool = True, slab_rows: int = SLAB_ROWS) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list, value: Column, total: str, at: Column, name: str, *, newest_first: bool = False, own: bool = True, slab_rows: int = SLAB_ROWS, cuts: list | None = None) -> DataFrame:
     """Adds `name`: `total` (sum, max, min, or last: the last that is not null) of `value` over a key's
     rows up to each row in `order`; without the row itself unless `own`.
 
     Large tables go in two levels: totals of slabs (map-side combined) give what comes before each
     slab, and rows are sorted only within a slab, so a hot key spreads over as many tasks as it
-    has slabs.  `at` is the numeric column that `order` begins with; `newest_first` if it falls."""
-    cuts = slab_cuts(rows, at, slab_rows)
+    has slabs.  `at` is the numeric column that `order` begins with; `newest_first` if it falls.
+    `cuts` of the same rows may be given, so that they are found once."""
+    cuts = slab_cuts(rows, at, slab_rows) if cuts is None else cuts
     last = total == "last"
     over = (lambda c: F.last(c, ignorenulls=True)) if last else _TOTALS[total]
     tagged = rows.withColumn("__tm_slab", slab_of(at, cuts)).withColumn("__tm_x", value)

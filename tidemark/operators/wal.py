@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.fold import SLAB_ROWS, ordered_fold, running
+from tidemark.operators.fold import SLAB_ROWS, ordered_fold, running, slab_cuts
 
 # Fixed values of the record format.
 BLOCK_BYTES, HEADER_BYTES = 32768, 7
@@ -91,13 +91,14 @@ def reassemble(pieces: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
     pieces is running totals."""
     sound = crc32c(F.concat(F.unhex(F.lpad(F.hex("kind"), 2, "0")), F.coalesce("payload", F.unhex(F.lit("")))))
     at = F.col("pos")
+    cuts = slab_cuts(pieces, at, slab_rows)
     rows = pieces.withColumn("__tm_ok", F.coalesce(sound == F.col("crc"), F.lit(False)) & F.col("kind").between(FULL, LAST))
-    rows = running(rows, ["k"], ["pos"], F.col("kind"), "last", at, "__tm_before", own=False, slab_rows=slab_rows)
+    rows = running(rows, ["k"], ["pos"], F.col("kind"), "last", at, "__tm_before", own=False, cuts=cuts)
     inside = F.coalesce(F.col("__tm_before").isin(FIRST, MIDDLE), F.lit(False))
     rows = rows.withColumn("__tm_ok", F.col("__tm_ok") & (F.col("kind").isin(MIDDLE, LAST) == inside))
     good = replay(rows, ~F.col("__tm_ok"), "k", "pos")
     opens = F.when(F.col("kind").isin(FULL, FIRST), F.col("pos"))
-    good = running(good, ["k"], ["pos"], opens, "last", at, "__tm_first", slab_rows=slab_rows)
+    good = running(good, ["k"], ["pos"], opens, "last", at, "__tm_first", cuts=cuts)
     parts = F.array_sort(F.collect_list(F.struct("pos", "payload")))  # of one record
     done = good.groupBy("k", "__tm_first").agg(parts.alias("p"), F.max(F.col("kind").isin(FULL, LAST)).alias("whole")).where("whole")
     joined = F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, F.coalesce(x["payload"], F.unhex(F.lit("")))))

@@ -28,3 +28,24 @@ def into_table(changes: DataFrame, target: VersionedTable, checkpoint: str, *, c
 def windowed_counts(changes: DataFrame, time: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Changes per window and op, with late rows up to the watermark."""
     return changes.withWatermark(time, late).groupBy(F.window(time, width), "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+def commit_outcomes(txns: DataFrame) -> DataFrame:
+    """A stream of single-key transactions (txn, k, snap, req) -> (txn, k, committed), first committer
+    wins (T4).  The state of a key is its last commit; requests of a micro-batch are taken in the order
+    of (req, txn), micro-batches as they come."""
+    import pandas as pd
+
+    def step(key, batches, state):
+        (last,) = state.get if state.exists else (-1,)
+        rows = pd.concat(list(batches)).sort_values(["req", "txn"])
+        out = []
+        for snap, req in zip(rows["snap"].tolist(), rows["req"].tolist(), strict=True):
+            ok = last <= (-1 if pd.isna(snap) else snap)
+            last = req if ok else last
+            out.append(ok)
+        state.update((int(last),))
+        yield pd.DataFrame({"txn": rows["txn"], "k": key[0], "committed": out})
+
+    rows = txns.select("txn", "k", "snap", "req")
+    return rows.groupBy("k").applyInPandasWithState(step, "txn long, k long, committed boolean", "last long", "append", "NoTimeout")
