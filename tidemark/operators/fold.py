@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that one slab of a running total should hold, and slabs at most.
-SLAB_ROWS, MOST_SLABS = 1 << 20, 256
+SLAB_ROWS, MOST_SLABS = 1 << 22, 256
 
 
 def ordered_fold(rows: DataFrame, by: str, order: list[str], start: Callable[[], list], step: Callable, name: str, kind: str) -> DataFrame:

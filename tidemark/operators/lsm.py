@@ -81,10 +81,12 @@ def level_get(wanted: DataFrame, log: DataFrame, files: DataFrame) -> DataFrame:
     level 0 are asked newest first (largest number), then one of each deeper level; the first whose
     rows in `log` (k, level, file_num, op, ..) have the key decides, a deletion too.  Adds `found`."""
     rest = [c for c in log.columns if c not in ("k", "level", "file_num")]
-    at = level_probe(wanted.select("k").distinct(), files.select("level", "file_num", "lo", "hi")).select("k", "level", "file_num")
+    # an equi-join by key finds the rows; bounds are looked up by file, so no key meets every wide file
+    held = files.select("level", "file_num", F.col("lo").alias("__tm_lo"), F.col("hi").alias("__tm_hi"))
+    rows = log.join(wanted.select("k").distinct(), "k", "left_semi").join(held, ["level", "file_num"]).where("k between __tm_lo and __tm_hi").drop("__tm_lo", "__tm_hi")
     order = F.struct(F.col("level"), F.when(F.col("level") == 0, -F.col("file_num")).otherwise(F.col("file_num")))
     first = F.min_by(F.struct("level", "file_num", *rest), order).alias("__tm")
-    hit = at.join(log, ["k", "level", "file_num"]).groupBy("k").agg(first).where(F.col("__tm.op") == PUT)
+    hit = rows.groupBy("k").agg(first).where(F.col("__tm.op") == PUT)
     out = wanted.join(hit, "k", "left")
     return out.select(*wanted.columns, F.col("__tm").isNotNull().alias("found"), *[F.col(f"__tm.{c}").alias(c) for c in ("level", "file_num", *rest)])
 
