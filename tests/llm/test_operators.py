@@ -219,6 +219,33 @@ def test_many_equal_rows(sp):
     assert substrings.Lots(7, [(3, 2), (-5, 4)]).every == 13
 
 
+def test_second_pass_with_many_lots():
+    """There are as many lots as the table is large: a lot must cost no pass over all windows."""
+    r = random.Random(8)
+    some = [str(r.randrange(10**6)) for _ in range(2000)]
+    texts = [" ".join(r.choices(some, k=6000)) for _ in range(100)] + [" ".join(some)] * 2
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+
+    class Full:
+        value = np.full((substrings.DEPTH, 1 << 7), 255, np.uint8)
+
+    took, found = [], []
+    for lots in (10, 3000):
+        began = time.process_time()
+        out = [x for b in substrings._ask(35, 10, Full, substrings.Lots(lots))(iter([batch])) for x in zip(*(c.to_pylist() for c in b.columns))]
+        took.append(time.process_time() - began)
+        found.append([np.sort(np.concatenate(c)).tobytes() for c in zip(*(substrings._unpack(d) for _, known, d in out if not known))])
+        found[-1] += [np.sort(np.concatenate(c)).tobytes() for c in zip(*(substrings._read_answer(d) for _, known, d in out if known))]
+    assert found[0] == found[1] and took[1] - took[0] < 3
+
+
+def test_hashes_that_agree_in_part():
+    h1, h2 = np.array([5, 3, 5, 3, 5, 9], np.uint64), np.array([1, 2, 7, 2, 1, 1], np.uint32)
+    order, head = substrings._grouped(h1, h2)
+    assert [(int(h1[i]), int(h2[i])) for i in order] == [(3, 2), (3, 2), (5, 1), (5, 1), (5, 7), (9, 1)]
+    assert head.tolist() == [True, False, True, False, True, True]
+
+
 # ---------------------------------------------------------------- 3 HTML
 
 

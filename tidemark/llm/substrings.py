@@ -25,6 +25,7 @@ a null doc_id is allowed; other columns pass through `dedup` unchanged; no rows,
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ MAX_BITS = 1 << 30
 BLOCK = 1 << 22
 #: Bytes of text hashed at once, and windows gathered before a task sends them.
 CHUNK, FLUSH = (1 << 19) - 1, 1_500_000
+#: Bytes of the merged sketch that the driver takes at once.
+FETCH = 4 << 20
 _SEED = [U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)]
 
 
@@ -183,6 +186,20 @@ def _read_answer(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _from_planes(data[: 8 * n], np.int64, n), _from_planes(data[8 * n :], np.uint32, n)
 
 
+def _grouped(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal pairs of hashes together, and whether each begins a group."""
+    order = np.argsort(h1)
+    for _ in range(2):
+        a, b = h1[order], h2[order]
+        near, other = a[1:] == a[:-1], b[1:] != b[:-1]
+        if not (near & other).any():
+            break
+        order = np.lexsort((h2, h1))  # windows that share the longer hash alone
+    head = np.ones(len(order), bool)
+    head[1:] = ~near | other
+    return order, head
+
+
 class Lots:
     """Deals keys to lots by their remainder; what concerns a heavy key goes to each of the
     `parts` lots that its rows are spread over, from `first` on."""
@@ -216,29 +233,27 @@ def _ask(width: int, log_width: int, shared, lots: Lots):
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, key, at = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order = np.lexsort((h2, h1))
+        order, head = _grouped(h1, h2)
         h1, h2, key, at = h1[order], h2[order], key[order], at[order]
-        head = np.ones(len(h1), bool)
-        head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         first = np.flatnonzero(head)
         many = np.diff(first, append=len(h1)) > 1
         group = np.cumsum(head) - 1
         known = many[group]
         rows: list[tuple[int, bool, bytes]] = []
-        ask = np.flatnonzero(head)
         state = np.where(many, 2, 1)
         # a witness needs no document
-        who, where = np.where(many, 0, key[ask]), np.where(many, 0, at[ask])
-        for k, i in by_hash.deal(h1[ask].view(np.int64)):
-            rows.append((k, False, _pack(h1[ask][i], h2[ask][i], who[i], where[i], state[i])))
+        ask1, ask2, who, where = h1[first], h2[first], np.where(many, 0, key[first]), np.where(many, 0, at[first])
+        # nothing in these loops may touch all windows: there are as many lots as the table is large
+        for k, i in by_hash.deal(ask1.view(np.int64)):
+            rows.append((k, False, _pack(ask1[i], ask2[i], who[i], where[i], state[i])))
         mine = np.flatnonzero(known)
         mine = mine[np.lexsort((at[mine], key[mine]))]  # equal rows say the same
         new = (np.diff(key[mine], prepend=0) != 0) | (np.diff(at[mine], prepend=-1) != 0)
         if len(mine):
             new[0] = True
-        mine = mine[new]
-        for k, i in lots.deal(key[mine]):
-            rows.append((k, True, _answer(key[mine][i], at[mine][i])))
+        key, at = key[mine[new]], at[mine[new]]
+        for k, i in lots.deal(key):
+            rows.append((k, True, _answer(key[i], at[i])))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())],
             ["lot", "known", "data"],
@@ -269,13 +284,11 @@ def _group(lots: Lots):
 
     def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         h1, h2, key, at, state = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
-        order = np.lexsort((h2, h1))
-        head = np.ones(len(order), bool)
-        a, b = h1[order], h2[order]
-        head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        order, head = _grouped(h1, h2)
         total = np.add.reduceat(state[order].astype(np.int64), np.flatnonzero(head)) if len(order) else np.zeros(0, np.int64)
         wanted = order[(total[np.cumsum(head) - 1] > 1) & (state[order] == 1)]
-        rows = [(k, _answer(key[wanted][i], at[wanted][i])) for k, i in lots.deal(key[wanted])]
+        key, at = key[wanted], at[wanted]
+        rows = [(k, _answer(key[i], at[i])) for k, i in lots.deal(key)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["lot", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,9 +380,16 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, max_bits: int = MAX_BITS, lot_
         .mapInArrow(_merge(size), "block int, bits binary")
     )
     bits = np.zeros((DEPTH, max(1, (1 << log_width) // 8)), np.uint8)
-    for r in merged.toLocalIterator():  # max_bits / 8 bytes at most
-        level, k = divmod(r["block"], per_level)
-        bits[level, k * size // 8 : (k + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
+    # max_bits / 8 bytes at most: merged by all tasks at once, fetched a few MB at a time, then deleted
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sketch-{uuid.uuid4().hex}"
+    try:
+        merged.write.parquet(folder)
+        for r in spark.read.schema("block int, bits binary").parquet(folder).coalesce(-(-bits.nbytes // FETCH)).toLocalIterator():
+            level, k = divmod(r["block"], per_level)
+            bits[level, k * size // 8 : (k + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     shared = spark.sparkContext.broadcast(bits)
     del bits  # workers read the broadcast file; the driver needs no copy
 
