@@ -135,6 +135,24 @@ def test_vocabularies_that_do_not_go_by_words(sp):
         assert mine == [(s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 2048)]
 
 
+def test_words_looked_up_once_a_part(monkeypatch):
+    """A word is remembered by its letters, once for all its cases and signs; forgetting changes no ids."""
+    from tokenizers import Tokenizer
+
+    path, r = packing.public_vocabulary(), random.Random(4)
+    t, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["Abc abc, ABC. abc", None, "", " \n", "abc?! \u00c4bc \u00e4bc;"]
+    want = lambda xs: [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in xs]
+    assert list(ids.of(pa.array(texts).slice(1))) == want(texts[1:]) and list(ids.of(pa.array(texts))) == want(texts)
+    assert not ids.known and {c for c in ids.cores if c.isalpha()} == {"abc", "\u00e4bc"}
+    for name, value in (("REMEMBERED", 20), ("REMEMBERED_RUNS", 60), ("CHUNK", 700)):
+        monkeypatch.setattr(packing, name, value)
+    some = ["".join(r.choices("abE\u00e9\u0130\u03a3W\u030a1.'-\u4e2d\U0001f600", k=r.randrange(1, 7))) for _ in range(300)]
+    texts = [" ".join(r.choices(some, k=r.randrange(60))) for _ in range(200)] + ["don't. it's, x<|endoftext|>y <unk> </w> a</w>"]
+    assert list(ids.of(pa.array(texts, pa.large_string()))) == want(texts)
+    assert len(ids.known) < 200 and len(ids.cores) < 240
+
+
 def test_packing_of_many_equal_rows(sp):
     rows = [(7, "one two three")] * 900 + [(i, "four five " * i) for i in range(60)] + [(None, None)] * 200
     got = packing.pack(sp.createDataFrame(rows, "doc_id long, text string").repartition(5), full_lot=50).collect()

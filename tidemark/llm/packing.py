@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CACHES, own, parts_for, prepare, table
+from tidemark.llm.common import BLANK, CACHES, chunked, own, parts_for, prepare, spans, table, text_buffer
 
 WINDOW = 2048
 END = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words, and runs of letters, whose ids a worker remembers; when full it forgets words not in
-#: use (to be put together anew from their letters), or all runs.
-REMEMBERED, REMEMBERED_RUNS = 400_000, 1_000_000
+#: Words that are no runs of letters, and such runs, whose ids a worker remembers; when full it forgets
+#: those not in use.
+REMEMBERED, REMEMBERED_RUNS = 200_000, 1_000_000
+#: Bytes of text whose different words are looked up together.
+CHUNK = 4 << 20
 
 
 def public_vocabulary() -> str:
@@ -82,9 +85,10 @@ def by_words(description: dict) -> bool:
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes.  Where the vocabulary goes by words, each distinct word is
-    encoded once and remembered, and runs of letters are encoded together in one text and told
-    apart by their end-of-word ids; with any other vocabulary whole texts are encoded."""
+    """Ids of texts as little-endian bytes.  Where the vocabulary goes by words, each distinct word of
+    a part of the texts is looked up once, and each run of letters is encoded once and remembered; such
+    runs are encoded together in one text and told apart by their end-of-word ids.  With any other
+    vocabulary whole texts are encoded."""
 
     _of: dict[str, "WordIds"] = {}
 
@@ -127,41 +131,60 @@ class WordIds:
         blob, at = ids.tobytes(), [0, *(4 * stops).tolist()]
         return [blob[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """All of them at once: one text of a word a line, taken apart by one pattern."""
-        cores, known, every = self.cores, self.known, list(words)
+    def _learn(self, words: pa.Array) -> list[bytes]:
+        """Ids of different words, all at once: one text of a word a line, taken apart by one pattern."""
+        cores, n = self.cores, len(words)
         # Latin letters are composed already and have lower cases of one letter each (but U+0130)
-        found = _LINES.findall(b"\n".join(every).decode().lower()) if every else []
-        for tail in {t for _, t in found}.difference(cores):
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), words), pa.scalar(b"\n", words.type))[0].as_py()
+        runs, tails = zip(*_LINES.findall(lines.decode().lower()), strict=True) if n else ((), ())
+        used = {"", *tails}
+        for tail in used.difference(cores):
             cores[tail] = self._singly([tail])[0] if tail else b""
-        new = list({c for c, _ in found}.difference(cores))
+        used.update(runs)
+        new = list(used.difference(cores))
+        if len(cores) + len(new) > REMEMBERED_RUNS:  # what the present texts use is likely to come again
+            cores = self.cores = {c: cores[c] for c in used if c in cores}
         plain = [c for c in new if c.isascii()]
         for some in (plain, [c for c in new if not c.isascii()] if len(plain) < len(new) else []):
             for i in range(0, len(some), 5000):
                 cores.update(zip(some[i : i + 5000], self._letters(some[i : i + 5000]), strict=True))
-        cores[""] = b""
-        known.update({w: cores[c] + cores[t] for w, (c, t) in zip(every, found, strict=True) if c})
-        odd = [w for w, (c, _) in zip(every, found, strict=True) if not c]
-        for i in range(0, len(odd), 5000):
-            known.update(zip(odd[i : i + 5000], self._singly([w.decode() for w in odd[i : i + 5000]]), strict=True))
-
-    def of(self, texts: list[str]) -> list[bytes]:
+        ids = list(map(add, map(cores.__getitem__, runs), map(cores.__getitem__, tails)))
+        at = [i for i, c in enumerate(runs) if not c]
+        odd, known = words.take(pa.array(at, pa.int64())).to_pylist(), self.known
+        new = [w for w in odd if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known = self.known = {w: known[w] for w in odd if w in known}
+        for i in range(0, len(new), 5000):
+            known.update(zip(new[i : i + 5000], self._singly([w.decode() for w in new[i : i + 5000]]), strict=True))
+        for i, w in zip(at, odd, strict=True):
+            ids[i] = known[w]
+        return ids
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null counts as empty); a part of the texts is held at once."""
         if not self.apart:
-            return self._singly(texts)
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > REMEMBERED:  # what the present texts use is likely to come again
-            self.known = {w: self.known[w] for w in set().union(*split) if w in self.known}
-        if len(self.cores) > REMEMBERED_RUNS:
-            self.cores = {}
-        collecting = gc.isenabled()
-        gc.disable()  # a great many small objects, none of them in cycles
-        try:
-            self._learn(set().union(*[set(ws).difference(self.known) for ws in split]))
-        finally:
-            if collecting:
-                gc.enable()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, ws)) for ws in split]
+            for i in range(0, len(texts), 500):
+                yield from self._singly(pc.fill_null(texts.slice(i, 500), "").to_pylist())
+            return
+        raw, offs = text_buffer(texts)
+        for i, j in chunked(offs, CHUNK):
+            part, ends = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            start, end, row = spans(part, ends, ~BLANK)
+            stops = np.zeros(len(start) + 1, np.int64)
+            np.cumsum(end - start, out=stops[1:])
+            bare = part[~BLANK[part]]
+            words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(stops), pa.py_buffer(bare)]).dictionary_encode()
+            collecting = gc.isenabled()
+            gc.disable()  # a great many small objects, none of them in cycles
+            try:
+                blobs = pa.array(self._learn(words.dictionary), pa.large_binary()).take(words.indices)
+            finally:
+                if collecting:
+                    gc.enable()
+            _, at, data = blobs.buffers()
+            stops = np.frombuffer(at, np.int64)[: len(start) + 1][np.searchsorted(row, np.arange(j - i + 1))].tolist() if len(start) else [0] * (j - i + 1)
+            every = memoryview(data or b"")
+            yield from (bytes(every[a:b]) for a, b in zip(stops, stops[1:], strict=False))
 
 
 CACHES["packing"] = WordIds._of.clear
@@ -174,18 +197,15 @@ def cut(path: str, window: int = WINDOW, end: int = END):
         own("packing")
         ids, tail = WordIds.at(path), end.to_bytes(4, "little")
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                cols: list[list[int | None]] = [[], [], [], [], []]
-                texts = pc.fill_null(part.column(1), "").to_pylist()
-                for doc, blob in zip(part.column(0).to_pylist(), ids.of(texts), strict=True):
-                    blob += tail
-                    n = len(blob) // 4
-                    for start in range(0, n, window):
-                        piece = blob[4 * start : 4 * (start + window)]
-                        for c, v in zip(cols, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            cols: list[list[int | None]] = [[], [], [], [], []]
+            for doc, blob in zip(b.column(0).to_pylist(), ids.of(b.column(1)), strict=True):
+                blob += tail
+                n = len(blob) // 4
+                for start in range(0, n, window):
+                    piece = blob[4 * start : 4 * (start + window)]
+                    for c, v in zip(cols, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
