@@ -264,6 +264,26 @@ def test_hashes_that_agree_in_part():
     assert head.tolist() == [True, False, True, False, True, True]
 
 
+def test_memory_of_the_second_pass():
+    """What a task gathers is not held twice while it is sent."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 10**6, 10_000).tolist())) for _ in range(60)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+
+    class Full:
+        value = np.full((substrings.DEPTH, 1 << 7), 255, np.uint8)
+
+    tracemalloc.start()
+    try:
+        assert len(list(substrings._ask(35, 10, Full, substrings.Lots(64))(iter([batch])))) == 1
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 140 * 600_000, peak / 600_000
+
+
 # ---------------------------------------------------------------- 3 HTML
 
 

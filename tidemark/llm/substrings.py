@@ -103,6 +103,7 @@ def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(width: int, log_width: int):
     def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(parts)
+        parts.clear()  # here and below: what was put together is not held twice
         for level in range(DEPTH):
             cells = np.sort(_cells(h, level, log_width))
             head = np.ones(len(cells), bool)
@@ -233,12 +234,14 @@ def _ask(width: int, log_width: int, shared, lots: Lots):
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, key, at = (np.concatenate(p) for p in zip(*parts, strict=True))
+        parts.clear()
         order, head = _grouped(h1, h2)
         h1, h2, key, at = h1[order], h2[order], key[order], at[order]
         first = np.flatnonzero(head)
-        many = np.diff(first, append=len(h1)) > 1
-        group = np.cumsum(head) - 1
-        known = many[group]
+        size = np.diff(first, append=len(h1))
+        many = size > 1
+        known = np.repeat(many, size)
+        del order, head, size
         rows: list[tuple[int, bool, bytes]] = []
         state = np.where(many, 2, 1)
         # a witness needs no document
@@ -246,6 +249,7 @@ def _ask(width: int, log_width: int, shared, lots: Lots):
         # nothing in these loops may touch all windows: there are as many lots as the table is large
         for k, i in by_hash.deal(ask1.view(np.int64)):
             rows.append((k, False, _pack(ask1[i], ask2[i], who[i], where[i], state[i])))
+        del h1, h2, ask1, ask2, who, where, state
         mine = np.flatnonzero(known)
         mine = mine[np.lexsort((at[mine], key[mine]))]  # equal rows say the same
         new = (np.diff(key[mine], prepend=0) != 0) | (np.diff(at[mine], prepend=-1) != 0)
@@ -284,6 +288,7 @@ def _group(lots: Lots):
 
     def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         h1, h2, key, at, state = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
+        blobs.clear()
         order, head = _grouped(h1, h2)
         total = np.add.reduceat(state[order].astype(np.int64), np.flatnonzero(head)) if len(order) else np.zeros(0, np.int64)
         wanted = order[(total[np.cumsum(head) - 1] > 1) & (state[order] == 1)]
