@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,23 @@ def test_overlap_of_wide_and_narrow_files(spark):
     assert lsm.file_overlap(left.limit(0), right).count() == lsm.file_overlap(left, right.limit(0)).count() == lsm.level_probe(keys, left.limit(0)).count() == 0
 
 
+def test_files_are_counted_without_pairs(spark):
+    """4,000 keys and 3,000 files that hold nearly all of them: 12 million pairs, none of which is made."""
+    r = random.Random(6)
+    small = [(r.choice([0, 1, None, 5]), lo, lo + r.choice([-1, 0, 3, 40])) for lo in (r.randrange(-60, 60) for _ in range(80))]
+    asked = [r.randrange(-70, 110) for _ in range(150)] + [3, 3, 3, None, small[0][1]]
+    keys, files = spark.createDataFrame([(k,) for k in asked], "k long"), spark.createDataFrame(small + [(1, None, None)], "level long, lo long, hi long")
+    want = Counter((k, level) for k in asked if k is not None for level, lo, hi in small if lo <= k <= hi)
+    for slab_rows in (7, 1 << 19):
+        got = lsm.level_counts(keys, files, slab_rows)
+        assert {(x.k, x.level): x.files for x in got.collect()} == want and got.count() == len(want)
+    assert lsm.level_counts(keys, files.limit(0)).count() == lsm.level_counts(keys.limit(0), files).count() == 0
+    keys, files = spark.range(4000).withColumnRenamed("id", "k"), spark.range(3000).selectExpr("id % 3 as level", "-id as lo", "3999 + id as hi")
+    plan = lsm.level_counts(keys, files, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and plan.count("Join") == plan.count("BroadcastHashJoin")  # only the totals of slabs
+    assert {tuple(x) for x in lsm.level_counts(keys, files, 1000).groupBy("level", "files").count().collect()} == {(i, 1000, 4000) for i in range(3)}
+
+
 def test_reads_go_by_level(spark):
     files = [(0, 1, 0, 9), (0, 2, 5, 9), (1, 3, 0, 4), (1, 4, 5, 9), (2, 5, 0, 9)]
     rows = [(6, 0, 1, PUT, "old"), (6, 0, 2, PUT, "new"), (3, 1, 3, DELETE, None), (3, 2, 5, PUT, "hidden"), (7, 2, 5, PUT, "deep"), (8, 1, 3, PUT, "outside its file")]
