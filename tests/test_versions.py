@@ -192,6 +192,20 @@ def test_files_are_counted_without_pairs(spark):
     assert {tuple(x) for x in lsm.level_counts(keys, files, 1000).groupBy("level", "files").count().collect()} == {(i, 1000, 4000) for i in range(3)}
 
 
+def test_overlaps_are_counted_without_pairs(spark):
+    r = random.Random(7)
+    a, b = ([(r.choice([i, 5, None]), lo, lo + r.choice([-1, 0, 3, 40])) for i, lo in enumerate(r.randrange(-60, 60) for _ in range(n))] for n in (70, 90))
+    left, right = (spark.createDataFrame([*x, (1, None, None)], "file_num long, lo long, hi long") for x in (a, b))
+    want = Counter(i for i, lo, hi in a for _, lo2, hi2 in b if lo <= hi and lo2 <= hi2 and hi >= lo2 and lo <= hi2)
+    for slab_rows in (9, 1 << 22):
+        got = lsm.overlap_counts(left, right, slab_rows)
+        assert {x.file_num: x.overlaps for x in got.collect()} == want and got.count() == len(want)
+    assert lsm.overlap_counts(left, right.limit(0)).count() == lsm.overlap_counts(left.limit(0), right).count() == 0
+    wide = spark.range(3000).selectExpr("id as file_num", "-id as lo", "id as hi")  # nine million pairs
+    plan = lsm.overlap_counts(wide, wide)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and {x.overlaps for x in lsm.overlap_counts(wide, wide).collect()} == {3000}
+
+
 def test_reads_go_by_level(spark):
     files = [(0, 1, 0, 9), (0, 2, 5, 9), (1, 3, 0, 4), (1, 4, 5, 9), (2, 5, 0, 9)]
     rows = [(6, 0, 1, PUT, "old"), (6, 0, 2, PUT, "new"), (3, 1, 3, DELETE, None), (3, 2, 5, PUT, "hidden"), (7, 2, 5, PUT, "deep"), (8, 1, 3, PUT, "outside its file")]
