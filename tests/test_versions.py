@@ -326,6 +326,19 @@ def test_linearizable_histories(spark):
     assert live(history.linearizable(spark.createDataFrame(good + bad, kind)), "k", "ok") == [(1, True), (2, False)]
 
 
+def test_many_short_histories(spark):
+    """Histories that straddle batches of rows, in one task and no frame for each."""
+    own = "id div 3 as k, cast(id % 3 as int) as client, id % 3 = 2 as is_read, if(id % 3 = 2 and id div 3 % 4 > 0, '1', cast(id % 3 as string)) as value, id * 10 as call, id * 10 + 5 as ret"
+    rows = spark.sql(f"select {own} from range(0, 90000, 1, 7)")
+    got = history.linearizable(rows.orderBy(F.desc("call")))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k % 4 > 0, r.ok) for r in got.collect()} == {(True, True), (False, False)} and got.count() == 30_000
+    kind = "k bigint, client int, is_read boolean, value string, call bigint, ret bigint"
+    odd = [(None, 0, False, "a", 0, 1), (1, 0, True, None, 0, 1), (2, 0, False, "a", None, None), (3, 0, False, "a", 5, 9), (3, 0, True, None, 0, 5), (4, 0, False, "a", 6, 9), (4, 0, True, "a", 0, 5)]
+    assert {r.k: r.ok for r in history.linearizable(spark.createDataFrame(odd, kind)).collect()} == {None: True, 1: True, 2: False, 3: True, 4: False}
+    assert history.linearizable(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_truncating_appends(spark):
     rows = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 2)], "node bigint, at bigint, idx bigint")
     assert live(quorum.truncate_append(rows), "at", "idx") == [(1, 1), (4, 2)]
