@@ -281,6 +281,41 @@ def test_fragments_and_reassembly(spark):
     assert read(pieces.withColumn("crc", F.when(F.col("pos") != last, F.col("crc")))) == payloads[:-1]  # no checksum
 
 
+def test_logs_are_cut_and_read_in_one_pass(spark):
+    r = random.Random(8)
+    rows = [(k, ts, None if ts == 7 else r.randbytes(r.choice([0, 1, 3, 60, 900, 33_000, 70_000])), (k or 0) * 100 + ts) for k in [1, 2, None] for ts in range(30)]
+    made = spark.createDataFrame(rows, "k bigint, ts bigint, payload binary, tag bigint").repartition(5)
+    pieces = wal.cut_payloads(made).cache()
+    at = {(x.k, x.ts, x.kind, x.block * wal.BLOCK_BYTES + x.offset, x.length) for x in wal.fragments(made.select("k", "ts", F.octet_length("payload").cast("long").alias("bytes"))).collect()}
+    assert {(x.k, x.tag % 100, x.kind, x.pos, len(x.payload)) for x in pieces.collect()} == at and len(at) == pieces.count()
+    broken = pieces.withColumn("crc", F.expr("if(k = 1 and tag = 112 and kind in (1, 2), crc ^ 1, crc)"))
+    want = sorted((k or 0, bytes(p or b"")) for k, ts, p, _ in rows if k != 1 or ts < 12)
+    one = wal.reassemble(broken)
+    assert sorted((x.k or 0, bytes(x.payload)) for x in one.collect()) == want
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "HashAggregate" not in plan
+    slabs = wal.reassemble(broken.where("k > 0"), slab_rows=5)  # longer logs than that
+    assert sorted((x.k, bytes(x.payload)) for x in slabs.collect()) == [x for x in want if x[0]]
+    assert "Window" in slabs._jdf.queryExecution().executedPlan().toString()
+    most = made.groupBy("k").agg(F.sum(wal.most_pieces(F.octet_length("payload"))).alias("n"))
+    assert all(x.n >= x["count"] for x in most.join(pieces.groupBy("k").count(), "k").collect())
+
+
+def test_checksums_of_all_short_lengths(spark):
+    def slow(x):
+        c = 0xFFFFFFFF
+        for b in x:
+            c ^= b
+            for _ in range(8):
+                c = (c >> 1) ^ 0x82F63B78 if c & 1 else c >> 1
+        return c ^ 0xFFFFFFFF
+
+    r = random.Random(9)
+    rows = [(bytearray(r.randbytes(n)),) for n in [*range(200), 1000, 4097]] + [(None,)]
+    got = {None if x.b is None else bytes(x.b): x.c for x in spark.createDataFrame(rows, "b binary").select("b", wal.crc32c("b").alias("c")).collect()}
+    assert got == {None if b is None else bytes(b): None if b is None else slow(b) for (b,) in rows}
+
+
 def test_replay_stops_at_the_first_bad_record(spark):
     df = spark.createDataFrame([(1, i, i != 2) for i in range(5)] + [(2, 0, True)], "k bigint, ts bigint, ok boolean")
     assert live(wal.replay(df, ~F.col("ok")), "k", "ts") == [(1, 0), (1, 1), (2, 0)]
