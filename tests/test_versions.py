@@ -213,6 +213,24 @@ def test_reads_go_by_level(spark):
     assert live(got, "k", "found", "v") == [(3, False, None), (6, True, "new"), (7, True, "deep"), (8, False, None), (99, False, None)]
 
 
+def test_reads_of_many_keys_deal_a_log_twice(spark, monkeypatch):
+    log = spark.range(3000).selectExpr("id % 700 as k", "id % 3 as level", "id % 11 as file_num", "cast(1 + id % 2 as int) as op", "id as v")
+    files = log.groupBy("level", "file_num").agg(F.min("k").alias("lo"), (F.max("k") - 20).alias("hi"))
+    wanted = spark.range(0, 900, 2).withColumnRenamed("id", "k")
+    few = [tuple(x) for x in lsm.level_get(wanted, log, files).select("k", "found", "level", "file_num").collect()]
+    monkeypatch.setattr(lsm, "FEW_KEYS_BYTES", -1)
+    dealt = log.repartition("level", "file_num")
+    many = lsm.level_get(wanted, dealt, files)
+    assert sorted(repr(tuple(x)) for x in many.select("k", "found", "level", "file_num").collect()) == sorted(map(repr, few)) and len(few) == 450
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lsm.level_get(wanted, dealt, files)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "LeftSemi" not in plan and plan.count("Exchange hashpartitioning") <= 5  # two of the log, two of the files, one of the keys
+
+
 def test_later_edits_of_the_manifest_win(spark):
     edits = [(1, "add", 1, 7, 0), (2, "delete", 1, 7, 0), (3, "add", 1, 7, 5), (1, "add", 2, 7, 1), (4, "delete", 2, 7, 1), (1, "add", 0, 9, 3)]
     df = spark.createDataFrame(edits, "edit_no long, action string, level long, file_num long, lo long")
